@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, stage_table
+from .common import SPACE_CLASS, free_name, stage_table
 
 #: Rows of one source that one task ranks; larger sources are salted.
 ROWS_PER_SALT = 50_000
@@ -58,62 +58,78 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
 
 
 def mix_sources(
-    sized: DataFrame,
+    documents: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
     share: float = 1.5,
     max_epochs: float = 2.0,
     seed: int = 17,
+    name: str = "mix",
 ) -> DataFrame:
-    """Whole and fractional repetitions of each row of ``sized`` (doc_id, source, size).
-
-    A source is repeated ``target / source_size`` times: the whole part for
-    every row, the rest for a seeded part of its rows. Those are drawn
-    systematically down the source's rows ordered by size, from the seeded start
-    of ``STARTS`` whose words come nearest the target. Large sources are ranked
-    in salted groups, each drawn for its own share.
-
-    Adds ``source_size, target, repeats, taken``. Words are 0 in empty and null
-    texts, a source without words has target 0 and takes nothing; rows equal in
-    id and size are interchangeable; an empty table gives no rows. Reruns agree:
-    the draw depends on the ids and the seed only.
+    """Add the struct ``name``: ``size, source_size, target, repeats, taken``.
+
+    Sizes are words. A source is repeated ``target / source_size`` times: the
+    whole part for every document, the rest for a seeded part of them. Those
+    are drawn systematically down the source's documents ordered by size, from
+    the seeded start of ``STARTS`` whose words come nearest the target. Large
+    sources are ranked in salted groups, each drawn for its own share. The
+    shuffle carries the columns given: pass ids alone where texts aren't needed.
+
+    Null and empty texts have size 0. A null source is a source; one without
+    words has target 0 and takes nothing. Documents equal in id and size are
+    interchangeable; an empty table gives no rows. Reruns agree: the draw
+    depends on ids, sizes and the seed only.
     """
-    targets = stage_table(source_targets(sized, weights, share, max_epochs), "targets")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    size, key, rate, salt, rank, stat = (free_name(documents, x) for x in ("size", "key", "rate", "salt", "rank", "stat"))
+    if "text" in documents.columns:
+        sized = documents.withColumn(size, word_count(F.col("text")))
+    else:
+        sized = documents.withColumnRenamed("size", size)
+    targets = stage_table(
+        source_targets(sized.select("source", F.col(size).alias("size")), weights, share, max_epochs), "targets"
+    )
     few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    t = targets.withColumnRenamed("source", "_source")
-    joined = sized.join(F.broadcast(t) if few else t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    salts = F.ceil(F.col("n_docs") / ROWS_PER_SALT)
+    t = targets.select(F.struct("source", "source_size", "n_docs", "target").alias(stat))
+    joined = sized.join(F.broadcast(t) if few else t, F.col("source").eqNullSafe(F.col(f"{stat}.source")))
+
+    def number(text: Column, at: int) -> Column:
+        return F.conv(F.substring(text, at, 8), 16, 10).cast("long")
+
     rows = joined.withColumns(
         {
-            "_key": key,
-            "_rate": F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)),
+            key: F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+            rate: F.when(F.col(stat)["source_size"] > 0, F.col(stat)["target"] / F.col(stat)["source_size"]).otherwise(F.lit(0.0)),
         }
-    ).withColumn("_salt", F.conv(F.substring("_key", 25, 8), 16, 10).cast("long") % salts)
-    ranked = rows.withColumn(
-        "_rank",
-        F.row_number().over(W.partitionBy("source", "_salt").orderBy(F.col("size").desc(), "_key")),
-    )
-    start_key = F.md5(F.concat(F.lit(f"{seed}:start:"), F.coalesce(F.col("source"), F.lit("")), F.lit(":"), F.col("_salt").cast("string")))
-    first = F.conv(F.substring(start_key, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-    whole = F.floor("_rate")
-    part = F.col("_rate") - whole
-    group = W.partitionBy("source", "_salt")
-    starts = [(first + F.lit(k / STARTS)) - F.floor(first + F.lit(k / STARTS)) for k in range(STARTS)]
-    steps = [F.floor(F.col("_rank") * part + at) - F.floor((F.col("_rank") - 1) * part + at) for at in starts]
-    wanted = F.floor(part * F.sum("size").over(group))
-    misses = [F.abs(F.sum(step * F.col("size")).over(group) - wanted) for step in steps]
-    ranked = ranked.withColumns({f"_miss{k}": miss for k, miss in enumerate(misses)})
-    best = F.least(*[F.struct(F.col(f"_miss{k}").alias("miss"), F.lit(k).alias("k")) for k in range(STARTS)])["k"]
-    ranked = ranked.withColumn("_best", best)
-    step = F.coalesce(*[F.when(F.col("_best") == k, step) for k, step in enumerate(steps)])
-    out = ranked.withColumn("repeats", (whole + step).cast("int"))
-    return out.withColumn("taken", (F.col("repeats") * F.col("size")).cast("long")).drop(
-        "_key", "_rate", "_salt", "_rank", "_best", "n_docs", "weight", *[f"_miss{k}" for k in range(STARTS)]
+    ).withColumn(salt, number(F.col(key), 25) % F.ceil(F.col(stat)["n_docs"] / ROWS_PER_SALT))
+    group = W.partitionBy("source", salt)
+    ranked = rows.withColumn(rank, F.row_number().over(group.orderBy(F.col(size).desc(), key)))
+    start_key = F.md5(F.concat(F.lit(f"{seed}:start:"), F.coalesce(F.col("source"), F.lit("")), F.lit(":"), F.col(salt).cast("string")))
+    first = number(start_key, 1).cast("double") / F.lit(float(2**32))
+    whole = F.floor(rate)
+    part = F.col(rate) - whole
+
+    def step(k: Column) -> Column:
+        start = (first + k) - F.floor(first + k)
+        return F.floor(F.col(rank) * part + start) - F.floor((F.col(rank) - 1) * part + start)
+
+    wanted = F.floor(part * F.sum(size).over(group))
+    misses = [F.abs(F.sum(step(F.lit(k / STARTS)) * F.col(size)).over(group) - wanted) for k in range(STARTS)]
+    miss = [f"{stat}_{k}" for k in range(STARTS)]
+    tried = ranked.withColumns(dict(zip(miss, misses, strict=True)))
+    best = F.least(*[F.struct(F.col(c).alias("miss"), F.lit(k).alias("k")) for k, c in enumerate(miss)])["k"]
+    chosen = tried.withColumn(f"{stat}_best", best)
+    repeats = (whole + step(F.col(f"{stat}_best") / F.lit(float(STARTS)))).cast("int")
+    mix = F.struct(
+        F.col(size).alias("size"),
+        F.col(stat)["source_size"].alias("source_size"),
+        F.col(stat)["target"].alias("target"),
+        repeats.alias("repeats"),
+        (repeats * F.col(size)).cast("long").alias("taken"),
     )
+    return chosen.withColumn(name, mix).drop(size, key, rate, salt, rank, stat, f"{stat}_best", *miss)
 
 
 def mix_documents(documents: DataFrame, **options) -> DataFrame:
-    """:func:`mix_sources` over documents, sized in words; texts are not shuffled."""
+    """Ids and sources of all documents with their ``mix``; texts are measured but not shuffled."""
     return mix_sources(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), **options)
 
 
@@ -165,4 +181,11 @@ FROM stepped s JOIN best b ON s.source IS NOT DISTINCT FROM b.source AND s.salt
 
 
 def op4_query(documents: DataFrame) -> DataFrame:
-    return mix_documents(documents).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    m = F.col("mix")
+    return mix_documents(documents).select(
+        "doc_id",
+        m["size"].alias("size"),
+        m["source_size"].alias("source_size"),
+        F.round(m["target"], 6).alias("target"),
+        m["taken"].alias("taken"),
+    )

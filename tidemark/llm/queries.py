@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     decontaminate,
     dedup_lines,
+    dedup_minhash,
     language_mixture,
     mix_sources,
     personal_data,
@@ -58,6 +59,16 @@ def op9_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines.op9_query(read_table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_minhash.op10_query(read_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_pairs": op1_quality_pairs,
     "op2_personal_data": op2_personal_data,
@@ -68,6 +79,8 @@ QUERIES: dict[str, Query] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_shard_hilbert": op8_shard_hilbert,
     "op9_dedup_lines": op9_dedup_lines,
+    "op10_minhash": op10_minhash,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {

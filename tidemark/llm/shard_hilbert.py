@@ -66,10 +66,12 @@ def hilbert_shards(
     Rows of one cell are ordered by ``tie``, so a crowded cell is spread over
     several tasks. Returns df with ``hilbert long, shard int, slot long``.
     Shard counts differ by at most one; slots run from 0 without gaps. An empty
-    table gives an empty result; equal rows are interchangeable.
+    table gives an empty result; equal rows are interchangeable; columns of df
+    that have those three names are replaced.
 
     The one shuffle carries df's own columns: pass ids and metadata, not texts.
     """
+    df = df.drop("hilbert", "shard", "slot")
     marks = [1 / 2**bits * k for k in range(1, 2**bits)]
     bounds = df.agg(*[F.percentile_approx(_ordinal(df, c), marks, accuracy).alias(f"b{i}") for i, c in enumerate(dims)]).first()
     cell_bounds = [np.unique(np.array([v for v in (b or [])], dtype=float)) for b in bounds]
