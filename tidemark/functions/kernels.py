@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _square(pixels: np.ndarray) -> np.ndarray:
@@ -34,23 +35,23 @@ def structural_similarity(a: np.ndarray, b: np.ndarray, peak: float = 255.0) ->
     return float((2 * a.mean() * b.mean() + c1) * (2 * cov + c2) / ((a.mean() ** 2 + b.mean() ** 2 + c1) * (a.var() + b.var() + c2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sharpness(pixels: pd.Series) -> pd.Series:
     """Population variance of the Laplacian."""
     return pixels.map(lambda p: float(laplacian(_square(p)).var()))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def sharpness_tiles(pixels: pd.Series) -> pd.Series:
     return pixels.map(lambda p: tile_variances(_square(p)).tolist())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ssim(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([structural_similarity(_square(x), _square(y)) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def motion(before: pd.Series, now: pd.Series) -> pd.Series:
     """Mean absolute difference over 255 after the best shift of a pixel; 1 without a frame before."""
 
@@ -64,7 +65,7 @@ def motion(before: pd.Series, now: pd.Series) -> pd.Series:
     return pd.Series([one(p, q) for p, q in zip(before, now, strict=True)])
 
 
-@F.pandas_udf("array<array<double>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def split_spread(pixels: pd.Series) -> pd.Series:
     """Left and right page of a spread; an odd middle column goes to the right."""
 
