@@ -360,8 +360,8 @@ _W = "greatest(confidence, 1e-6)"
 
 
 @query(
-    f"WITH {QUADS_SQL} SELECT spread, side, {', '.join(f'round(sum({_W} * {c}) / sum({_W}), 6) AS {c}' for c in consensus.CORNERS)}, "
-    f"round(sum({_W} * confidence) / sum({_W}), 4) AS confidence, count(*) AS n_members FROM quads GROUP BY spread, side"
+    f"WITH {QUADS_SQL} SELECT spread, side, {', '.join(f'round(sum({_W} * {c}) / sum({_W}), 9) AS {c}' for c in consensus.CORNERS)}, "
+    f"round(sum({_W} * confidence) / sum({_W}), 9) AS confidence, count(*) AS n_members FROM quads GROUP BY spread, side"
 )
 def weighted_quad_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.weighted_quad(_quads(spark, sf_dir), _SIDE)
@@ -434,7 +434,7 @@ def edit_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 WITH mean AS (
-  SELECT o_custkey AS entity, (o_orderkey % 4 * 90)::INT AS rotation, round(avg(round(o_totalprice / 500000, 3)), 4) AS score FROM orders GROUP BY ALL
+  SELECT o_custkey AS entity, (o_orderkey % 4 * 90)::INT AS rotation, round(avg(o_totalprice / 500000), 4) AS score FROM orders GROUP BY ALL
 ), near AS (
   SELECT *, max(score) OVER (PARTITION BY entity) AS best FROM mean
 ), picked AS (
@@ -451,14 +451,14 @@ WITH mean AS (
 ), capped AS (
   SELECT *, CASE WHEN direction < 0.025::DOUBLE THEN least(v0, 0.62::DOUBLE) ELSE v0 END AS v1 FROM raw
 )
-SELECT entity, rotation, score, round(CASE WHEN axis < 0.04::DOUBLE THEN least(v1, 0.55::DOUBLE) ELSE v1 END, 3) AS confidence FROM capped
+SELECT entity, rotation, score, round(CASE WHEN axis < 0.04::DOUBLE THEN least(v1, 0.55::DOUBLE) ELSE v1 END, 6) AS confidence FROM capped
 """
 )
 def rotation_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("entity"), (F.col("o_orderkey") % 4 * 90).cast("int").alias("rotation"), F.round(F.col("o_totalprice") / 500000, 3).alias("score")
+        F.col("o_custkey").alias("entity"), (F.col("o_orderkey") % 4 * 90).cast("int").alias("rotation"), (F.col("o_totalprice") / 500000).alias("score")
     )
-    return ranking.rotation_pick(scores)
+    return ranking.rotation_pick(scores, 6)
 
 
 @query(

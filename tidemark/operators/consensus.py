@@ -53,7 +53,7 @@ def weighted_quad(members: DataFrame, group: list[str]) -> DataFrame:
     w = F.greatest("confidence", F.lit(1e-6))
     mean = lambda c: (F.sum(w * F.col(c)) / F.sum(w))
     return members.groupBy(*group).agg(
-        *[F.round(mean(c), 6).alias(c) for c in CORNERS],
-        F.round(mean("confidence"), 4).alias("confidence"),
+        *[F.round(mean(c), 9).alias(c) for c in CORNERS],
+        F.round(mean("confidence"), 9).alias("confidence"),
         F.count(F.lit(1)).alias("n_members"),
     )

@@ -214,11 +214,11 @@ def preliminary_score(c: Config, start: Column, window: float) -> Column:
     return 0.55 * still + 0.30 * sharp + 0.15 * early
 
 
-def rotation_pick(scores: DataFrame) -> DataFrame:
+def rotation_pick(scores: DataFrame, digits: int = 3) -> DataFrame:
     """Best rotation per entity: within .015 of the best average, by the order 0, 90, 270, 180.
 
     ``scores`` has ``entity, rotation, score``; the confidence follows the
-    margins to the orthogonal and the opposite rotation.
+    margins to the orthogonal and the opposite rotation, rounded to ``digits``.
     """
     mean = scores.groupBy("entity", "rotation").agg(F.round(F.avg("score"), 4).alias("score"))
     g = W.partitionBy("entity")
@@ -231,4 +231,4 @@ def rotation_pick(scores: DataFrame) -> DataFrame:
     value = F.least(F.lit(0.95), F.greatest(F.lit(0.35), 0.35 + 0.35 * F.col("score") + 0.8 * axis))
     value = F.when(direction < 0.025, F.least(value, F.lit(0.62))).otherwise(value)
     value = F.when(axis < 0.04, F.least(value, F.lit(0.55))).otherwise(value)
-    return picked.select("entity", "rotation", "score", F.round(value, 3).alias("confidence"))
+    return picked.select("entity", "rotation", "score", F.round(value, digits).alias("confidence"))
