@@ -3,7 +3,7 @@
 import pytest
 
 import oracle
-from tidemark import catalog, catalog_more  # noqa: F401
+from tidemark import catalog, catalog_more, catalog_profiles  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
