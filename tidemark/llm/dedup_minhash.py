@@ -18,12 +18,17 @@ from .common import stage_table
 
 #: Values that a sketch retains, and the chance to miss a link that is granted.
 SKETCH = 64
-MISS = 1e-9
+MISS = 1e-7
+#: Lists that the sketches of a linked pair have in common at least, where sets are large enough.
+COMMON = 8
 #: Values tracked by the sketch of frequent values; at most so many are broadcast.
 FREQUENT = 20_000
-#: Lists of more members are compared block by block instead of by a join.
+#: Lists of more members are joined to families and compared block by block,
+#: shorter ones by a join.
 LIST_JOIN = 64
 BLOCK = 256
+#: Part of its retained values that a node shares with a head that it is first compared with.
+HEAD_SHARE = 4
 #: Ids that a semi-join broadcasts at most; beyond, it shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -84,6 +89,16 @@ def least_shared(k: int, similarity: float = 0.8, miss: float = MISS) -> int:
     return max(c, 1)
 
 
+def values_needed(n: int, k: int, percent: int) -> int:
+    """Sketch values that a set of ``n`` shares with any set it is linked with.
+
+    Exact where both sketches must be whole sets, else but for the chance ``MISS``.
+    """
+    if n * 100 <= k * percent:
+        return max(1, -(-n * percent // 100))
+    return least_shared(min(n, k), percent / 100)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Exact: 100 times the intersection is ``percent`` times the union or more."""
     shared = len(np.intersect1d(a, b, assume_unique=True))
@@ -118,11 +133,11 @@ def _frequent_values(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([v for v, _ in kept], np.int64), np.array([n for _, n in kept], np.int64)
 
 
-def _retained(nodes: DataFrame, percent: int) -> DataFrame:
-    """Rows of the inverted lists: value, node, set size, size class.
+def _retained(nodes: DataFrame, percent: int, k: int) -> DataFrame:
+    """Rows of the inverted lists: value, node, set size, size class, values retained.
 
-    Linked sketches share ``least_shared`` values, so their parts that remain
-    without so many less one share a value, if all order values alike. Frequent
+    Linked sketches share ``values_needed`` values, so their parts that remain
+    without so many less t share t values, if all order values alike. Frequent
     values come last and are the ones left out; the order costs no link.
     """
     values, counts = _frequent_values(nodes)
@@ -132,25 +147,28 @@ def _retained(nodes: DataFrame, percent: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = shared.value
         for batch in batches:
-            v, node, size = [], [], []
+            v, node, size, kept = [], [], [], []
             for i, n, sketch in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("sketch"), strict=True):
                 own = sketch.values.to_numpy()
-                keep = len(own) - least_shared(len(own), share) + 1
+                need = values_needed(n, k, percent)
+                keep = len(own) - need + min(COMMON, need)
                 if len(values):
                     at = np.minimum(np.searchsorted(values, own), len(values) - 1)
                     own = own[np.lexsort((own, np.where(values[at] == own, counts[at], 0)))]
                 v.append(own[:keep])
                 node.append(np.full(keep, i))
                 size.append(np.full(keep, n))
+                kept.append(np.full(keep, keep, np.int32))
             if v:
                 n = np.concatenate(size)
                 # Linked sizes lie in one class or in neighbouring ones.
                 level = np.floor(np.log(n) / -np.log(share)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(v)), pa.array(np.concatenate(node)), pa.array(n), pa.array(level)], ["v", "node", "n", "level"]
+                    [pa.array(np.concatenate(v)), pa.array(np.concatenate(node)), pa.array(n), pa.array(level), pa.array(np.concatenate(kept))],
+                    ["v", "node", "n", "level", "kept"],
                 )
 
-    return nodes.select("node", "n", "sketch").mapInArrow(rows, "v long, node long, n long, level int")
+    return nodes.select("node", "n", "sketch").mapInArrow(rows, "v long, node long, n long, level int, kept int")
 
 
 def _few(ids: DataFrame) -> bool:
@@ -214,11 +232,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _star_pairs(lists: DataFrame) -> DataFrame:
     """For every node the smaller node that heads most of its lists: (a, b) with a < b.
 
-    A list is headed by its smallest node of the same size class.
+    A list is headed by its smallest node of the same size class. A head of
+    less than one in ``HEAD_SHARE`` of a node's lists is left to the comparison
+    of what lies in different components, which covers all pairs.
     """
     heads = lists.groupBy("v", "level").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    met = lists.join(heads, ["v", "level"]).where("head < node").groupBy("node", "head").agg(F.count(F.lit(1)).alias("shared"))
-    best = met.groupBy("node").agg(F.max(F.struct("shared", (-F.col("head")).alias("minus"))).alias("best"))
+    met = lists.join(heads, ["v", "level"]).where("head < node").groupBy("node", "head", "kept").agg(F.count(F.lit(1)).alias("shared"))
+    best = met.where(F.col("shared") * HEAD_SHARE >= F.col("kept")).groupBy("node").agg(F.max(F.struct("shared", (-F.col("head")).alias("minus"))).alias("best"))
     return best.select((-F.col("best.minus")).alias("a"), F.col("node").alias("b"))
 
 
@@ -250,44 +270,121 @@ def _may_link(a: np.ndarray, b: np.ndarray, whole: bool, k: int, share: float) -
     return int(np.searchsorted(both, union[-1], side="right")) >= least_shared(len(union), share)
 
 
-def _block_pairs(long_lists: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs across components in long lists that the union sketch does not rule out.
+def _family_links(members: DataFrame, documents: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """Links that join the components inside families: (a, b), by full sets.
 
-    A list is cut into blocks of about ``BLOCK`` members; each pair of blocks is
-    one group of two blocks at most, compared in memory, and only pairs that
-    pass leave it.
+    ``members`` has ``family, size, node``. A family is cut into blocks of
+    about ``2 * BLOCK`` nodes; a group holds the texts of two blocks. Shared
+    sketch values are counted for all its pairs at once; where some pair has
+    enough of them, shared shingles are counted likewise, which gives exact
+    indexes. What links join is returned as one pair for each node.
     """
-    share = percent / 100
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    spread = (
-        long_lists.withColumns({"own": own, "parts": parts})
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
-        .join(nodes.select("node", "n", "sketch"), "node")
+    parts = F.ceil(F.col("size") / (2 * BLOCK)).cast("int")
+    placed = members.withColumns({"parts": parts, "own": F.pmod(F.xxhash64("node"), parts).cast("int")})
+    ids = stage_table(placed, "members")
+    texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = texts.join(F.broadcast(ids) if few else ids, "node")
+    spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text"
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node")
-        node, n, component, own = (group[c].to_numpy() for c in ("node", "n", "component", "own"))
-        sketches = [np.asarray(s, np.int64).view(np.uint64) for s in group["sketch"]]
-        flat = np.concatenate(sketches)
-        row = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
-        cross = group["i"].iloc[0] != group["j"].iloc[0]
-        a, b = [], []
-        for x in range(len(sketches)):
-            shared = np.bincount(row[np.isin(flat, sketches[x])], minlength=len(sketches))
-            near = (shared > 0) & (component != component[x]) & (np.minimum(n, n[x]) >= share * np.maximum(n, n[x]))
-            near[: x + 1] = False
-            if cross:
-                near &= own != own[x]
-            for y in np.flatnonzero(near):
-                if _may_link(sketches[x], sketches[y], max(n[x], n[y]) < k, k, share):
-                    a.append(node[x])
-                    b.append(node[y])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return spread.groupBy("v", "i", "j").applyInPandas(compare, "a long, b long")
+        node, own = group["node"].to_numpy(), group["own"].to_numpy()
+        sets = [shingle_set(t, width) for t in group["text"]]
+        n = np.array([len(x) for x in sets])
+        need = np.array([values_needed(x, k, percent) if x else k + 1 for x in n])
+        flat = np.concatenate([x[:k] for x in sets])
+        row = np.repeat(np.arange(len(sets)), np.minimum(n, k))
+        enough = _co_occurrences(flat, row, len(sets)) >= np.maximum(need[:, None], need[None, :])
+        enough &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+        if group["i"].iloc[0] != group["j"].iloc[0]:
+            enough &= own[:, None] != own[None, :]
+        np.fill_diagonal(enough, False)
+        some = np.flatnonzero(enough.any(1))
+        if not len(some):
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        flat = np.concatenate([sets[x] for x in some])
+        shared = _co_occurrences(flat, np.repeat(np.arange(len(some)), n[some]), len(some))
+        linked = enough[np.ix_(some, some)] & (100 * shared >= percent * (n[some][:, None] + n[some][None, :] - shared))
+        # Every node takes the smallest place that its links reach.
+        place = np.arange(len(some))
+        while True:
+            near = np.where(linked, place[None, :], len(some)).min(1)
+            lower = np.minimum(place, near)
+            lower = lower[lower]
+            if (lower == place).all():
+                break
+            place = lower
+        moved = np.flatnonzero(place != np.arange(len(some)))
+        return pd.DataFrame({"a": node[some[place[moved]]], "b": node[some[moved]]})
+
+    links = spread.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
+    return stage_table(links.distinct(), "family_links")
+
+
+def _co_occurrences(flat: np.ndarray, row: np.ndarray, m: int, dense: int = 24, chunk: int = 2048) -> np.ndarray:
+    """Number of values that each pair of ``m`` rows shares; a row holds a value once.
+
+    Values of many rows are counted by a product of 0-1 matrices, values of few
+    by listing the pairs of their rows.
+    """
+    order = np.argsort(flat, kind="stable")
+    row = row[order]
+    starts = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
+    counts = np.diff(np.append(starts, len(flat)))
+    pairs = np.zeros(m * m, np.int64)
+    for c in range(2, dense + 1):
+        rows = row[starts[counts == c][:, None] + np.arange(c)]
+        i, j = np.triu_indices(c, 1)
+        for at in range(0, len(rows), 20_000):
+            part = rows[at : at + 20_000]
+            pairs += np.bincount((part[:, i] * m + part[:, j]).ravel(), minlength=m * m)
+    shared = pairs.reshape(m, m).astype(np.float32)
+    shared += shared.T
+    often = np.flatnonzero(counts > dense)
+    for at in range(0, len(often), chunk):
+        here = often[at : at + chunk]
+        seen = np.zeros((m, len(here)), np.float32)
+        for column, v in enumerate(here):
+            seen[row[starts[v] : starts[v] + counts[v]], column] = 1
+        shared += seen @ seen.T  # exact: counts stay below 2**24
+    return shared
+
+
+def _open_rows(lists: DataFrame, components: DataFrame) -> DataFrame:
+    """Rows of the lists whose members lie in several components."""
+    placed = lists.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return stage_table(placed.join(several.select("v"), "v", "left_semi"), "open")
+
+
+def _large_list_links(rows: DataFrame, documents: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """Links inside large lists.
+
+    A group of near copies shares many lists. So lists that share members are
+    first joined to a family, in which every pair is compared once.
+    """
+    heads = rows.groupBy("v").agg(F.min("node").alias("b"))
+    joined = rows.join(heads, "v").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
+    below = connected_components(joined).select("node", F.col("component").alias("family"))
+    families = stage_table(below.union(below.select(F.col("family").alias("node"), "family")).distinct(), "families")
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    sized = stage_table(families.join(sizes, "family"), "sized")
+    return _family_links(sized, documents, width, percent, k)
+
+
+def _short_list_links(rows: DataFrame, nodes: DataFrame, documents: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """Links across components inside short lists; a list's length bounds the pairs of a row."""
+    x, y = rows.alias("x"), rows.alias("y")
+    close = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    met = (
+        x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & close)
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        .distinct()
+    )
+    return _verified(_similar_sketches(met, nodes, percent, k), documents, width, percent)
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -311,29 +408,21 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
     base = stage_table(_sketches(documents, width, k), "sketches")
     known = base.where("n > 0 and doc_id is not null")
     nodes = stage_table(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "nodes")
-    retained = _retained(nodes, percent)
+    retained = _retained(nodes, percent, k)
     sizes = retained.groupBy("v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    lists = stage_table(retained.join(sizes, "v"), "lists")
+    met = stage_table(retained.join(sizes, "v"), "met")
+    # A node linked with any other meets it, no smaller than by its share, in so many lists.
+    least = F.greatest(F.lit(1), F.least(F.lit(COMMON), F.floor(F.col("n") * (percent * percent / 1e4))))
+    able = met.groupBy("node", "n").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= least)
+    lists = stage_table(met.join(able.select("node"), "node", "left_semi"), "lists")
     stars = _verified(_star_pairs(lists), documents, width, percent)
     first = connected_components(stars)
 
-    placed = lists.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_lists = (
-        placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v")
-    )
-    rest = stage_table(placed.join(open_lists, "v", "left_semi"), "open")
-    short = rest.where(F.col("size") <= LIST_JOIN)
-    x, y = short.alias("x"), short.alias("y")
-    close = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    met = (
-        x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & close)
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
-    candidates = _similar_sketches(met, nodes, percent, k).union(
-        _block_pairs(rest.where(F.col("size") > LIST_JOIN), nodes, percent, k)
-    )
-    links = _verified(candidates.distinct(), documents, width, percent)
+    large = _open_rows(lists.where(F.col("size") > LIST_JOIN), first)
+    links = _large_list_links(large, documents, width, percent, k)
+    second = connected_components(stars.union(links))
+    short = _open_rows(lists.where(F.col("size") <= LIST_JOIN), second)
+    links = links.union(_short_list_links(short, nodes, documents, width, percent, k))
     components = connected_components(stars.union(links))
 
     placed_nodes = nodes.select("d1", "d2", "n", "node").join(components, "node", "left")
