@@ -202,12 +202,15 @@ def learn_rules(
     """
     ids = labelled_sample(labels, label, sample, F.lit(True))
     known = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    stats = with_statistics(known).where(~base_failed(F.col("stats")))
-    table = stats.select(
+    # The base rules are applied to the stored statistics: as a filter on the join they
+    # would be pushed below it and measure every document.
+    stored = with_statistics(known).select(
         "label",
+        base_failed(F.col("stats")).alias("failed"),
         (F.xxhash64("doc_id", F.lit(3)) % 3 == 0).alias("prune"),
         *[feature(F.col("stats"), n).alias(n) for n in FEATURES],
     ).persist()
+    table = stored.where("not failed").drop("failed")
     try:
         marks = [k / bins for k in range(1, bins)]
         by_label = table.groupBy("label").agg(*[F.percentile_approx(n, marks).alias(n) for n in FEATURES]).collect()
@@ -218,7 +221,7 @@ def learn_rules(
         counted = table.select("label", "prune", *binned).groupBy("label", "prune", *FEATURES).agg(F.count(F.lit(1)).alias("n"))
         rows = [r.asDict() for r in counted.collect()]
     finally:
-        table.unpersist()
+        stored.unpersist()
     grow_rows = [r for r in rows if not r["prune"]]
     prune_rows = [r for r in rows if r["prune"]]
     # Bin numbers stand for cuts here: bin b lies above cut b - 1 and not above cut b.
