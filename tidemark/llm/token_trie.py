@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import math
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -46,9 +47,10 @@ class TokenTrie:
         self._empty()
 
     def _empty(self) -> None:
-        self.children: list[dict[int, int]] = [{}]
-        self.score = [0.0]
-        self.count = [0]
+        # Edges by node and byte in one table, scores and counts in flat arrays.
+        self.edges: dict[int, int] = {}
+        self.score = array("d", [0.0])
+        self.count = array("i", [0])
 
     def counts(self, pre_tokens: Iterable[bytes]) -> dict[bytes, int]:
         """Terminal counts of distinct pre-tokens."""
@@ -57,12 +59,12 @@ class TokenTrie:
     def _insert(self, word: bytes) -> int:
         if len(self.score) + len(word) > self.max_nodes and len(self.score) > 1:
             self._empty()
-        children, score, count = self.children, self.score, self.count
+        edges, score, count = self.edges, self.score, self.count
         pieces, longest, unknown = self.pieces, self.longest, self.unknown
         node, path = 0, [0]
         for end in range(1, len(word) + 1):
-            byte = word[end - 1]
-            child = children[node].get(byte)
+            edge = node << 8 | word[end - 1]
+            child = edges.get(edge)
             if child is None:
                 best, tokens = -math.inf, 0
                 for begin in range(end - 1, max(-1, end - 1 - longest), -1):
@@ -77,8 +79,7 @@ class TokenTrie:
                     if total > best or total == best and count[before] + 1 < tokens:
                         best, tokens = total, count[before] + 1
                 child = len(score)
-                children[node][byte] = child
-                children.append({})
+                edges[edge] = child
                 score.append(best)
                 count.append(tokens)
             node = child
