@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, free_name, stage_table
 
 #: Rows of one source that one task ranks; larger sources are salted.
-ROWS_PER_SALT = 50_000
+ROWS_PER_SALT = 2_000
 #: Seeded starts of the draw among which each group takes the one nearest its words.
 STARTS = 16
 #: So many sources at most are broadcast; beyond, the join shuffles.
@@ -156,7 +156,7 @@ WITH sized AS (
 ), keyed AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    md5('17:' || coalesce(s.doc_id::VARCHAR, '')) AS key, ceil(t.n_docs / 50000.0)::BIGINT AS salts
+    md5('17:' || coalesce(s.doc_id::VARCHAR, '')) AS key, ceil(t.n_docs / 2000.0)::BIGINT AS salts
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), salted AS (
   SELECT *, ('0x' || substr(key, 25, 8))::BIGINT % salts AS salt FROM keyed
