@@ -106,9 +106,12 @@ def learn_mixture(documents: DataFrame, where: Column, per_language: int = SAMPL
     the driver gets one row for each of the two, at most ``BUCKETS`` a language.
     """
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & where)
-    ranked = rows.select("doc_id", "lang").withColumn(
-        "_nth", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    )
+    # The part of a language's hashes that holds a fifth more than is wanted is ranked, so
+    # that a frequent language doesn't meet in one task. There is one count a language.
+    counts = F.broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    near = rows.select("doc_id", "lang", spread.alias("_at")).join(counts, "lang").where(F.col("_at") * F.col("_n") <= (1.2 * per_language + 50) * (1 << 30))
+    ranked = near.withColumn("_nth", F.row_number().over(W.partitionBy("lang").orderBy("_at", "doc_id")))
     ids = ranked.where(F.col("_nth") <= per_language).select("doc_id", "lang").distinct()
     sample = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
 
