@@ -66,3 +66,20 @@ def test_config(bad):
     with pytest.raises(ValueError):
         Config(**bad).checked()
     Config().checked()
+
+
+def test_running_places_number_every_row(spark):
+    rows = [(i * 7919 % 5003, "same" if i % 2 else f"k{i % 11}") for i in range(5003)]
+    frame = spark.createDataFrame(rows, "id long, key string").repartition(7)
+    placed = ranking.running_places(frame, [F.col("key"), F.col("id")])
+    want = [(i, k, n) for n, (k, i) in enumerate(sorted((k, i) for i, k in rows), 1)]
+    assert [tuple(r) for r in placed.select("id", "key", "place").orderBy("place").collect()] == want
+    assert ranking.running_places(frame.limit(0), [F.col("key"), F.col("id")]).count() == 0
+
+
+def test_order_list_has_every_page(spark):
+    from tidemark import catalog_more
+
+    sf = "/root/testdata/sf0.1"
+    places = [r.place for r in catalog_more.order_list(spark, sf).select("place").orderBy("place").collect()]
+    assert places == list(range(1, 2501))

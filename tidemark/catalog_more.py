@@ -280,12 +280,25 @@ FROM pages QUALIFY place <= 1000
 """
 )
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first thousand addresses with their numbers ordered by value: a top-k, not a full sort."""
+    """The first thousand rows of ``order_list``, as its SQL asks: a top-k, not a full sort."""
     key = text.natural_key(F.col("url"))
     top = table(spark, sf_dir, "pages").select("page_id", "url", key.alias("key")).orderBy("key", "page_id").limit(1000)
     return top.withColumn("place", F.row_number().over(W.orderBy("key", "page_id"))).drop("key")
 
 
+@query(
+    r"""
+SELECT page_id, url, row_number() OVER (ORDER BY regexp_replace(regexp_replace(lower(url), '([0-9]+)', '00000000000000000000\1', 'g'), '0+([0-9]{20})', '\1', 'g') NULLS FIRST, page_id NULLS FIRST) AS place
+FROM pages
+"""
+)
+def order_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All addresses with their numbers ordered by value."""
+    key = text.natural_key(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", key.alias("key"))
+    return ranking.running_places(pages, [F.col("key"), F.col("page_id")]).drop("key")
+
+
 QUADS_SQL = """
 quads AS (
   SELECT l_orderkey // 4 AS spread, ['left', 'right'][(l_linenumber % 2 + 1)::INT] AS side, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS id,

@@ -232,3 +232,25 @@ def rotation_pick(scores: DataFrame, digits: int = 3) -> DataFrame:
     value = F.when(direction < 0.025, F.least(value, F.lit(0.62))).otherwise(value)
     value = F.when(axis < 0.04, F.least(value, F.lit(0.55))).otherwise(value)
     return picked.select("entity", "rotation", "score", F.round(value, digits).alias("confidence"))
+
+
+def running_places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Number all rows from 1 in ``order``, which should be total.
+
+    Rows are sorted by range; each task's rows are numbered after those of the
+    tasks before it, so no task sees the whole table.
+    """
+    from ..llm.common import free_name, stage_table
+
+    at, part, before = (free_name(df, x) for x in ("at", "part", "before"))
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id holds the task's number above bit 33 and the row's place in the task below it.
+    run = stage_table(spread.withColumn(at, F.monotonically_increasing_id()), "places").withColumn(part, F.shiftright(at, 33))
+    # One row per task of the sort: few enough for the driver and a broadcast.
+    starts, total = [(-1, 0)], 0
+    for task, n in sorted(run.groupBy(part).count().collect()):
+        starts.append((task, total))
+        total += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, f"{part} long, {before} long"))
+    place = F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return run.join(offsets, part).withColumn(name, place).drop(at, part, before)
