@@ -70,6 +70,25 @@ def test_added_spans_need_checksum_or_context(spark):
     assert {r.doc_id: r.spans for r in found.collect()} == {1: "iban:7:34", 2: "", 3: "local_phone:5:17", 4: ""}
 
 
+def test_account_numbers_end_at_their_country_length(spark):
+    number, grouped = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    texts = {
+        f"{number} Please": [(0, 22)],
+        f"{grouped} Thanks": [(0, 27)],
+        f"IBAN {grouped} BIC COBADEFF": [(5, 32)],
+        f"IBAN {number} 2024": [(5, 27)],
+        f"{number} GB82WEST12345698765432 NO9386011117947 X": [(0, 22), (23, 45), (46, 61)],
+        f"REF AB12 {number} PAID": [(9, 31)],
+        f"FR12 {number} 7": [(5, 27)],
+        f"é {number} é": [(2, 24)],
+        f"{number}1 Please": [],
+        "DE88370400440532013000 Please": [],
+    }
+    rows = personal_data.op2_query(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = {i: ",".join(f"iban:{a}:{b}" for a, b in found) for i, found in enumerate(texts.values())}
+    assert {r.doc_id: r.spans for r in rows.collect()} == want
+
+
 def test_decontamination(spark, docs, texts):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").union(
         spark.createDataFrame([(5000, "one two"), (5001, None), (5002, ""), (5003, "!!")], "item_id long, text string")

@@ -17,9 +17,21 @@ BASE_PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Countries by the length of their account numbers.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA",
+    30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_FIXED = "|".join(rf"(?:{codes})[0-9]{{2}}(?:[\x20]?+[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+# Only codes without a known length take the whole run.
+_OPEN = rf"(?!{'|'.join(IBAN_LENGTHS.values())})[A-Z]{{2}}[0-9]{{2}}(?:[\x20]?+[A-Z0-9]){{11,30}}+"
 #: Spans that the method adds to the base ones.
 ADDED_PATTERNS = {
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # The number is looked ahead at and only its first letter consumed, so that
+    # a failing one hides none that begins inside it.
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_FIXED}|{_OPEN})(?![A-Za-z0-9])))[A-Z]",
     "local_phone": r"(?<![0-9A-Za-z+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
     "national_id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
 }
@@ -111,9 +123,10 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
     """Confirmed spans of one kind: (start, end, score) in code points, in order.
 
     The pieces between matches give the places: a match starts after all
-    earlier pieces and matches.
+    earlier pieces and what earlier matches consumed.
     """
     span = "array<struct<start:int,end:int,score:double>>"
+    ahead = kind == "iban"
 
     def placed(pair: Column) -> Column:
         walk = F.aggregate(
@@ -122,7 +135,7 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
             ),
             F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out")),
             lambda s, x: F.struct(
-                (s["at"] + F.length(x["piece"]) + F.length(x["match"])).alias("at"),
+                (s["at"] + F.length(x["piece"]) + (F.lit(1) if ahead else F.length(x["match"]))).alias("at"),
                 F.concat(
                     s["out"],
                     F.array(
@@ -136,6 +149,12 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
             ),
         )
         good = F.filter(walk["out"], lambda m: _confirmed(kind, m["match"]))
+        if ahead:
+            good = F.aggregate(
+                good,
+                F.array().cast("array<struct<start:int,end:int,match:string>>"),
+                lambda kept, m: F.when(F.exists(kept, lambda k: k["end"] > m["start"]), kept).otherwise(F.concat(kept, F.array(m))),
+            )
 
         def scored(m: Column) -> Column:
             begin = F.greatest(m["start"] - WINDOW, F.lit(0))
@@ -151,7 +170,7 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
         pair = F.struct(found.alias("found"), F.split(text, pattern, -1).alias("pieces"))
         return F.when(F.size(found) == 0, F.array().cast(span)).otherwise(_let(pair, placed))
 
-    found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found_in)
+    found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(int(ahead))), found_in)
     possible = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else F.rlike(text, F.lit(_DIGIT_NEEDS[kind]))
     return F.when(possible, found).otherwise(F.array().cast(span))
 
@@ -162,7 +181,8 @@ def find_personal_data(documents: DataFrame, text: str = "text", name: str = "pe
     The base kinds hold every leftmost, non-overlapping match of their pattern
     that its check confirms (parts of an address at most 255, Luhn, number of
     digits); context words only change their scores. The added kinds are bank
-    accounts confirmed modulo 97, and numbers written like national phones or
+    accounts of their country's length (any, where the code is not listed)
+    confirmed modulo 97, and numbers written like national phones or
     ids, which need a context word nearby to reach ``KEEP_SCORE``; they are
     left out where they overlap a base span. Ends are exclusive, in code
     points. Null texts count as empty; each row is searched by itself, whole.
