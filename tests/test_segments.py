@@ -117,6 +117,44 @@ def test_edits_undo_and_redo(spark):
     assert state("undo", "redo") == (True, 0, 0)
 
 
+def test_folds_stream_a_group_of_any_size(spark):
+    rng = random.Random(9)
+    rows = [(e, i, rng.choice([None, rng.getrandbits(6) - 32, -(1 << 63)])) for e, n in ((None, 50), (1, 6000), (2, 1)) for i in range(n)]
+    want = []
+    for entity in (None, 1, 2):
+        roots = []
+        for e, i, h in rows:
+            if e == entity:
+                near = [r for r, g in roots if h is not None and g is not None and bin((h ^ g) % 2**64).count("1") <= 2]
+                want.append((e, i, near[0] if near else None))
+                roots = roots if near else [(i, h), *roots][:3]
+    shuffled = rng.sample(rows, len(rows))
+    windows = [(1, float(i), i + 0.5) for i in range(5000)]
+    intervals = [(1, float(i), i + 0.5, float(i // 10), float(i // 10)) for i in range(5000)]
+    edits = [(1, i, "toggle" if i % 3 else "undo") for i in range(5001)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "70")
+    try:
+        folded = [
+            folds.window_dedupe(spark.createDataFrame(shuffled, "entity long, id long, hash long"), 2, 3),
+            folds.span_groups(spark.createDataFrame(windows, "entity long, start double, end double"), 1, 9.5),
+            folds.chain_premerge(spark.createDataFrame(intervals, "entity long, start double, end double, first_value double, last_value double"), 1, 0.5),
+            folds.replay_edits(spark.createDataFrame(edits, "entity long, turn long, action string")),
+            folds.nms_topk(spark.createDataFrame([(1, float(i), 1.0) for i in range(5000)], "entity long, t double, score double"), 400, 10),
+        ]
+        got = [sorted(map(tuple, df.collect()), key=str) for df in folded]
+    finally:
+        spark.conf.unset(size)
+    assert got[0] == sorted(want, key=str)
+    groups = sorted([(1, g, 10.0 * g, 10 * g + 9.5, 10) for g in range(500)], key=str)
+    assert got[1] == groups and got[2] == groups
+    assert got[3] == [(1, 5001, True, 30, 0)]
+    assert got[4] == sorted([(1, p, 10.0 * p, 1.0) for p in range(400)], key=str)
+    for df in folded:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan
+
+
 def test_empty_series(spark):
     empty = spark.createDataFrame([], EVERY)
     assert segments.stable_intervals(empty, 1, 2, 3).count() == 0

@@ -1,17 +1,55 @@
 """Order-dependent operators: a fold over each entity's sorted rows.
 
-A fold's group is one entity's short list of intervals or points, not its raw
-samples. Each is folded inside one row by higher-order functions.
+The rows of an entity are streamed in order through one task, which keeps only
+the fold's state from row to row; a group may be of any size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
 
+def _fold(df: DataFrame, entity: str, columns: list[Column], out: str, start: Callable, step: Callable, close: Callable | None = None) -> DataFrame:
+    """Rows that ``step(state, *columns)`` gives for each row in order of ``columns``, and ``close(state)`` after an entity's last.
 
-def _sorted_list(df: DataFrame, entity: str, *columns: Column) -> DataFrame:
-    return df.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+    ``out`` is the schema of the rows without the entity; ``start()`` is the
+    state before an entity's first row, which ``step`` changes in place.
+    """
+    rows = df.select(F.col(entity).alias("entity"), *columns)
+    fields = StructType.fromDDL(out).fields
+    names = ["entity", *[f.name for f in fields]]
+    kinds = [{"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[f.dataType.simpleString()] for f in fields]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, at, state, kind = False, None, None, None
+        for batch in batches:
+            given = []
+            kind = batch.column(0).type
+            for key, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if not begun or key != at:
+                    if begun and close:
+                        given += [(at, *r) for r in close(state)]
+                    begun, at, state = True, key, start()
+                given += [(at, *r) for r in step(state, *row)]
+            yield packed(given, kind)
+        if begun and close:
+            yield packed([(at, *r) for r in close(state)], kind)
+
+    def packed(given: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        listed = list(zip(*given, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(listed, [kind, *kinds], strict=True)], names=names)
+
+    schema = StructType([StructField("entity", rows.schema["entity"].dataType), *fields])
+    return rows.repartition("entity").sortWithinPartitions(*rows.columns).mapInArrow(run, schema)
+
+
+def _within(a: float | None, b: float | None, most: float) -> bool:
+    return a is not None and b is not None and a - b <= most
 
 
 def nms_topk(points: DataFrame, limit: int, separation: float) -> DataFrame:
@@ -21,15 +59,15 @@ def nms_topk(points: DataFrame, limit: int, separation: float) -> DataFrame:
     """
     if limit < 1:
         return points.limit(0).select("entity", F.lit(0).alias("place"), "t", "score")
-    listed = _sorted_list(points, "entity", (-F.col("score")).alias("minus"), F.col("t").alias("t"))
-    start = F.array().cast("array<struct<minus:double,t:double>>")
 
-    def step(kept: Column, x: Column) -> Column:
-        free = (F.size(kept) < limit) & ~F.exists(kept, lambda k: F.abs(k["t"] - x["t"]) < separation)
-        return F.when(free, F.concat(kept, F.array(x))).otherwise(kept)
+    def step(kept: list, minus: float | None, t: float | None) -> list[tuple]:
+        if len(kept) >= limit or any(k is None or t is None or abs(k - t) < separation for k in kept):
+            return []
+        kept.append(t)
+        return [(len(kept) - 1, t, None if minus is None else -minus)]
 
-    kept = listed.select("entity", F.posexplode(F.aggregate("rows", start, step)).alias("place", "x"))
-    return kept.select("entity", "place", F.col("x.t").alias("t"), (-F.col("x.minus")).alias("score"))
+    columns = [(-F.col("score")).cast("double").alias("minus"), F.col("t").cast("double").alias("t")]
+    return _fold(points, "entity", columns, "place int, t double, score double", list, step)
 
 
 def span_groups(windows: DataFrame, max_gap: float, max_span: float, max_members: int | None = None) -> DataFrame:
@@ -38,21 +76,16 @@ def span_groups(windows: DataFrame, max_gap: float, max_span: float, max_members
     ``windows`` has ``entity, start, end``. Returns per group its number, first
     start, last end and number of windows.
     """
-    listed = _sorted_list(windows, "entity", F.col("start").alias("start"), F.col("end").alias("end"))
-    start = F.array().cast("array<struct<first:double,last:double,n:int>>")
 
-    def step(groups: Column, x: Column) -> Column:
-        last = F.element_at(groups, -1)
-        fits = (x["start"] - last["last"] <= max_gap) & (x["end"] - last["first"] <= max_span)
-        if max_members:
-            fits = fits & (last["n"] < max_members)
-        fits = (F.size(groups) > 0) & F.coalesce(fits, F.lit(False))
-        grown = F.struct(last["first"].alias("first"), x["end"].alias("last"), (last["n"] + 1).alias("n"))
-        opened = F.struct(x["start"].alias("first"), x["end"].alias("last"), F.lit(1).alias("n"))
-        return F.when(fits, F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(grown))).otherwise(F.concat(groups, F.array(opened)))
+    # The state is the open group: number, first start, last end and count.
+    def step(s: list, start: float | None, end: float | None) -> list[tuple]:
+        fits = s and _within(start, s[2], max_gap) and _within(end, s[1], max_span) and not (max_members and s[3] >= max_members)
+        done = [] if fits or not s else [tuple(s)]
+        s[:] = [s[0], s[1], end, s[3] + 1] if fits else [s[0] + 1 if s else 0, start, end, 1]
+        return done
 
-    safe = F.aggregate("rows", start, lambda a, x: F.when(F.size(a) == 0, F.array(F.struct(x["start"].alias("first"), x["end"].alias("last"), F.lit(1).alias("n")))).otherwise(step(a, x)))
-    return listed.select("entity", F.posexplode(safe).alias("grp", "g")).select("entity", "grp", F.col("g.first").alias("start"), F.col("g.last").alias("end"), F.col("g.n").alias("n_windows"))
+    columns = [F.col(c).cast("double").alias(c) for c in ("start", "end")]
+    return _fold(windows, "entity", columns, "grp int, start double, end double, n_windows int", list, step, lambda s: [tuple(s)])
 
 
 def window_dedupe(rows: DataFrame, distance: int, window: int) -> DataFrame:
@@ -62,19 +95,19 @@ def window_dedupe(rows: DataFrame, distance: int, window: int) -> DataFrame:
     bits or fewer from one of them is a duplicate of the newest such; all
     others are originals themselves.
     """
-    listed = _sorted_list(rows, "entity", F.col("id").alias("id"), F.col("hash").alias("hash"))
-    state = "struct<roots:array<struct<id:bigint,hash:bigint>>,out:array<struct<id:bigint,root:bigint>>>"
-    start = F.struct(F.array().alias("roots"), F.array().alias("out")).cast(state)
+    bits = (1 << 64) - 1
 
-    def step(s: Column, x: Column) -> Column:
-        # Roots are listed newest first.
-        near = F.filter(s["roots"], lambda r: F.bit_count(r["hash"].bitwiseXOR(x["hash"])) <= distance)
-        root = F.when(F.size(near) > 0, F.element_at(near, 1)["id"])
-        roots = F.when(root.isNull(), F.slice(F.concat(F.array(F.struct(x["id"].alias("id"), x["hash"].alias("hash"))), s["roots"]), 1, window)).otherwise(s["roots"])
-        return F.struct(roots.alias("roots"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), root.alias("root")))).alias("out"))
+    # Roots are listed newest first.
+    def step(roots: list, item: int | None, value: int | None) -> list[tuple]:
+        near = (i for i, h in roots if h is not None and value is not None and ((h ^ value) & bits).bit_count() <= distance)
+        root = next(near, None)
+        if root is None:
+            roots.insert(0, (item, value))
+            del roots[window:]
+        return [(item, root)]
 
-    out = listed.select("entity", F.explode(F.aggregate("rows", start, step)["out"]).alias("o"))
-    return out.select("entity", F.col("o.id").alias("id"), F.col("o.root").alias("duplicate_of"))
+    columns = [F.col(c).cast("long").alias(c) for c in ("id", "hash")]
+    return _fold(rows, "entity", columns, "id long, duplicate_of long", list, step)
 
 
 def chain_premerge(intervals: DataFrame, max_gap: float, max_change: float) -> DataFrame:
@@ -84,28 +117,19 @@ def chain_premerge(intervals: DataFrame, max_gap: float, max_change: float) -> D
     value of a merged interval is that of its first member, so the chain does
     not drift.
     """
-    listed = _sorted_list(
-        intervals, "entity", *[F.col(c).cast("double").alias(c) for c in ("start", "end", "first_value", "last_value")]
-    )
-    kind = "array<struct<start:double,end:double,first_value:double,last_value:double,n:int>>"
-
-    def opened(x: Column) -> Column:
-        return F.array(F.struct(*[x[c].alias(c) for c in ("start", "end", "first_value", "last_value")], F.lit(1).alias("n")))
-
-    def step(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        alike = (
-            (x["start"] - last["end"] <= max_gap)
-            & (F.abs(x["first_value"] - last["first_value"]) <= max_change)
-            & (F.abs(x["last_value"] - last["last_value"]) <= max_change)
-        )
-        grown = F.struct(last["start"].alias("start"), x["end"].alias("end"), last["first_value"].alias("first_value"), x["last_value"].alias("last_value"), (last["n"] + 1).alias("n"))
-        return F.when(alike, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(grown))).otherwise(F.concat(a, opened(x)))
-
-    merged = F.aggregate("rows", F.array().cast(kind), lambda a, x: F.when(F.size(a) == 0, opened(x)).otherwise(step(a, x)))
-    return listed.select("entity", F.posexplode(merged).alias("grp", "g")).select(
-        "entity", "grp", F.col("g.start").alias("start"), F.col("g.end").alias("end"), F.col("g.n").alias("n_merged")
-    )
+
+    def near(a: float | None, b: float | None) -> bool:
+        return a is not None and b is not None and abs(a - b) <= max_change
+
+    # The state is the open interval: number, start, end, count, first and last value.
+    def step(s: list, start: float | None, end: float | None, first: float | None, last: float | None) -> list[tuple]:
+        alike = s and _within(start, s[2], max_gap) and near(first, s[4]) and near(last, s[5])
+        done = [] if alike or not s else [tuple(s[:4])]
+        s[:] = [s[0], s[1], end, s[3] + 1, s[4], last] if alike else [s[0] + 1 if s else 0, start, end, 1, first, last]
+        return done
+
+    columns = [F.col(c).cast("double").alias(c) for c in ("start", "end", "first_value", "last_value")]
+    return _fold(intervals, "entity", columns, "grp int, start double, end double, n_merged int", list, step, lambda s: [tuple(s[:4])])
 
 
 def replay_edits(edits: DataFrame, cap: int = 30) -> DataFrame:
@@ -114,18 +138,18 @@ def replay_edits(edits: DataFrame, cap: int = 30) -> DataFrame:
     ``edits`` has ``entity, turn, action`` in ``toggle, undo, redo``. A new edit
     clears what could be redone; ``cap`` edits at most can be undone.
     """
-    listed = _sorted_list(edits, "entity", F.col("turn").alias("turn"), F.col("action").alias("action"))
-    state = "struct<enabled:boolean,undo:int,redo:int>"
-    start = F.struct(F.lit(True).alias("enabled"), F.lit(0).alias("undo"), F.lit(0).alias("redo")).cast(state)
-
-    def step(s: Column, x: Column) -> Column:
-        back = (x["action"] == "undo") & (s["undo"] > 0)
-        again = (x["action"] == "redo") & (s["redo"] > 0)
-        edit = x["action"] == "toggle"
-        undo = F.when(edit, F.least(s["undo"] + 1, F.lit(cap))).when(back, s["undo"] - 1).when(again, s["undo"] + 1).otherwise(s["undo"])
-        redo = F.when(edit, F.lit(0)).when(back, s["redo"] + 1).when(again, s["redo"] - 1).otherwise(s["redo"])
-        enabled = F.when(edit | back | again, ~s["enabled"]).otherwise(s["enabled"])
-        return F.struct(enabled.alias("enabled"), undo.cast("int").alias("undo"), redo.cast("int").alias("redo"))
-
-    folded = listed.select("entity", F.aggregate("rows", start, step).alias("s"), F.size("rows").alias("n_edits"))
-    return folded.select("entity", "n_edits", F.col("s.enabled").alias("enabled"), F.col("s.undo").alias("undo"), F.col("s.redo").alias("redo"))
+
+    # The state is the number of edits, whether enabled, and what can be undone and redone.
+    def step(s: list, turn: object, action: str | None) -> list[tuple]:
+        n, enabled, undo, redo = s
+        if action == "toggle":
+            enabled, undo, redo = not enabled, min(undo + 1, cap), 0
+        elif action == "undo" and undo > 0:
+            enabled, undo, redo = not enabled, undo - 1, redo + 1
+        elif action == "redo" and redo > 0:
+            enabled, undo, redo = not enabled, undo + 1, redo - 1
+        s[:] = [n + 1, enabled, undo, redo]
+        return []
+
+    columns = [F.col("turn").alias("turn"), F.col("action").alias("action")]
+    return _fold(edits, "entity", columns, "n_edits int, enabled boolean, undo int, redo int", lambda: [0, True, 0, 0], step, lambda s: [tuple(s)])
