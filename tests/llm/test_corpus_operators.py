@@ -1,5 +1,6 @@
 """Operators over the whole corpus against plain Python and SQL."""
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -204,3 +205,11 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in dedup_minhash.connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 100: 90}
+
+
+def test_a_link_at_the_threshold_is_missed_once_in_a_billion():
+    k = dedup_minhash.SKETCH
+    for size in (52, k, 1000):
+        drawn, need = min(size, k), dedup_minhash.values_needed(size, k, 80)
+        below = sum(math.comb(drawn, c) * 0.8**c * 0.2 ** (drawn - c) for c in range(need))
+        assert below <= 1e-9

@@ -18,7 +18,7 @@ from .common import stage_table
 
 #: Values that a sketch retains, and the chance to miss a link that is granted.
 SKETCH = 64
-MISS = 1e-7
+MISS = 1e-9
 #: Lists that the sketches of a linked pair have in common at least, where sets are large enough.
 COMMON = 8
 #: Values tracked by the sketch of frequent values; at most so many are broadcast.
