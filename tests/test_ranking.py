@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import ranking, review
+from tidemark.operators import ordering, ranking, review
 from tidemark.plans.config import Config
 
 ROWS = "grp long, cand long, selection_score double, focus double, hand double, motion double, glare double, suspect array<string>"
@@ -68,18 +68,44 @@ def test_config(bad):
     Config().checked()
 
 
-def test_running_places_number_every_row(spark):
+def test_mid_rank_leaves_out_what_is_not_finite(spark):
+    rows = [(1, 1.0), (1, float("nan")), (1, 3.0), (1, float("inf")), (1, float("-inf")), (1, None), (1, 2.0)]
+    df = spark.createDataFrame(rows, "g long, x double")
+    got = {str(r.x): r.r for r in df.select("x", ranking.mid_rank("x", ["g"], False).alias("r")).collect()}
+    assert got == {"1.0": 1.0, "2.0": 0.5, "3.0": 0.0, "nan": None, "inf": None, "-inf": None, "None": None}
+
+
+def test_all_measures_share_one_shuffle(spark):
+    from tidemark import catalog
+
+    plan = catalog.relative_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    plan = catalog.safe_fix_suggestions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_places_number_every_row(spark):
     rows = [(i * 7919 % 5003, "same" if i % 2 else f"k{i % 11}") for i in range(5003)]
-    frame = spark.createDataFrame(rows, "id long, key string").repartition(7)
-    placed = ranking.running_places(frame, [F.col("key"), F.col("id")])
-    want = [(i, k, n) for n, (k, i) in enumerate(sorted((k, i) for i, k in rows), 1)]
-    assert [tuple(r) for r in placed.select("id", "key", "place").orderBy("place").collect()] == want
-    assert ranking.running_places(frame.limit(0), [F.col("key"), F.col("id")]).count() == 0
+    frame = spark.createDataFrame(rows, "id long, key string").repartition(7).withColumn("_at", F.lit(1))
+    placed = ordering.in_order(frame, [F.col("key"), F.col("id")], total="all", sums={"id": "before"}).orderBy("place").collect()
+    want, before = [], 0
+    for n, (k, i) in enumerate(sorted((k, i) for i, k in rows)):
+        want.append((i, k, n, 5003, before))
+        before += i
+    assert [(r.id, r.key, r.place, r["all"], r.before) for r in placed] == want
+    assert ordering.in_order(frame.limit(0), [F.col("key"), F.col("id")]).count() == 0
 
 
-def test_order_list_has_every_page(spark):
+def test_every_page_has_a_place(spark):
     from tidemark import catalog_more
 
-    sf = "/root/testdata/sf0.1"
-    places = [r.place for r in catalog_more.order_list(spark, sf).select("place").orderBy("place").collect()]
+    places = [r.place for r in catalog_more.natural_order(spark, "/root/testdata/sf0.1").select("place").orderBy("place").collect()]
     assert places == list(range(1, 2501))
+
+
+def test_adjacent_duplicates_pass_over_what_is_switched_off(spark):
+    pages = spark.createDataFrame(
+        [("p", 1, 0, 0b1111, True), ("p", 2, 1, 0b0000, False), ("p", 3, 2, 0b1110, True), ("p", 4, 3, None, True), ("p", 5, 4, 0b1110, True), ("q", 6, 0, 0b1110, True)],
+        "project string, id long, position long, hash long, enabled boolean",
+    )
+    assert [(r.id, r.distance) for r in review.adjacent_duplicates(pages, 2).collect()] == [(3, 1)]

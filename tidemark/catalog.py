@@ -364,8 +364,7 @@ FROM others QUALIFY donor_rank <= 5
 """
 )
 def donor_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _relative(spark, sf_dir)
-    return ranking.donor_ranking(rows, ranking.choose(rows, ["spread"]), ["spread"]).select("spread", "cand", "donor_rank")
+    return ranking.donor_ranking(_relative(spark, sf_dir), ["spread"]).select("spread", "cand", "donor_rank")
 
 
 _R = _codes(ranking.FIX_RISKS)
@@ -394,8 +393,7 @@ FROM improved WHERE len(list_filter(risks, lambda x: NOT list_contains(was_risks
 """
 )
 def safe_fix_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _relative(spark, sf_dir)
-    return ranking.safe_fixes(rows, ranking.choose(rows, ["spread"]), ["spread"]).withColumn("improvements", F.array_join("improvements", ","))
+    return ranking.safe_fixes(_relative(spark, sf_dir), ["spread"]).withColumn("improvements", F.array_join("improvements", ","))
 
 
 @query(
@@ -404,7 +402,7 @@ WITH {REVIEW_PAGES_SQL}, counted AS (
   SELECT project, sum(CASE WHEN enabled THEN CASE WHEN side = 'spread' THEN 2 ELSE 1 END ELSE 0 END)::BIGINT AS actual, count(*) FILTER (enabled) AS output_items
   FROM review_pages GROUP BY project
 ), checked AS (
-  SELECT *, CASE WHEN length(project) > 4 THEN actual + output_items % 3 - 1 END AS expected FROM counted
+  SELECT *, CASE WHEN length(project) > 6 THEN actual + output_items % 3 - 1 END AS expected FROM counted
 )
 SELECT *, actual - expected AS difference,
   CASE WHEN expected IS NULL THEN 'unset' WHEN actual = expected THEN 'match' WHEN actual < expected THEN 'short' ELSE 'over' END AS status
@@ -412,7 +410,7 @@ FROM checked
 """
 )
 def page_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected = F.when(F.length("project") > 4, F.col("actual") + F.col("output_items") % 3 - 1)
+    expected = F.when(F.length("project") > 6, F.col("actual") + F.col("output_items") % 3 - 1)
     return review.page_count_check(review_pages(spark, sf_dir), expected)
 
 

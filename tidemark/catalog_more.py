@@ -22,8 +22,8 @@ from .catalog import (
     query,
 )
 from .functions import geometry, kernels, text
-from .operators import asof, consensus, folds, ranking, review, segments
-from .sources.adapters import CANDIDATES_SQL, REVIEW_PAGES_SQL, candidates, rasters, review_pages, samples, seconds, table
+from .operators import asof, consensus, folds, ordering, ranking, review, segments
+from .sources.adapters import CANDIDATES_SQL, GROUP_SQL, REVIEW_PAGES_SQL, candidates, rasters, review_pages, samples, seconds, table
 
 SEPARATION, TOP = 3 * DAY, 3
 
@@ -107,7 +107,7 @@ def chain_premerge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HASH_SQL = (
-    "hashes AS (SELECT vec_id AS id, label AS grp, ("
+    f"hashes AS (SELECT vec_id AS id, {GROUP_SQL} AS grp, ("
     + " + ".join(f"CASE WHEN embedding[{r * 8 + c + 2}] > embedding[{r * 8 + c + 1}] THEN {1 << (r * 7 + c)}::BIGINT ELSE 0 END" for r in range(8) for c in range(7))
     + ") AS hash FROM embeddings)"
 )
@@ -162,7 +162,7 @@ def window3_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {HASH_SQL}, paged AS (
   SELECT h.*, row_number() OVER (PARTITION BY grp ORDER BY id) - 1 AS position FROM hashes h
 ), shown AS (
-  SELECT grp AS project, id, position, hash, lag(hash) OVER (PARTITION BY grp ORDER BY position) AS before FROM paged WHERE id % 7 <> 3
+  SELECT grp AS project, id, position, hash, lag(hash) OVER (PARTITION BY grp ORDER BY position) AS before FROM paged
 )
 SELECT project, id, position, bit_count(xor(hash, before))::INT AS distance FROM shown WHERE bit_count(xor(hash, before)) <= 24
 """
@@ -170,7 +170,7 @@ SELECT project, id, position, bit_count(xor(hash, before))::INT AS distance FROM
 def adjacent_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = W.partitionBy("grp").orderBy("id")
     pages = _hashes(spark, sf_dir).select(
-        F.col("grp").alias("project"), "id", (F.row_number().over(order) - 1).cast("long").alias("position"), "hash", (F.col("id") % 7 != 3).alias("enabled")
+        F.col("grp").alias("project"), "id", (F.row_number().over(order) - 1).cast("long").alias("position"), "hash", F.lit(True).alias("enabled")
     )
     return review.adjacent_duplicates(pages, 24).select("project", "id", "position", "distance")
 
@@ -273,30 +273,24 @@ def nearest_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where((F.col("place") <= 3) & (F.col("apart") <= 2 * DAY)).withColumn("apart", F.round("apart", 4))
 
 
-@query(
-    r"""
-SELECT page_id, url, row_number() OVER (ORDER BY regexp_replace(regexp_replace(lower(url), '([0-9]+)', '00000000000000000000\1', 'g'), '0+([0-9]{20})', '\1', 'g'), page_id)::INT AS place
-FROM pages QUALIFY place <= 1000
+_NATURAL_SQL = r"""
+SELECT page_id, url, row_number() OVER (ORDER BY regexp_replace(regexp_replace(lower(url), '([0-9]+)', '00000000000000000000\1', 'g'), '0+([0-9]{20})', '\1', 'g') NULLS FIRST, page_id NULLS FIRST) AS place
+FROM pages
 """
-)
+
+
+@query(_NATURAL_SQL)
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first thousand rows of ``order_list``, as its SQL asks: a top-k, not a full sort."""
-    key = text.natural_key(F.col("url"))
-    top = table(spark, sf_dir, "pages").select("page_id", "url", key.alias("key")).orderBy("key", "page_id").limit(1000)
-    return top.withColumn("place", F.row_number().over(W.orderBy("key", "page_id"))).drop("key")
+    """All addresses with their places, numbers in them ordered by value."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", text.natural_key(F.col("url")).alias("key"))
+    placed = ordering.in_order(pages, [F.col("key"), F.col("page_id")])
+    return placed.withColumn("place", F.col("place") + 1).drop("key")
 
 
-@query(
-    r"""
-SELECT page_id, url, row_number() OVER (ORDER BY regexp_replace(regexp_replace(lower(url), '([0-9]+)', '00000000000000000000\1', 'g'), '0+([0-9]{20})', '\1', 'g') NULLS FIRST, page_id NULLS FIRST) AS place
-FROM pages
-"""
-)
+@query(_NATURAL_SQL)
 def order_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All addresses with their numbers ordered by value."""
-    key = text.natural_key(F.col("url"))
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", key.alias("key"))
-    return ranking.running_places(pages, [F.col("key"), F.col("page_id")]).drop("key")
+    """The same as ``natural_order``, by the name of the build plan."""
+    return natural_order(spark, sf_dir)
 
 
 QUADS_SQL = """
@@ -595,7 +589,37 @@ def concatenated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("conv_id").alias("source"), "first_turn", "n_rows", (F.col("block_start") + F.col("inside")).alias("offset_before"))
 
 
-@query()
+_R, _C = "(i // 8)", "(i % 8)"
+_MIRROR = lambda k: f"(7 - abs(7 - abs({k})))"
+_PIXELS_SQL = f"""pixels AS (
+  SELECT vec_id AS id, {GROUP_SQL} AS grp, list_transform(embedding, lambda x: x::DOUBLE * 64 + 128) AS p FROM embeddings
+), framed AS (
+  SELECT *, lag(p) OVER (PARTITION BY grp ORDER BY id) AS q FROM pixels
+)"""
+_TILE = lambda t: f"list_var_pop(list_transform(list_filter(range(64), lambda i: least({_R} // 3, 2) * 3 + least({_C} // 3, 2) = {t}), lambda i: lap[i + 1]))"
+_SHIFTED = lambda dy, dx: (
+    f"list_avg(list_transform(list_filter(range(64), lambda i: {_R} BETWEEN 1 AND 6 AND {_C} BETWEEN 1 AND 6), "
+    f"lambda i: abs(q[i + 1] - p[({_R} + {8 - dy}) % 8 * 8 + ({_C} + {8 - dx}) % 8 + 1])))"
+)
+
+
+@query(
+    f"""
+WITH {_PIXELS_SQL}, responses AS (
+  SELECT *, list_transform(range(64), lambda i: p[{_MIRROR(_R + " - 1")} * 8 + {_C} + 1] + p[{_MIRROR(_R + " + 1")} * 8 + {_C} + 1]
+    + p[{_R} * 8 + {_MIRROR(_C + " - 1")} + 1] + p[{_R} * 8 + {_MIRROR(_C + " + 1")} + 1] - 4 * p[i + 1]) AS lap FROM framed
+), tiled AS (
+  SELECT id, grp, list_var_pop(lap) AS sharpness, list_sort([{", ".join(_TILE(t) for t in range(9))}]) AS tiles,
+    CASE WHEN q IS NULL THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, least({", ".join(_SHIFTED(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1))}) / 255) END AS motion
+  FROM responses
+), ranked AS (
+  SELECT *, tiles[5] AS tile_median, tiles[1] + (tiles[2] - tiles[1]) * 0.8::DOUBLE AS tile_p10, tiles[1] AS tile_worst FROM tiled
+)
+SELECT id, grp, round(sharpness, 6) AS sharpness, round(motion, 6) AS motion, round(tile_median, 6) AS tile_median, round(tile_p10, 6) AS tile_p10,
+  round(tile_worst, 6) AS tile_worst, round((0.5::DOUBLE * ln(1 + tile_median) + 0.3::DOUBLE * ln(1 + tile_p10) + 0.2::DOUBLE * ln(1 + tile_worst)) / 8, 6) AS uniformity
+FROM ranked
+"""
+)
 def raster_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sharpness, tile statistics and change since the raster before; measured by Arrow-batched functions."""
     order = W.partitionBy("grp").orderBy("id")
@@ -606,7 +630,16 @@ def raster_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select("id", "grp", F.round("sharpness", 6).alias("sharpness"), F.round("motion", 6).alias("motion"), *[F.round(v, 6).alias(k) for k, v in stats.items()])
 
 
-@query()
+@query(
+    f"""
+WITH {_PIXELS_SQL}, moments AS (
+  SELECT id, grp, list_avg(q) AS mq, list_avg(p) AS mp, list_var_pop(q) AS vq, list_var_pop(p) AS vp,
+    list_avg(list_transform(range(64), lambda i: (q[i + 1] - list_avg(q)) * (p[i + 1] - list_avg(p)))) AS cov
+  FROM framed WHERE q IS NOT NULL
+)
+SELECT id, grp, round((2 * mq * mp + 6.5025::DOUBLE) * (2 * cov + 58.5225::DOUBLE) / ((mq * mq + mp * mp + 6.5025::DOUBLE) * (vq + vp + 58.5225::DOUBLE)), 6) AS ssim FROM moments
+"""
+)
 def raster_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural similarity of rasters that follow each other in a group."""
     order = W.partitionBy("grp").orderBy("id")

@@ -73,15 +73,17 @@ def scored(candidates: DataFrame, c: Config) -> DataFrame:
 def mid_rank(value: str, group: list[str], more_is_better: bool) -> Column:
     """Rank of a value in its group from 0 to 1; ties share their middle rank.
 
-    Null stays null and doesn't count. One value alone, or values that are all
-    equal, rank one half.
+    Null, NaN and infinities have no rank and don't count. One value alone, or
+    values that are all equal, rank one half. All windows are partitioned by
+    the group alone, so any number of measures shares one shuffle.
     """
-    x = F.col(value)
-    present = W.partitionBy(*group, x.isNull())
-    n = F.count(x).over(present)
-    lower = F.rank().over(present.orderBy(x)) - 1
-    ties = F.count(x).over(W.partitionBy(*group, value))
-    flat = (n <= 1) | (F.max(x).over(present) - F.min(x).over(present) <= 1e-12)
+    x = F.when(finite(F.col(value)), F.col(value))
+    g = W.partitionBy(*group)
+    ordered = g.orderBy(x.asc_nulls_last())
+    n = F.count(x).over(g)
+    lower = F.rank().over(ordered) - 1
+    ties = F.count(x).over(ordered.rangeBetween(W.currentRow, W.currentRow))
+    flat = (n <= 1) | (F.max(x).over(g) - F.min(x).over(g) <= 1e-12)
     rank = (lower + (ties - 1) / 2) / (n - 1)
     rank = rank if more_is_better else 1 - rank
     return F.when(x.isNull(), F.lit(None)).otherwise(F.when(flat, F.lit(0.5)).otherwise(rank))
@@ -96,26 +98,27 @@ def relative_scores(candidates: DataFrame, group: list[str]) -> DataFrame:
     return ranked.withColumn("selection_score", F.round(value, 9))
 
 
-def choose(candidates: DataFrame, group: list[str]) -> DataFrame:
-    """The chosen candidate of each group.
+def with_places(candidates: DataFrame, group: list[str]) -> DataFrame:
+    """Add ``place``: the order of choice among the candidates of each group, from 1.
 
     Candidates without a blocking reason come first; where there is none, all
     count. Of these the best selection score (the first of equals) is taken,
     unless others have clearly less hand overlap at comparable quality: then
     the one with least overlap, best score first. ``candidates`` has ``cand,
-    selection_score, focus, hand, motion, glare, suspect``.
+    selection_score, focus, hand, motion, glare, suspect``. Every window is
+    partitioned by the group.
     """
     g = W.partitionBy(*group)
-    blocked = F.arrays_overlap("suspect", codes(BLOCKING))
-    pooled = candidates.withColumn("_blocked", blocked).withColumn("_any", F.bool_or(~F.col("_blocked")).over(g))
-    pool = pooled.where(~F.col("_any") | ~F.col("_blocked"))
+    open_ = ~F.arrays_overlap("suspect", codes(BLOCKING))
+    pooled = candidates.withColumn("_open", open_).withColumn("_pool", F.col("_open") | ~F.bool_or("_open").over(g))
     best = F.first(F.struct("cand", "selection_score", "focus", "hand", "motion", "glare", "suspect")).over(
-        g.orderBy(F.col("selection_score").desc(), "cand").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        g.orderBy(F.col("_pool").desc(), F.col("selection_score").desc(), "cand").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     )
     b = F.col("_best")
     fresh = F.array_except(F.array_intersect("suspect", codes(BLOCKING)), b["suspect"])
     eligible = (
-        finite(b["hand"])
+        F.col("_pool")
+        & finite(b["hand"])
         & finite(F.col("hand"))
         & (F.col("hand") <= b["hand"] - 0.01)
         & (F.col("focus") >= b["focus"] * 0.8)
@@ -124,14 +127,27 @@ def choose(candidates: DataFrame, group: list[str]) -> DataFrame:
         & (~(finite(F.col("motion")) & finite(b["motion"])) | (F.col("motion") <= F.greatest(F.lit(0.02), b["motion"] * 3)))
         & (~(finite(F.col("glare")) & finite(b["glare"])) | (F.col("glare") <= b["glare"] + 0.05))
     )
-    judged = pool.withColumn("_best", best).withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
+    judged = pooled.withColumn("_best", best).withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
     order = g.orderBy(
+        F.col("_pool").desc(),
         F.col("_eligible").desc(),
         F.when(F.col("_eligible"), F.col("hand")),
         F.col("selection_score").desc(),
         "cand",
     )
-    return judged.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_blocked", "_any", "_best", "_eligible", "_place")
+    return judged.withColumn("place", F.row_number().over(order)).drop("_open", "_pool", "_best", "_eligible")
+
+
+def choose(candidates: DataFrame, group: list[str]) -> DataFrame:
+    """The chosen candidate of each group: the first by ``with_places``."""
+    return with_places(candidates, group).where("place = 1").drop("place")
+
+
+def with_chosen(candidates: DataFrame, group: list[str]) -> DataFrame:
+    """Add the struct ``chosen``, the row that ``choose`` takes in the group: no join, no further shuffle."""
+    whole = W.partitionBy(*group).orderBy("place").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    placed = with_places(candidates, group)
+    return placed.withColumn("chosen", F.first(F.struct(*candidates.columns)).over(whole)).drop("place")
 
 
 def by_side(candidates: DataFrame) -> DataFrame:
@@ -160,23 +176,21 @@ def fallback_reasons(candidates: DataFrame, group: list[str], among: list[str])
     )
 
 
-def donor_ranking(candidates: DataFrame, chosen: DataFrame, group: list[str], most: int = 5) -> DataFrame:
-    """Up to ``most`` other candidates of a group: least hand overlap (unknown last), least glare, best score."""
-    others = candidates.join(chosen.select(*group, F.col("cand").alias("_chosen")), group).where("cand <> _chosen")
+def donor_ranking(candidates: DataFrame, group: list[str], most: int = 5) -> DataFrame:
+    """Up to ``most`` candidates of a group beside its chosen one: least hand overlap (unknown last), least glare, best score."""
+    others = with_chosen(candidates, group).where(F.col("cand") != F.col("chosen.cand"))
     order = W.partitionBy(*group).orderBy(F.coalesce("hand", F.lit(1.0)), "glare", F.col("score").desc(), "cand")
-    return others.withColumn("donor_rank", F.row_number().over(order)).where(F.col("donor_rank") <= most).drop("_chosen")
+    return others.withColumn("donor_rank", F.row_number().over(order)).where(F.col("donor_rank") <= most).drop("chosen")
 
 
-def safe_fixes(candidates: DataFrame, chosen: DataFrame, group: list[str], most: int = 2) -> DataFrame:
+def safe_fixes(candidates: DataFrame, group: list[str], most: int = 2) -> DataFrame:
     """Up to ``most`` replacements of a flagged choice that bring no new risk and some improvement.
 
     Ordered by fewest risks, most improvements, largest gain, id.
     """
-    now = chosen.select(
-        *group,
-        *[F.col(c).alias(f"_{c}") for c in ("cand", "sharpness", "focus", "hand", "motion", "glare", "selection_score", "suspect")],
-    ).where(F.arrays_overlap("_suspect", codes(FIX_TRIGGERS)))
-    pairs = candidates.join(now, group).where("cand <> _cand")
+    fields = ("cand", "sharpness", "focus", "hand", "motion", "glare", "selection_score", "suspect")
+    rows = with_chosen(candidates, group).withColumns({f"_{c}": F.col(f"chosen.{c}") for c in fields})
+    pairs = rows.where(F.arrays_overlap("_suspect", codes(FIX_TRIGGERS)) & (F.col("cand") != F.col("_cand")))
     risks = F.array_intersect("suspect", codes(FIX_RISKS))
     now_risks = F.array_intersect("_suspect", codes(FIX_RISKS))
     flagged = lambda *names: F.arrays_overlap("_suspect", codes(list(names)))
@@ -232,25 +246,3 @@ def rotation_pick(scores: DataFrame, digits: int = 3) -> DataFrame:
     value = F.when(direction < 0.025, F.least(value, F.lit(0.62))).otherwise(value)
     value = F.when(axis < 0.04, F.least(value, F.lit(0.55))).otherwise(value)
     return picked.select("entity", "rotation", "score", F.round(value, digits).alias("confidence"))
-
-
-def running_places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
-    """Number all rows from 1 in ``order``, which should be total.
-
-    Rows are sorted by range; each task's rows are numbered after those of the
-    tasks before it, so no task sees the whole table.
-    """
-    from ..llm.common import free_name, stage_table
-
-    at, part, before = (free_name(df, x) for x in ("at", "part", "before"))
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    # The id holds the task's number above bit 33 and the row's place in the task below it.
-    run = stage_table(spread.withColumn(at, F.monotonically_increasing_id()), "places").withColumn(part, F.shiftright(at, 33))
-    # One row per task of the sort: few enough for the driver and a broadcast.
-    starts, total = [(-1, 0)], 0
-    for task, n in sorted(run.groupBy(part).count().collect()):
-        starts.append((task, total))
-        total += n
-    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, f"{part} long, {before} long"))
-    place = F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return run.join(offsets, part).withColumn(name, place).drop(at, part, before)

@@ -18,9 +18,9 @@ def seconds(ts) -> F.Column:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a measured series: ``entity, idx, t, motion, sharpness``."""
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("entity"),
+    order = W.partitionBy("entity").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").withColumnRenamed("user_id", "entity").select(
+        "entity",
         (F.row_number().over(order) - 1).cast("long").alias("idx"),
         seconds("ts").alias("t"),
         F.col("value").alias("motion"),
@@ -48,9 +48,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     distortion, flatness, clipping, exposure``. Lines may be equal in all
     columns; then they are interchangeable.
     """
-    order = W.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("spread"),
+    order = W.partitionBy("spread").orderBy(*_LINE_ORDER)
+    return table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "spread").select(
+        "spread",
         (F.row_number().over(order) - 1).cast("long").alias("cand"),
         seconds("l_shipdate").alias("t"),
         (F.col("l_extendedprice") / 100).alias("sharpness"),
@@ -76,18 +76,25 @@ candidates AS (
 )"""
 
 
+#: Document ids that make one block of projects.
+PROJECT_IDS = 20_000
+
+
 def review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as output pages of a project (their source).
+    """Documents as output pages of a project: a source's documents with ids of one block of ``PROJECT_IDS``.
 
+    A project stays small however much a source holds, as its pages are ordered
+    by one task.
     ``project, page, position, spread, side, enabled, suspect, final_reasons``.
     Labels cover some documents only; an unlabelled one has no label reasons.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    block = F.floor(F.col("doc_id") / PROJECT_IDS).cast("string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.col("source"), block).alias("project"), "n_chars")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     joined = docs.join(labels, "doc_id", "left")
-    order = W.partitionBy("source").orderBy("doc_id")
+    order = W.partitionBy("project").orderBy("doc_id")
     return joined.select(
-        F.col("source").alias("project"),
+        "project",
         F.col("doc_id").alias("page"),
         (F.row_number().over(order) - 1).cast("long").alias("position"),
         F.floor(F.col("doc_id") / 2).cast("long").alias("spread"),
@@ -109,9 +116,10 @@ def review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REVIEW_PAGES_SQL = """
+REVIEW_PAGES_SQL = f"""
 review_pages AS (
-  SELECT source AS project, d.doc_id AS page, row_number() OVER (PARTITION BY source ORDER BY d.doc_id) - 1 AS position,
+  SELECT concat_ws('/', source, (d.doc_id // {PROJECT_IDS})::VARCHAR) AS project, d.doc_id AS page,
+    row_number() OVER (PARTITION BY source, d.doc_id // {PROJECT_IDS} ORDER BY d.doc_id) - 1 AS position,
     d.doc_id // 2 AS spread, ['spread', 'left', 'right', 'cover'][(d.doc_id % 4 + 1)::INT] AS side, d.doc_id % 7 <> 3 AS enabled,
     list_filter([CASE WHEN n_chars < 300 THEN 'low_sharpness' END, CASE WHEN toxic = 1 THEN 'glare_overlap' END,
       CASE WHEN d.doc_id % 11 = 5 THEN 'page_quad_uncertain' END], lambda x: x IS NOT NULL) AS suspect,
@@ -121,8 +129,20 @@ review_pages AS (
 )"""
 
 
+#: Raster ids that make one block of groups.
+GROUP_IDS = 20_000
+
+
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings of 64 numbers as rasters of 8 by 8: ``id, grp, pixels``."""
+    """Embeddings of 64 numbers as rasters of 8 by 8: ``id, grp, pixels``.
+
+    A group is a label's rasters with ids of one block, so that a sequence
+    which one task orders stays short.
+    """
+    block = F.floor(F.col("vec_id") / GROUP_IDS) * 1000
     return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("pixels")
+        F.col("vec_id").alias("id"), (F.col("label") + block).cast("long").alias("grp"), F.col("embedding").alias("pixels")
     )
+
+
+GROUP_SQL = f"(label + vec_id // {GROUP_IDS} * 1000)::BIGINT"
