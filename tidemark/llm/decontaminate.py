@@ -74,7 +74,7 @@ def _windows(words: list[str], size: int) -> Iterator[tuple[str, ...]]:
 
 
 def _tables(benchmark: DataFrame, size: int, bound: int) -> Iterator[dict[int, Patterns]]:
-    """Search tables of at most about ``bound`` windows each, items read one at a time."""
+    """Search tables of at most ``bound`` windows each, items read one at a time."""
     made: dict[tuple[str, ...], set[str]] = {}
 
     def table() -> dict[int, Patterns]:
@@ -87,9 +87,9 @@ def _tables(benchmark: DataFrame, size: int, bound: int) -> Iterator[dict[int, P
     for item, text in rows.toLocalIterator():
         for window in _windows(words_of(text), size):
             made.setdefault(window, set()).add(item)
-        if len(made) >= bound:
-            yield table()
-            made = {}
+            if len(made) >= bound:
+                yield table()
+                made = {}
     if made:
         yield table()
 
@@ -115,8 +115,10 @@ def contamination(
     shorter item. A document word inside any occurrence is hit; a document is
     contaminated if a twentieth of its words are. Windows that several items
     share count for each. Null and empty texts have no words, items without
-    words no windows; an empty benchmark hits nothing. Rows are searched one by
-    one and whole, so repeated rows and ids don't matter and nothing shuffles.
+    words no windows; an empty benchmark hits nothing, an empty table gives no
+    rows. Rows are searched one by one and whole, however long, so repeated
+    rows and ids don't matter and nothing shuffles. A null item id is the empty
+    text. An input column called ``name``, in any case of letters, is replaced.
 
     The search tables are broadcast in parts of ``windows_per_table`` windows.
     A benchmark of one part takes one pass over the documents; each further
@@ -175,6 +177,32 @@ def contamination(
     return frame.withColumn(name, overlap).drop(marks)
 
 
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, {_WORDS_SQL} AS w FROM documents
+), items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS_SQL} AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(13, len(w)) AS m, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS win
+  FROM items, unnest(range(1, len(w) - least(13, len(w)) + 2)) t(i) WHERE len(w) > 0
+), places AS (
+  SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM docs, (SELECT DISTINCT m FROM windows), unnest(range(1, len(w) - m + 2)) t(i)
+), hits AS (
+  SELECT doc_id, i, m, item FROM places JOIN windows USING (m, win)
+), hit_words AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM hits) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, list_sort(list(DISTINCT item)) AS found FROM hits GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(found), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(found, ','), '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+
 def items_digest(items: Column) -> Column:
     return F.sha2(F.array_join(items, ",").cast("binary"), 256)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, SPACE_CLASS, free_name, stage_table
+from .common import ASCII_LOWER, ASCII_UPPER, free_name, let, running, stage_table
 
 #: A hash that more than one in so many of all lines carry is hot. There are
 #: fewer hot hashes than this, so their table may be broadcast.
@@ -76,7 +76,9 @@ def dropped_lines(lines: DataFrame, min_docs: int) -> DataFrame:
         )
         lines = lines.join(hot_keys, "h1", "left_anti")
     stream = W.partitionBy("h1", "h2").orderBy(F.col("doc_id").desc_nulls_last())
-    ranged = lines.repartitionByRange("h1", "h2").withColumn("nth_doc", F.dense_rank().over(stream))
+    # Sorted once, by position too; the windows find their order in place.
+    ranged = lines.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", F.col("doc_id").desc_nulls_last(), "pos")
+    ranged = ranged.withColumn("nth_doc", F.dense_rank().over(stream))
     whole = stream.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     met = ranged.withColumn("n_docs", F.max("nth_doc").over(whole))
     cold_drop = met.where((F.col("n_docs") >= min_docs) & (F.col("nth_doc") > 1)).select(*place)
@@ -106,64 +108,49 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     return spans.select("doc_id", "text_hash", F.size("gone").cast("long").alias("n_dropped"), runs.alias("runs"))
 
 
+def _starts(runs: Column) -> Column:
+    """Where each run of a bitmap starts."""
+    return running(runs, F.lit(0), lambda at, n: at + n)
+
+
 def dropped_places(runs: Column) -> Column:
     """The dropped places that a bitmap's run lengths stand for."""
-    step = F.aggregate(
-        runs,
-        F.struct(F.lit(0).alias("at"), F.lit(False).alias("drop"), F.array().cast("array<int>").alias("places")),
-        lambda s, n: F.struct(
-            (s["at"] + n).alias("at"),
-            (~s["drop"]).alias("drop"),
-            F.when(s["drop"], F.concat(s["places"], F.sequence(s["at"], s["at"] + n - 1))).otherwise(s["places"]).alias("places"),
-        ),
-    )
-    return step["places"]
+    # Runs are kept and dropped in turn, so each pair of them holds one run of dropped places.
+    dropped = F.filter(F.arrays_zip(_starts(runs).alias("at"), runs.alias("n")), lambda x, i: i % 2 == 1)
+    return F.flatten(F.transform(dropped, lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))
 
 
-def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``n_lines, n_dropped, kept_text`` to documents."""
-    key = free_name(documents, "text_hash")
-    other = bitmaps.select(
-        F.col("doc_id").alias("_bitmap_id"),
-        F.col("text_hash").alias("_bitmap_hash"),
-        F.col("n_dropped").alias("_bitmap_dropped"),
-        F.col("runs").alias("_bitmap_runs"),
-    )
-    joined = documents.withColumn(key, F.xxhash64(text)).join(
-        other, F.col("doc_id").eqNullSafe(F.col("_bitmap_id")) & (F.col(key) == F.col("_bitmap_hash")), "left"
-    )
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(body, "\n")
-
-    def kept(parts: Column) -> Column:
-        # Runs of lines are cut out whole; the last run, after the bitmap's end, is kept.
-        bounds = F.aggregate(
-            F.col("_bitmap_runs"),
-            F.array(F.lit(0)),
-            lambda ends, n: F.concat(ends, F.array(F.element_at(ends, -1) + n)),
-        )
+def _kept_text(body: Column, runs: Column) -> Column:
+    """The text without its dropped lines: kept runs are cut out whole; all after the bitmap's end is kept."""
+
+    def cut(parts: Column) -> Column:
+        kept = F.filter(F.arrays_zip(_starts(runs).alias("at"), runs.alias("n")), lambda x, i: i % 2 == 0)
+        pieces = F.transform(kept, lambda x: F.slice(parts, x["at"] + 1, x["n"]))
+        end = F.aggregate(runs, F.lit(0), lambda a, n: a + n)
+        return F.array_join(F.concat(F.flatten(pieces), F.slice(parts, end + 1, F.size(parts))), "\n")
+
+    return let(F.split(body, "\n"), cut)
 
-        def cut(at: Column) -> Column:
-            pieces = F.transform(
-                F.sequence(F.lit(1), F.size(at), F.lit(2)),
-                lambda i: F.slice(
-                    parts,
-                    F.element_at(at, i) + 1,
-                    F.coalesce(F.try_element_at(at, i + 1), F.size(parts)) - F.element_at(at, i),
-                ),
-            )
-            return F.array_join(F.flatten(pieces), "\n")
 
-        return F.element_at(F.transform(F.array(bounds), cut), 1)
+def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``n_lines, n_dropped, kept_text`` to documents; input columns of those names, in any case of letters, are replaced.
 
-    kept_text = F.when(F.col("_bitmap_runs").isNull(), body).otherwise(F.element_at(F.transform(F.array(lines), kept), 1))
+    The bitmaps are written first, so that their size is known: below Spark's
+    threshold they are broadcast and no text is shuffled.
+    """
+    documents = documents.drop("n_lines", "n_dropped", "kept_text")
+    bitmaps = stage_table(bitmaps, "bitmaps")
+    key, of, of_hash, n, runs = (free_name(documents, x) for x in ("text_hash", "bitmap_id", "bitmap_hash", "bitmap_dropped", "bitmap_runs"))
+    other = bitmaps.toDF(of, of_hash, n, runs)
+    joined = documents.withColumn(key, F.xxhash64(text)).join(other, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(key) == F.col(of_hash)), "left")
+    body = F.coalesce(F.col(text), F.lit(""))
     return joined.withColumns(
         {
             "n_lines": (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long"),
-            "n_dropped": F.coalesce(F.col("_bitmap_dropped"), F.lit(0)).cast("long"),
-            "kept_text": kept_text,
+            "n_dropped": F.coalesce(F.col(n), F.lit(0)).cast("long"),
+            "kept_text": F.when(F.col(runs).isNull(), body).otherwise(_kept_text(body, F.col(runs))),
         }
-    ).drop(key, "_bitmap_id", "_bitmap_hash", "_bitmap_dropped", "_bitmap_runs")
+    ).drop(key, of, of_hash, n, runs)
 
 
 def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -173,7 +160,9 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5) ->
     documents stay only in the largest doc_id. Null and empty texts have one
     empty line. A null id counts as one document, smaller than any other; rows
     that repeat an id count as one document and each keep or lose their own
-    lines. Every line is compared, in texts of any length.
+    lines. Every line is compared, in texts of any length; of equal lines in
+    the keeping document all stay. An empty table gives no rows. Input columns
+    with the three names are replaced.
     """
     return apply_bitmaps(documents, keep_bitmaps(documents.select("doc_id", "text"), min_chars, min_docs))
 

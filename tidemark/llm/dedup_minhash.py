@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import free_name, settled, stage_table
 
 #: Values that a sketch retains, and the chance to miss a link that is granted.
 SKETCH = 64
@@ -26,7 +26,16 @@ FREQUENT = 20_000
 #: Lists of more members are joined to families and compared block by block,
 #: shorter ones by a join.
 LIST_JOIN = 64
+#: A block of a family has about twice so many nodes, and so many shingles, at most.
 BLOCK = 256
+BLOCK_SHINGLES = 2_000_000
+#: Rows of one key that a task of a join meets, about; keys of more rows are salted.
+SALT_ROWS = 1_000
+#: A key is salted only if it also holds more than one in so many of all rows, so
+#: there are fewer salted keys than this and their table may be broadcast.
+SALT_KEYS = 50_000
+#: Bytes of a text whose words are hashed at once.
+SEGMENT = 1 << 20
 #: Part of its retained values that a node shares with a head that it is first compared with.
 HEAD_SHARE = 4
 #: Ids that a semi-join broadcasts at most; beyond, it shuffles.
@@ -39,9 +48,9 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 @cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse, modulo 2**64, for texts below 2**bits bytes."""
-    up, down = np.full(1 << bits, _BASE), np.full(1 << bits, _INVERSE)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse, modulo 2**64, for a segment."""
+    up, down = np.full(SEGMENT + 1, _BASE), np.full(SEGMENT + 1, _INVERSE)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
@@ -52,6 +61,38 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _polynomial(data: np.ndarray) -> np.uint64:
+    """A word's bytes as a polynomial in the base, piece by piece."""
+    up, _ = _powers()
+    total, factor = np.uint64(0), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(data), SEGMENT):
+            part = data[at : at + SEGMENT].astype(np.uint64) + np.uint64(1)
+            total += factor * (part * up[: len(part)]).sum(dtype=np.uint64)
+            factor *= up[len(part)]
+    return total
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word that depends on its bytes only; segments of words share their sums."""
+    up, down = _powers()
+    sums = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        # Words i to j - 1 lie within one segment, unless the first alone is longer.
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, side="right")))
+        base = starts[i]
+        if ends[i] - base > SEGMENT:
+            sums[i], i = _polynomial(data[base : ends[i]]), i + 1
+            continue
+        piece = data[base : ends[j - 1]].astype(np.uint64) + np.uint64(1)
+        prefix = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(piece * up[: len(piece)], out=prefix[1:])
+        sums[i:j] = (prefix[ends[i:j] - base] - prefix[starts[i:j] - base]) * down[starts[i:j] - base]
+        i = j
+    return _mix(sums + (ends - starts).astype(np.uint64) * _BASE)
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a whole text's shingles of ``width`` words.
 
@@ -65,10 +106,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     n = len(starts)
     if not n:
         return np.empty(0, np.uint64)
-    up, down = _powers(max(12, int(len(data)).bit_length()))
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
-    words = _mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _BASE)
+    words = _word_hashes(data, starts, ends)
     size = min(width, n)
     m = n - size + 1
     h = words[:m] + np.uint64(size)
@@ -106,7 +144,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sketches(documents: DataFrame, width: int, k: int) -> DataFrame:
-    """doc_id, size of the set, 128-bit digest of the set, the k smallest hashes."""
+    """doc_id, hash of the text, size of the set, 128-bit digest of the set, the k smallest hashes."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,11 +157,39 @@ def _sketches(documents: DataFrame, width: int, k: int) -> DataFrame:
                 d2.append(digest[1])
                 kept.append(own[:k].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast("int64"), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(kept, pa.list_(pa.int64()))],
-                ["doc_id", "n", "d1", "d2", "sketch"],
+                [batch.column("doc_id").cast("int64"), batch.column("t"), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(kept, pa.list_(pa.int64()))],
+                ["doc_id", "t", "n", "d1", "d2", "sketch"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, d1 long, d2 long, sketch array<long>")
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    return rows.mapInArrow(sketch, "doc_id long, t long, n long, d1 long, d2 long, sketch array<long>")
+
+
+def _spread_join(big: DataFrame, small: DataFrame, on: list[str], by: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """Join rows with their key's one row of ``small`` without a task for each key.
+
+    ``counts`` has the keys with their number of rows in ``big``, as ``rows``.
+    A key of many rows is salted: its rows are dealt by ``by``, and its row of
+    ``small`` is repeated for each part. The table of such keys is short by
+    ``SALT_KEYS`` and is broadcast.
+    """
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    bound = max(SALT_ROWS, total // SALT_KEYS)
+    hot = F.broadcast(counts.where(F.col("rows") > bound).select(*on, F.ceil(F.col("rows") / bound).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = big.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    right = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of lists with the part of their list that they fall in, by the list's size."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / SALT_ROWS)))
+
+
+def _for_parts(lists: DataFrame) -> DataFrame:
+    """One row per list, repeated for each part of it."""
+    return lists.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / SALT_ROWS) - 1))).drop("size")
 
 
 def _frequent_values(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +200,12 @@ def _frequent_values(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _retained(nodes: DataFrame, percent: int, k: int) -> DataFrame:
-    """Rows of the inverted lists: value, node, set size, size class, values retained.
+    """Rows of the inverted lists: value, node, set size, size class, values retained, parts of the list, part.
 
     Linked sketches share ``values_needed`` values, so their parts that remain
     without so many less t share t values, if all order values alike. Frequent
-    values come last and are the ones left out; the order costs no link.
+    values come last and are the ones left out; the order costs no link. Their
+    lists are cut in parts, as they may hold a large part of all rows.
     """
     values, counts = _frequent_values(nodes)
     shared = nodes.sparkSession.sparkContext.broadcast((values, counts))
@@ -147,28 +214,33 @@ def _retained(nodes: DataFrame, percent: int, k: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = shared.value
         for batch in batches:
-            v, node, size, kept = [], [], [], []
+            v, node, size, kept, often = [], [], [], [], []
             for i, n, sketch in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("sketch"), strict=True):
                 own = sketch.values.to_numpy()
                 need = values_needed(n, k, percent)
                 keep = len(own) - need + min(COMMON, need)
+                seen = np.zeros(len(own), np.int64)
                 if len(values):
                     at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-                    own = own[np.lexsort((own, np.where(values[at] == own, counts[at], 0)))]
-                v.append(own[:keep])
+                    seen = np.where(values[at] == own, counts[at], 0)
+                order = np.lexsort((own, seen))[:keep]
+                v.append(own[order])
+                often.append(seen[order])
                 node.append(np.full(keep, i))
                 size.append(np.full(keep, n))
                 kept.append(np.full(keep, keep, np.int32))
             if v:
-                n = np.concatenate(size)
+                n, of = np.concatenate(size), np.concatenate(node)
                 # Linked sizes lie in one class or in neighbouring ones.
                 level = np.floor(np.log(n) / -np.log(share)).astype(np.int32)
+                parts = np.concatenate(often) // SALT_ROWS + 1
+                part = (_mix(of.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(v)), pa.array(np.concatenate(node)), pa.array(n), pa.array(level), pa.array(np.concatenate(kept))],
-                    ["v", "node", "n", "level", "kept"],
+                    [pa.array(np.concatenate(v)), pa.array(of), pa.array(n), pa.array(level), pa.array(np.concatenate(kept)), pa.array(parts), pa.array(part)],
+                    ["v", "node", "n", "level", "kept", "parts", "part"],
                 )
 
-    return nodes.select("node", "n", "sketch").mapInArrow(rows, "v long, node long, n long, level int, kept int")
+    return nodes.select("node", "n", "sketch").mapInArrow(rows, "v long, node long, n long, level int, kept int, parts long, part long")
 
 
 def _few(ids: DataFrame) -> bool:
@@ -176,14 +248,19 @@ def _few(ids: DataFrame) -> bool:
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are similar enough."""
+    """Pairs (a, b) whose full shingle sets are similar enough.
+
+    A node may be the ``a`` of any number of pairs; its text is then sent to
+    several tasks.
+    """
     pairs = stage_table(pairs.select("a", "b"), "pairs")
     ids = stage_table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
     texts = stage_table(texts.join(F.broadcast(ids) if _few(ids) else ids, "id", "left_semi"), "texts")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    degrees = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rows"))
+    both = _spread_join(pairs.join(right, "b"), left, ["a"], "b", degrees).select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +272,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int)
             kept = np.array(kept, dtype=bool)
             yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
 
-    return stage_table(both.mapInArrow(check, "a long, b long").distinct(), "links")
+    return both.mapInArrow(check, "a long, b long").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -204,23 +281,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars: every node's larger neighbours, then its
     smaller ones, are hung on the smallest node near it, until all edges lead
     to their component's smallest node. Minima are summed up before they are
-    shuffled and rounds are written, so a hub neither gathers its neighbours in
-    one task nor lengthens the lineage.
+    shuffled, a hub's edges are joined with its minimum in parts, and rounds
+    are written, so a hub neither gathers its neighbours in one task nor
+    lengthens the lineage.
     """
+    return settled(edges.sparkSession, "components", lambda: _components(edges))
+
+
+def _components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = stage_table(edges, "edges")
+
+    def hung(rows: DataFrame, on: str, by: str, low: DataFrame) -> DataFrame:
+        """Rows with ``m``, the smallest neighbour below the node ``on``, if there is one."""
+        counts = rows.groupBy(on).agg(F.count(F.lit(1)).alias("rows"))
+        return _spread_join(rows, low.withColumnRenamed("u", on), [on], by, counts, "left")
+
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        # The larger neighbours of a node hang on its smallest neighbour, or on itself.
+        large = hung(edges, "v", "u", low).select("u", F.coalesce("m", "v").alias("v")).distinct()
         large = stage_table(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
+        small = hung(large, "u", "v", low).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         small = stage_table(small, "small")
         # At the end every node has one edge, and none leads to a node that has one.
         split = small.groupBy("u").count().where("count > 1").limit(1).count()
@@ -236,8 +319,9 @@ def _star_pairs(lists: DataFrame) -> DataFrame:
     less than one in ``HEAD_SHARE`` of a node's lists is left to the comparison
     of what lies in different components, which covers all pairs.
     """
-    heads = lists.groupBy("v", "level").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    met = lists.join(heads, ["v", "level"]).where("head < node").groupBy("node", "head", "kept").agg(F.count(F.lit(1)).alias("shared"))
+    heads = lists.groupBy("v", "level").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members"), F.max("size").alias("size")).where("members > 1").drop("members")
+    joined = _dealt(lists).join(_for_parts(heads), ["v", "level", "part"])
+    met = joined.where("head < node").groupBy("node", "head", "kept").agg(F.count(F.lit(1)).alias("shared"))
     best = met.where(F.col("shared") * HEAD_SHARE >= F.col("kept")).groupBy("node").agg(F.max(F.struct("shared", (-F.col("head")).alias("minus"))).alias("best"))
     return best.select((-F.col("best.minus")).alias("a"), F.col("node").alias("b"))
 
@@ -270,28 +354,56 @@ def _may_link(a: np.ndarray, b: np.ndarray, whole: bool, k: int, share: float) -
     return int(np.searchsorted(both, union[-1], side="right")) >= least_shared(len(union), share)
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members with their block: ``node, family, component, first, parts, pure, own, n_blocks``.
+
+    A family is cut by component: a large one has blocks of its own, the others
+    share blocks. Blocks of a family are numbered from 0 to ``n_blocks`` - 1,
+    those of one pool from ``first`` on. Their number follows from nodes and
+    shingles, so that neither many nor very long texts make a block large.
+    """
+    counts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    counts = stage_table(counts, "component_counts")
+    pure = (F.col("rows") >= BLOCK) | (F.col("shingles") >= BLOCK_SHINGLES)
+    pools = counts.withColumn("pool", F.when(pure, F.col("component")).otherwise(F.lit(-1)))
+    pools = pools.withColumn("pure", F.col("pool") == F.col("component"))
+    parts = F.ceil(F.greatest(F.sum("rows") / (2 * BLOCK), F.sum("shingles") / BLOCK_SHINGLES)).cast("int")
+    sized = pools.groupBy("family", "pool", "pure").agg(parts.alias("parts"), F.count(F.lit(1)).alias("rows"))
+    sized = stage_table(sized, "pools")
+    order = W.partitionBy("family").orderBy("pure", "pool")
+    numbered = sized.withColumns(
+        {
+            "first": (F.sum("parts").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("parts")).cast("int"),
+            "n_blocks": F.sum("parts").over(W.partitionBy("family")).cast("int"),
+        }
+    ).drop("rows")
+    keys = ["family", "pool", "pure"]
+    placed = _spread_join(pools.select(*keys, "component"), numbered, keys, "component", sized.select(*keys, "rows"))
+    joined = _spread_join(members.select("family", "component", "node"), placed.drop("pool"), ["family", "component"], "node", counts)
+    return joined.withColumn("own", F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+
 def _family_links(members: DataFrame, documents: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     """Links that join the components inside families: (a, b), by full sets.
 
-    ``members`` has ``family, size, node``. A family is cut into blocks of
-    about ``2 * BLOCK`` nodes; a group holds the texts of two blocks. Shared
-    sketch values are counted for all its pairs at once; where some pair has
-    enough of them, shared shingles are counted likewise, which gives exact
-    indexes. What links join is returned as one pair for each node.
+    ``members`` has ``family, component, node, n``. A group holds the texts of
+    two blocks of a family, but for blocks of one and the same component, which
+    have nothing to join. Shared sketch values are counted for all its pairs at
+    once; where some pair of different components has enough of them, shared
+    shingles are counted likewise, which gives exact indexes. What links join
+    is returned as one pair for each node.
     """
-    parts = F.ceil(F.col("size") / (2 * BLOCK)).cast("int")
-    placed = members.withColumns({"parts": parts, "own": F.pmod(F.xxhash64("node"), parts).cast("int")})
-    ids = stage_table(placed, "members")
+    ids = stage_table(_blocks(members), "members")
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = texts.join(F.broadcast(ids) if few else ids, "node")
-    spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text"
+    texts = texts.join(F.broadcast(ids) if _few(ids) else ids, "node")
+    same = F.col("pure") & F.col("other").between(F.col("first"), F.col("first") + F.col("parts") - 1)
+    spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).where(~same).select(
+        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "text"
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node")
-        node, own = group["node"].to_numpy(), group["own"].to_numpy()
+        node, own, component = (group[c].to_numpy() for c in ("node", "own", "component"))
         sets = [shingle_set(t, width) for t in group["text"]]
         n = np.array([len(x) for x in sets])
         need = np.array([values_needed(x, k, percent) if x else k + 1 for x in n])
@@ -301,7 +413,7 @@ def _family_links(members: DataFrame, documents: DataFrame, width: int, percent:
         enough &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
         if group["i"].iloc[0] != group["j"].iloc[0]:
             enough &= own[:, None] != own[None, :]
-        np.fill_diagonal(enough, False)
+        enough &= component[:, None] != component[None, :]
         some = np.flatnonzero(enough.any(1))
         if not len(some):
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
@@ -320,8 +432,7 @@ def _family_links(members: DataFrame, documents: DataFrame, width: int, percent:
         moved = np.flatnonzero(place != np.arange(len(some)))
         return pd.DataFrame({"a": node[some[place[moved]]], "b": node[some[moved]]})
 
-    links = spread.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
-    return stage_table(links.distinct(), "family_links")
+    return spread.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def _co_occurrences(flat: np.ndarray, row: np.ndarray, m: int, dense: int = 24, chunk: int = 2048) -> np.ndarray:
@@ -356,23 +467,23 @@ def _co_occurrences(flat: np.ndarray, row: np.ndarray, m: int, dense: int = 24,
 def _open_rows(lists: DataFrame, components: DataFrame) -> DataFrame:
     """Rows of the lists whose members lie in several components."""
     placed = lists.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    return stage_table(placed.join(several.select("v"), "v", "left_semi"), "open")
+    several = placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("size")).where("lo <> hi")
+    return stage_table(_dealt(placed).join(_for_parts(several.select("v", "size")), ["v", "part"], "left_semi").drop("part"), "open")
 
 
 def _large_list_links(rows: DataFrame, documents: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     """Links inside large lists.
 
     A group of near copies shares many lists. So lists that share members are
-    first joined to a family, in which every pair is compared once.
+    first joined to a family, in which every pair of different components is
+    compared once.
     """
-    heads = rows.groupBy("v").agg(F.min("node").alias("b"))
-    joined = rows.join(heads, "v").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
+    heads = rows.groupBy("v").agg(F.min("node").alias("b"), F.max("size").alias("size"))
+    joined = _dealt(rows).join(_for_parts(heads), ["v", "part"]).select(F.col("node").alias("a"), "b").where("a <> b").distinct()
     below = connected_components(joined).select("node", F.col("component").alias("family"))
-    families = stage_table(below.union(below.select(F.col("family").alias("node"), "family")).distinct(), "families")
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    sized = stage_table(families.join(sizes, "family"), "sized")
-    return _family_links(sized, documents, width, percent, k)
+    families = below.union(below.select(F.col("family").alias("node"), "family")).distinct()
+    placed = rows.groupBy("node").agg(F.min("component").alias("component"), F.min("n").alias("n"))
+    return _family_links(stage_table(families.join(placed, "node"), "families"), documents, width, percent, k)
 
 
 def _short_list_links(rows: DataFrame, nodes: DataFrame, documents: DataFrame, width: int, percent: int, k: int) -> DataFrame:
@@ -387,14 +498,60 @@ def _short_list_links(rows: DataFrame, nodes: DataFrame, documents: DataFrame, w
     return _verified(_similar_sketches(met, nodes, percent, k), documents, width, percent)
 
 
+def _classes(base: DataFrame, documents: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """Digests of sets with their component and the number of rows that have them."""
+    spark = base.sparkSession
+    known = base.where("n > 0 and doc_id is not null")
+    nodes = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows"))
+    nodes = stage_table(nodes, "nodes")
+    retained = _retained(nodes, percent, k)
+    sizes = retained.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.max("parts").alias("of")).where("size > 1")
+    sizes = sizes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1))).drop("of")
+    met = stage_table(retained.drop("parts").join(sizes, ["v", "part"]).drop("part"), "met")
+    # A node linked with any other meets it, no smaller than by its share, in so many lists.
+    least = F.greatest(F.lit(1), F.least(F.lit(COMMON), F.floor(F.col("n") * (percent * percent / 1e4))))
+    able = met.groupBy("node", "n").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= least)
+    lists = stage_table(met.join(able.select("node"), "node", "left_semi"), "lists")
+    stars = settled(spark, "stars", lambda: _verified(_star_pairs(lists), documents, width, percent))
+    first = connected_components(stars)
+
+    def large_links() -> DataFrame:
+        large = _open_rows(lists.where(F.col("size") > LIST_JOIN), first)
+        return _large_list_links(large, documents, width, percent, k)
+
+    links = stars.union(settled(spark, "family_links", large_links))
+    second = connected_components(links)
+
+    def short_links() -> DataFrame:
+        short = _open_rows(lists.where(F.col("size") <= LIST_JOIN), second)
+        return _short_list_links(short, nodes, documents, width, percent, k)
+
+    components = connected_components(links.union(settled(spark, "short_links", short_links)))
+    placed = nodes.select("d1", "d2", "n", "node", "rows").join(components, "node", "left")
+    return placed.select("d1", "d2", "n", "rows", F.coalesce("component", "node").alias("component_id"))
+
+
+def _verdicts(documents: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """Rows of ``base`` with ``component_id`` and ``kept``."""
+    base = stage_table(_sketches(documents, width, k), "sketches")
+    classes = settled(documents.sparkSession, "classes", lambda: _classes(base, documents, width, percent, k))
+    digest = ["d1", "d2", "n"]
+    out = _spread_join(base.drop("sketch"), classes.drop("rows"), digest, "doc_id", classes.select(*digest, "rows"), "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.withColumns({"component_id": component, "kept": F.coalesce(F.col("doc_id") == component, F.col("component_id").isNull())})
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard index of ``percent`` % or more.
 
     Returns ``doc_id, n_shingles, component_id, kept``, a row for each row of
-    ``documents``. component_id is the smallest doc_id reachable over links; it
-    alone is kept. Documents without words are linked with nothing. Rows that
-    repeat an id count as one document; a null id is linked with nothing, has
-    no component_id and is kept. An empty table gives no rows.
+    ``documents``; other columns are ignored. component_id is the smallest
+    doc_id reachable over links; it alone is kept. Documents without words
+    (null and empty texts) are linked with nothing. Rows that repeat an id
+    count as one document. A row with a null id belongs to the component of the
+    ids whose set is the same as its own and isn't kept; if there are none, it
+    has no component_id and is kept. Texts of any length are compared whole. An
+    empty table gives no rows.
 
     Equal sets are one node. The k smallest hashes of a set are its sketch; the
     retained values form inverted lists. First every list links its members to
@@ -405,45 +562,56 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
     than their sets. The union sketch rules pairs out with the same chance, and
     every link is confirmed on the full sets of both whole texts.
     """
-    base = stage_table(_sketches(documents, width, k), "sketches")
-    known = base.where("n > 0 and doc_id is not null")
-    nodes = stage_table(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "nodes")
-    retained = _retained(nodes, percent, k)
-    sizes = retained.groupBy("v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = stage_table(retained.join(sizes, "v"), "met")
-    # A node linked with any other meets it, no smaller than by its share, in so many lists.
-    least = F.greatest(F.lit(1), F.least(F.lit(COMMON), F.floor(F.col("n") * (percent * percent / 1e4))))
-    able = met.groupBy("node", "n").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= least)
-    lists = stage_table(met.join(able.select("node"), "node", "left_semi"), "lists")
-    stars = _verified(_star_pairs(lists), documents, width, percent)
-    first = connected_components(stars)
+    return _verdicts(documents, width, percent, k).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
-    large = _open_rows(lists.where(F.col("size") > LIST_JOIN), first)
-    links = _large_list_links(large, documents, width, percent, k)
-    second = connected_components(stars.union(links))
-    short = _open_rows(lists.where(F.col("size") <= LIST_JOIN), second)
-    links = links.union(_short_list_links(short, nodes, documents, width, percent, k))
-    components = connected_components(stars.union(links))
-
-    placed_nodes = nodes.select("d1", "d2", "n", "node").join(components, "node", "left")
-    classes = placed_nodes.select("d1", "d2", "n", F.coalesce("component", "node").alias("component_id"))
-    out = base.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
-    own = F.coalesce("component_id", "doc_id")
-    component = F.when(F.col("doc_id").isNotNull(), own)
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-    )
 
+def drop_near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
+    """The documents that stay, one row of each component.
 
-def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
-    """The documents that are kept, one of each component; of rows that repeat an id, one."""
-    verdicts = near_duplicates(documents, **options)
-    kept = verdicts.where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    named = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(documents.where(F.col("doc_id").isNull()))
+    It is a row of the component's smallest id with the set that this id is
+    known by; an id that stands for several sets keeps one row of each. Of rows
+    with a null id and a set that no id has, one stays for each set; rows
+    without words all stay, but of those that repeat an id only one.
+    """
+    t = free_name(documents, "t")
+    v = _verdicts(documents, width, percent, k).where("kept")
+    stays = v.where("n > 0 or doc_id is not null").groupBy("doc_id", "d1", "d2", "n").agg(F.min("t").alias(t), F.count(F.lit(1)).alias("rows"))
+    stays = stage_table(stays, "stays")
+    hashed = documents.withColumn(t, F.xxhash64("text"))
+    of = stays.select(F.col("doc_id").alias(f"{t}_id"), F.col(t).alias(f"{t}_of")).distinct()
+    named = hashed.join(of, F.col("doc_id").eqNullSafe(F.col(f"{t}_id")) & (F.col(t) == F.col(f"{t}_of")), "left_semi")
+    # Texts are shuffled once more only where rows are repeated.
+    if stays.where("rows > 1").limit(1).count():
+        named = named.dropDuplicates(["doc_id", t])
+    wordless = ~F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    return named.drop(t).unionByName(documents.where(F.col("doc_id").isNull() & wordless))
+
+
+_SHINGLES_SQL = r"string_split_regex(trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+')"
+
+OP10_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, CASE WHEN w = [''] THEN [] ELSE w END AS w FROM (SELECT doc_id, {_SHINGLES_SQL} AS w FROM documents)
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM docs, unnest(range(1, greatest(len(w) - 3, 1) + 1)) t(i) WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), both_ways AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reached AS (
+  SELECT a AS doc_id, least(a, b) AS low FROM both_ways
+  UNION
+  SELECT e.b, r.low FROM reached r JOIN both_ways e ON e.a = r.doc_id
+), lowest AS (
+  SELECT doc_id, min(low) AS low FROM reached GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(low, d.doc_id) AS component_id, coalesce(low, d.doc_id) = d.doc_id AS kept
+FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest USING (doc_id)
+"""
 
 
 def op10_query(documents: DataFrame) -> DataFrame:

@@ -12,10 +12,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder_of_crc32
+from .common import near_start, one_text, remainder_of_crc32
 
 #: Documents of each language that its n-grams are counted in, at most.
 SAMPLE_PER_LANGUAGE = 2_000
+#: Languages that are learned, at most: the most frequent ones.
+MAX_LANGUAGES = 128
 BUCKETS = 1 << 16
 ROUNDS = 12
 #: Neighbouring trigrams share letters: so many count as one observation.
@@ -99,21 +101,26 @@ class MixtureModel:
         return mixture[0][0], min(mixture[0][1], 1.0), mixture
 
 
-def learn_mixture(documents: DataFrame, where: Column, per_language: int = SAMPLE_PER_LANGUAGE, smooth: float = 0.05) -> MixtureModel:
+def learn_mixture(
+    documents: DataFrame, where: Column, per_language: int = SAMPLE_PER_LANGUAGE, smooth: float = 0.05, most: int = MAX_LANGUAGES
+) -> MixtureModel:
     """Count trigrams in at most ``per_language`` documents of each language for which ``where`` holds.
 
-    The sample goes by a hash of the id. Tasks count by language and bucket;
-    the driver gets one row for each of the two, at most ``BUCKETS`` a language.
+    Rows with a null id, text or language teach nothing; a row counts once
+    however often its id and language are repeated, with its smallest text. Of
+    more than ``most`` languages, those with most ids are learned, by name
+    where they tie. The sample goes by a hash of the id. Tasks count by
+    language and bucket; the driver gets one row for each of the two, so no
+    more than ``most`` times ``BUCKETS``.
     """
-    rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & where)
+    rows = documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & where)
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(most)
     # The part of a language's hashes that holds a fifth more than is wanted is ranked, so
-    # that a frequent language doesn't meet in one task. There is one count a language.
-    counts = F.broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    near = rows.select("doc_id", "lang", spread.alias("_at")).join(counts, "lang").where(F.col("_at") * F.col("_n") <= (1.2 * per_language + 50) * (1 << 30))
-    ranked = near.withColumn("_nth", F.row_number().over(W.partitionBy("lang").orderBy("_at", "doc_id")))
-    ids = ranked.where(F.col("_nth") <= per_language).select("doc_id", "lang").distinct()
-    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
+    # that a frequent language doesn't meet in one task.
+    near = rows.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(near_start(F.col("doc_id"), F.col("_n"), per_language))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = near.groupBy("lang", "doc_id").agg(F.lit(1).alias("_one")).withColumn("_nth", nth).where(F.col("_nth") <= per_language)
+    sample = one_text(rows, ids.select("doc_id", "lang"), ["doc_id", "lang"])
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -142,8 +149,12 @@ def identify_language(documents: DataFrame, model: MixtureModel, text: str = "te
     """Add the struct ``name``: ``lang, score, mixture`` (languages with proportions).
 
     ``und`` with score 0 for null texts and texts without a letter, or if no
-    language was learned. Rows are read one by one and whole: no shuffle.
+    language was learned. Equal shares go by name. An input column called
+    ``name``, in any case of letters, is replaced. Rows are read one by one and
+    whole, so repeated rows, long texts and an empty table need no rule: no
+    shuffle.
     """
+    documents = documents.drop(name)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     mixture = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", mixture)])
@@ -158,11 +169,9 @@ def identify_language(documents: DataFrame, model: MixtureModel, text: str = "te
             for body in batch.column(text).to_pylist():
                 lang, score, parts = model.infer(body)
                 out.append({"lang": lang, "score": score, "mixture": [{"lang": x, "share": s} for x, s in parts]})
-            kept = [c for c in batch.schema.names if c != name]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, arrow)], [*kept, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], [*batch.schema.names, name])
 
-    fields = [f for f in documents.schema.fields if f.name != name]
-    return documents.mapInArrow(infer, T.StructType([*fields, T.StructField(name, kind)]))
+    return documents.mapInArrow(infer, T.StructType([*documents.schema.fields, T.StructField(name, kind)]))
 
 
 def op3_query(documents: DataFrame) -> DataFrame:

@@ -6,21 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, free_name, stage_table
+from .common import SPACE_CLASS, free_name, in_order, stage_table
 
 #: Rows of one source that one task ranks; larger sources are salted.
 ROWS_PER_SALT = 2_000
 #: Seeded starts of the draw among which each group takes the one nearest its words.
 STARTS = 16
-#: So many sources at most are broadcast; beyond, the join shuffles.
+#: So many sources at most are broadcast; of more, those that hold one in so many
+#: documents, which are fewer, and the join shuffles the documents of the others.
 BROADCAST_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
     """Number of runs of anything but ASCII white space; 0 for null."""
-    parts = F.split(text, f"{SPACE_CLASS}+")
+    parts = F.split(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+")
     # A separator at either end leaves one empty part there.
-    return F.coalesce(F.size(F.array_remove(parts, "")), F.lit(0)).cast("long")
+    return F.size(F.array_remove(parts, "")).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max_epochs: float) -> DataFrame:
@@ -32,29 +33,38 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
     the excess goes to the others by weight until none is above. That end is
     reached at once: by rising cap per weight, the first k sources are clamped
     where the level of the rest, (budget - their caps) / (weights of the rest),
-    exceeds the k-th cap per weight.
+    exceeds the k-th cap per weight. Sources are placed and summed up by ranges,
+    so their number is not limited; the driver gets totals and the level only.
     """
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    ordered = W.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(ordered) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (place + 1).cast("int"))
-    rated = per_source.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    rated = rated.withColumn("cap_ratio", F.col("cap") / F.col("weight"))
-    # Only one row per source passes through these windows.
-    fill = W.orderBy("cap_ratio", F.col("source").asc_nulls_last())
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    upto = fill.rowsBetween(W.unboundedPreceding, W.currentRow)
-    level = rated.withColumns(
-        {
-            "budget": F.sum("source_size").over(everything) * F.lit(float(share)),
-            "caps_before": F.sum("cap").over(upto) - F.col("cap"),
-            "weights_left": F.sum("weight").over(everything) - F.sum("weight").over(upto) + F.col("weight"),
-        }
-    ).withColumn("level", (F.col("budget") - F.col("caps_before")) / F.col("weights_left"))
+    placed = in_order(per_source, [F.col("source").asc_nulls_last()])
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    cap = F.col("source_size") * F.lit(float(max_epochs))
+    rated = placed.withColumns({"weight": weight, "cap": cap, "cap_ratio": cap / weight}).drop("place")
+    filled = in_order(rated, [F.col("cap_ratio"), F.col("source").asc_nulls_last()], sums={"cap": "caps_before", "weight": "weights_before"})
+    filled = stage_table(filled, "sources")
+    words, all_weights = filled.agg(F.sum("source_size"), F.sum("weight")).first()
+    if words is None:
+        return filled.select("source", "source_size", "n_docs", "weight", F.col("cap").alias("target"))
+    level = (F.lit(words * float(share)) - F.col("caps_before")) / (F.lit(all_weights) - F.col("weights_before"))
     # The water level is that of the first source which is not clamped.
-    open_level = F.min(F.when(F.col("level") <= F.col("cap_ratio"), F.struct("cap_ratio", "level"))).over(everything)
-    target = F.coalesce(F.least(F.col("cap"), F.col("weight") * open_level["level"]), F.col("cap"))
-    return level.select("source", "source_size", "n_docs", "weight", target.alias("target"))
+    water = filled.agg(F.min(F.when(level <= F.col("cap_ratio"), F.struct("cap_ratio", level.alias("level"))))).first()[0]
+    target = F.col("cap") if water is None else F.least(F.col("cap"), F.col("weight") * F.lit(water["level"]))
+    return filled.select("source", "source_size", "n_docs", "weight", target.alias("target"))
+
+
+def _with_source(sized: DataFrame, targets: DataFrame, stat: str) -> DataFrame:
+    """Rows with their source's row of ``targets`` as the struct ``stat``; no source's rows meet in one task."""
+    def joined(rows: DataFrame, of: DataFrame) -> DataFrame:
+        return rows.join(of.select(F.struct("source", "source_size", "n_docs", "target").alias(stat)), F.col("source").eqNullSafe(F.col(f"{stat}.source")))
+
+    if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        return joined(sized, F.broadcast(targets))
+    total = targets.agg(F.sum("n_docs")).first()[0]
+    large = F.col("n_docs") * BROADCAST_SOURCES > F.lit(total)
+    names = F.broadcast(targets.where(large).select(F.col("source").alias("_large")))
+    others = sized.join(names, F.col("source").eqNullSafe(F.col("_large")), "left_anti")
+    return joined(sized, F.broadcast(targets.where(large))).unionByName(joined(others, targets.where(~large)))
 
 
 def mix_sources(
@@ -75,9 +85,11 @@ def mix_sources(
     shuffle carries the columns given: pass ids alone where texts aren't needed.
 
     Null and empty texts have size 0. A null source is a source; one without
-    words has target 0 and takes nothing. Documents equal in id and size are
-    interchangeable; an empty table gives no rows. Reruns agree: the draw
-    depends on ids, sizes and the seed only.
+    words has target 0 and takes nothing. Rows that repeat an id are documents
+    of their own; those equal in id and size are interchangeable, as their ties
+    are. An empty table gives no rows. Reruns agree: the draw depends on ids,
+    sizes and the seed only. An input column called ``name``, in any case of
+    letters, is replaced.
     """
     size, key, rate, salt, rank, stat = (free_name(documents, x) for x in ("size", "key", "rate", "salt", "rank", "stat"))
     if "text" in documents.columns:
@@ -87,9 +99,7 @@ def mix_sources(
     targets = stage_table(
         source_targets(sized.select("source", F.col(size).alias("size")), weights, share, max_epochs), "targets"
     )
-    few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    t = targets.select(F.struct("source", "source_size", "n_docs", "target").alias(stat))
-    joined = sized.join(F.broadcast(t) if few else t, F.col("source").eqNullSafe(F.col(f"{stat}.source")))
+    joined = _with_source(sized, targets, stat)
 
     def number(text: Column, at: int) -> Column:
         return F.conv(F.substring(text, at, 8), 16, 10).cast("long")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, remainder_of_crc32
+from .common import labelled_sample, one_text, remainder_of_crc32
 
 #: Labelled documents that the ranking is learned from, at most.
 SAMPLE = 20_000
@@ -115,10 +115,12 @@ def learn_ranking(documents: DataFrame, labels: DataFrame, label: str = "quality
     """Fit on at most ``sample`` labelled documents for which ``where`` holds.
 
     Their features are computed in tasks; the driver gets one short row of
-    numbers for each. The sample goes by a hash of the id, so reruns agree.
+    numbers for each id. The sample goes by a hash of the id, so reruns agree.
+    Null ids and labels teach nothing; of rows that repeat an id, the smallest
+    label and text count, once. Without labelled documents all scores are equal.
     """
     ids = labelled_sample(labels, label, sample, F.lit(True) if where is None else where)
-    known = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    known = one_text(documents, ids, ["doc_id"])
 
     def measure(batches):
         for batch in batches:
@@ -132,19 +134,20 @@ def learn_ranking(documents: DataFrame, labels: DataFrame, label: str = "quality
 
 
 def score_quality(documents: DataFrame, ranking: Ranking, text: str = "text", name: str = "score") -> DataFrame:
-    """Add ``name``, from 0 to 1; null and empty texts are scored as texts without words.
+    """Add ``name``, from 0 to 1, last; an input column of that name, in any case of letters, is replaced.
 
-    One narrow pass over whole texts; the model is a few short vectors.
+    Null and empty texts are scored as texts without words; equal texts score
+    alike. One narrow pass: rows are read whole and one by one, so repeated
+    rows, long texts and an empty table need no rule of their own.
     """
+    others = documents.drop(name)
 
     def score(batches):
         for batch in batches:
             x = np.array([features(t) for t in batch.column(text).to_pylist()]).reshape(-1, N_FEATURES)
-            kept = [c for c in batch.schema.names if c != name]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(ranking.score(x))], [*kept, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranking.score(x))], [*batch.schema.names, name])
 
-    fields = [f for f in documents.schema.fields if f.name != name]
-    return documents.mapInArrow(score, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
+    return others.mapInArrow(score, T.StructType([*others.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op1_query(documents: DataFrame, labels: DataFrame) -> DataFrame:

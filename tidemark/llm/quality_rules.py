@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_UPPER, SPACE_CLASS, free_name, labelled_sample
+from .common import ASCII_UPPER, SPACE_CLASS, free_name, labelled_sample, let, one_text
 
 SYMBOLS = "#*$%&|<>"
 #: Labelled documents that the rules are learned from, at most.
@@ -29,11 +28,6 @@ FEATURES = (
 )
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` sees ``value`` as a variable, so it is computed once a row."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _repeated(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more.
 
@@ -61,9 +55,9 @@ def _repeated(words: Column) -> Column:
             places = F.array_distinct(F.flatten(F.transform(same, lambda x: F.array(x["a"]["p"], x["b"]["p"]))))
             return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + 2)))))
 
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_let(placed, marked))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(placed, marked))
 
-    return _let(windows, covered)
+    return let(windows, covered)
 
 
 def with_statistics(df: DataFrame, text: str = "text", name: str = "stats") -> DataFrame:
@@ -89,12 +83,12 @@ def with_statistics(df: DataFrame, text: str = "text", name: str = "stats") -> D
                 )
 
             worded = F.filter(F.split(body, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-            return _let(worded, lined)
+            return let(worded, lined)
 
-        return _let(F.array_join(words, ""), joined)
+        return let(F.array_join(words, ""), joined)
 
     words = F.array_remove(F.split(body, f"{SPACE_CLASS}+"), "")
-    return df.withColumn(name, _let(words, measured))
+    return df.withColumn(name, let(words, measured))
 
 
 def base_failed(stats: Column) -> Column:
@@ -140,43 +134,67 @@ class RuleList:
         return "; ".join(" and ".join(f"{n} {s} {c:g}" for n, s, c in rule) for rule in self.rules)
 
 
-def _covers(rule: list[Condition], row: dict) -> bool:
-    return all((row[n] <= c) if s == "<=" else (row[n] > c) for n, s, c in rule)
-
-
-def _counts(rule: list[Condition], rows: list[dict]) -> tuple[int, int]:
-    """Weights of bad and of good rows that the rule covers."""
-    hit = [r for r in rows if _covers(rule, r)]
-    return sum(r["n"] for r in hit if not r["label"]), sum(r["n"] for r in hit if r["label"])
+class Counted:
+    """Labelled documents by combination of bins: columns of bins, weights, labels.
 
+    On the driver there are no more rows than sampled documents.
+    """
 
-def _grow(rows: list[dict], cuts: dict[str, list[float]], most: int) -> list[Condition]:
-    """Add the condition of largest information gain until no good row is covered."""
-    rule: list[Condition] = []
-    while len(rule) < most:
-        bad, good = _counts(rule, rows)
-        if not bad or not good:
-            break
-        rows = [r for r in rows if _covers(rule, r)]
-        best, gain = None, 1e-9
-        for name, marks in cuts.items():
-            for cut in marks:
-                below_bad = sum(r["n"] for r in rows if not r["label"] and r[name] <= cut)
-                below_good = sum(r["n"] for r in rows if r["label"] and r[name] <= cut)
-                for side, p, n in (("<=", below_bad, below_good), (">", bad - below_bad, good - below_good)):
-                    if p:
-                        won = p * (math.log2(p / (p + n)) - math.log2(bad / (bad + good)))
-                        if won > gain:
-                            best, gain = (name, side, cut), won
-        if best is None:
-            break
-        rule.append(best)
-    return rule
+    def __init__(self, bins: np.ndarray, weight: np.ndarray, good: np.ndarray):
+        self.bins, self.weight, self.good = bins, weight, good
+
+    def covered(self, rule: list[tuple[int, str, int]]) -> np.ndarray:
+        hit = np.ones(len(self.weight), dtype=bool)
+        for column, side, cut in rule:
+            hit &= (self.bins[:, column] <= cut) == (side == "<=")
+        return hit
+
+    def without(self, rule: list[tuple[int, str, int]]) -> Counted:
+        rest = ~self.covered(rule)
+        return Counted(self.bins[rest], self.weight[rest], self.good[rest])
+
+    def counts(self, rule: list[tuple[int, str, int]]) -> tuple[int, int]:
+        """Weights of bad and of good documents that the rule covers."""
+        hit = self.covered(rule)
+        return int(self.weight[hit & ~self.good].sum()), int(self.weight[hit & self.good].sum())
+
+    def worth(self, rule: list[tuple[int, str, int]]) -> float:
+        bad, good = self.counts(rule)
+        return (bad - good) / (bad + good) if bad + good else -1.0
+
+    def grown(self, n_cuts: list[int], most: int) -> list[tuple[int, str, int]]:
+        """Conditions of largest information gain, added until no good document is covered.
+
+        Of equal gains the first feature, lowest cut and side ``<=`` is taken.
+        """
+        rule: list[tuple[int, str, int]] = []
+        while len(rule) < most:
+            hit = self.covered(rule)
+            bad, good = self.counts(rule)
+            if not bad or not good:
+                break
+            best, gain = None, 1e-9
+            for column, n in enumerate(n_cuts):
+                # Weights at or below each cut are sums over bins.
+                upto = [
+                    np.cumsum(np.bincount(self.bins[keep, column], self.weight[keep], n + 1))[:n] for keep in (hit & ~self.good, hit & self.good)
+                ]
+                for cut in range(n):
+                    for side, p, q in (("<=", upto[0][cut], upto[1][cut]), (">", bad - upto[0][cut], good - upto[1][cut])):
+                        if p:
+                            won = p * (np.log2(p / (p + q)) - np.log2(bad / (bad + good)))
+                            if won > gain:
+                                best, gain = (column, side, cut), won
+            if best is None:
+                break
+            rule.append(best)
+        return rule
 
 
-def _worth(rule: list[Condition], rows: list[dict]) -> float:
-    bad, good = _counts(rule, rows)
-    return (bad - good) / (bad + good) if bad + good else -1.0
+def midpoints(values: list[float]) -> list[float]:
+    """Cuts halfway between neighbouring distinct values, so that each has a margin on both sides."""
+    ordered = sorted(set(values))
+    return [round((a + b) / 2, 9) for a, b in zip(ordered, ordered[1:], strict=False)]
 
 
 def learn_rules(
@@ -194,14 +212,16 @@ def learn_rules(
 
     At most ``sample`` labelled documents that pass the base rules are read, by
     a hash of their ids; two thirds of them grow the rules and one third prunes
-    them. Spark computes their statistics, the quantile cuts and the counts per
-    combination of bins; the driver sees only those counts, no more than
-    ``sample`` of them. A rule that is not ``precision`` right on the pruning
-    part, or covers fewer than ``support`` bad documents there, is not used and
-    ends the search. Without labels of both kinds there are no rules.
+    them. Spark computes their statistics, the quantiles that the cuts lie
+    between and the counts per combination of bins; the driver sees only those
+    counts, no more than ``sample`` of them. A rule that is not ``precision``
+    right on the pruning part, or covers fewer than ``support`` bad documents
+    there, is not used and ends the search. Null ids and labels teach nothing;
+    of rows that repeat an id, the smallest label and text count, once. Without
+    labels of both kinds there are no rules.
     """
     ids = labelled_sample(labels, label, sample, F.lit(True))
-    known = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    known = one_text(documents, ids, ["doc_id"])
     # The base rules are applied to the stored statistics: as a filter on the join they
     # would be pushed below it and measure every document.
     stored = with_statistics(known).select(
@@ -214,40 +234,42 @@ def learn_rules(
     try:
         marks = [k / bins for k in range(1, bins)]
         by_label = table.groupBy("label").agg(*[F.percentile_approx(n, marks).alias(n) for n in FEATURES]).collect()
-        cuts = {n: sorted({float(v) for row in by_label for v in row[n] or []}) for n in FEATURES}
-        binned = [
-            sum((F.when(F.col(n) > c, 1).otherwise(0) for c in cuts[n]), F.lit(0)).alias(n) for n in FEATURES
-        ]
-        counted = table.select("label", "prune", *binned).groupBy("label", "prune", *FEATURES).agg(F.count(F.lit(1)).alias("n"))
-        rows = [r.asDict() for r in counted.collect()]
+        cuts = {n: midpoints([float(v) for row in by_label for v in row[n] or []]) for n in FEATURES}
+        binned = [sum((F.when(F.col(n) > c, 1).otherwise(0) for c in cuts[n]), F.lit(0)).alias(n) for n in FEATURES]
+        counted = table.select("label", "prune", *binned).groupBy("label", "prune", *FEATURES).agg(F.count(F.lit(1)).alias("n")).collect()
     finally:
         stored.unpersist()
-    grow_rows = [r for r in rows if not r["prune"]]
-    prune_rows = [r for r in rows if r["prune"]]
+
+    def part(prune: bool) -> Counted:
+        rows = [r for r in counted if r["prune"] == prune]
+        bins = np.array([[r[n] for n in FEATURES] for r in rows], dtype=int).reshape(-1, len(FEATURES))
+        return Counted(bins, np.array([r["n"] for r in rows], dtype=float), np.array([bool(r["label"]) for r in rows], dtype=bool))
+
     # Bin numbers stand for cuts here: bin b lies above cut b - 1 and not above cut b.
-    bin_cuts = {n: [float(i) for i in range(len(cuts[n]))] for n in FEATURES}
+    growing, pruning = part(False), part(True)
     rules: list[list[Condition]] = []
     while len(rules) < most_rules:
-        rule = _grow(grow_rows, bin_cuts, most_conditions)
+        rule = growing.grown([len(cuts[n]) for n in FEATURES], most_conditions)
         while len(rule) > 1:
-            shorter = max(([c for c in rule if c != out] for out in rule), key=lambda r: _worth(r, prune_rows))
-            if _worth(shorter, prune_rows) < _worth(rule, prune_rows):
+            shorter = max(([c for c in rule if c != out] for out in rule), key=pruning.worth)
+            if pruning.worth(shorter) < pruning.worth(rule):
                 break
             rule = shorter
-        bad, good = _counts(rule, prune_rows)
+        bad, good = pruning.counts(rule)
         if not rule or bad < support or bad < precision * (bad + good):
             break
-        rules.append(rule)
-        grow_rows = [r for r in grow_rows if not _covers(rule, r)]
-        prune_rows = [r for r in prune_rows if not _covers(rule, r)]
-    return RuleList([[(n, s, cuts[n][int(c)]) for n, s, c in rule] for rule in rules])
+        rules.append([(FEATURES[i], side, cuts[FEATURES[i]][cut]) for i, side, cut in rule])
+        growing, pruning = growing.without(rule), pruning.without(rule)
+    return RuleList(rules)
 
 
 def judge_quality(documents: DataFrame, rules: RuleList, name: str = "quality") -> DataFrame:
     """Add the struct ``name``: the statistics, ``base_failed`` and ``kept``.
 
     Null and empty texts have no words and so fail the base rules. Rows are
-    judged one by one: no shuffle, repeated rows and long texts included.
+    judged one by one and whole: no shuffle, whatever rows repeat, texts tie or
+    are long; an empty table gives no rows. An input column called ``name``, in
+    any case of letters, is replaced.
     """
     stats = free_name(documents, "stats")
     judged = with_statistics(documents, name=stats)

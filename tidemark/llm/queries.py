@@ -85,5 +85,8 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mix_sources": mix_sources.OP4_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
+    "op8_shard_hilbert": shard_hilbert.OP8_SQL,
     "op9_dedup_lines": dedup_lines.OP9_SQL,
+    "op10_minhash": dedup_minhash.OP10_SQL,
 }

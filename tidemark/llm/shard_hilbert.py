@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stage_table
+from .common import free_name, in_order
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -42,12 +42,42 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def _ordinal(df: DataFrame, column: str) -> Column:
-    """A number that orders the column's values: itself, or a text's first seven bytes."""
-    if df.schema[column].dataType.typeName() == "string":
-        head = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 7)), 14, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(column).cast("double")
+def cell_starts(df: DataFrame, dims: list[str], cells: int) -> list[list[tuple[int, object]]]:
+    """For each dimension the cells that hold values, with the smallest value of each.
+
+    A value lies in cell ``cells * (rows below it) div (all rows)``, null below
+    all; so cells hold about equally many rows and keep the order of whole
+    values, texts included. Rows are counted by value task by task and summed
+    up over ranges of values; the driver gets at most ``cells`` rows a
+    dimension.
+    """
+    texts = [df.schema[c].dataType.typeName() == "string" for c in dims]
+    value = [
+        F.struct(
+            F.lit(i).alias("dim"),
+            (F.col(c) if text else F.lit(None).cast("string")).alias("s"),
+            (F.lit(None).cast("double") if text else F.col(c).cast("double")).alias("x"),
+        )
+        for i, (c, text) in enumerate(zip(dims, texts, strict=True))
+    ]
+    counts = df.select(F.explode(F.array(*value)).alias("v")).groupBy("v.dim", "v.s", "v.x").agg(F.count(F.lit(1)).alias("n"))
+    # Nulls come first in each dimension, and every dimension counts all rows.
+    summed = in_order(counts, [F.col("dim"), F.col("s"), F.col("x")], sums={"n": "before"}).drop("place")
+    total = df.count()
+    cell = F.expr(f"(before - dim * {total}L) * {cells} div {max(total, 1)}L")
+    known = summed.where("s is not null or x is not null").groupBy("dim", cell.alias("cell")).agg(F.min("s").alias("s"), F.min("x").alias("x"))
+    starts: list[list[tuple[int, object]]] = [[] for _ in dims]
+    for row in sorted(known.collect(), key=lambda r: (r["dim"], r["cell"])):
+        starts[row["dim"]].append((row["cell"], row["s"] if texts[row["dim"]] else row["x"]))
+    return starts
+
+
+def _cell(column: Column, starts: list[tuple[int, object]]) -> Column:
+    """The last cell whose smallest value is not above the column's; null lies in the lowest."""
+    chain = F.when(column.isNull(), F.lit(0))
+    for cell, first in reversed(starts):
+        chain = chain.when(column >= F.lit(first), F.lit(cell))
+    return chain.otherwise(F.lit(0))
 
 
 def hilbert_shards(
@@ -56,56 +86,36 @@ def hilbert_shards(
     n_shards: int,
     tie: list[Column],
     bits: int = 5,
-    accuracy: int = 2000,
 ) -> DataFrame:
     """Sort by Hilbert index over ``dims`` and cut the run into equal counts of rows.
 
-    Each dimension is quantised at approximate quantiles into ``2**bits``
-    cells, nulls in the lowest; so cells keep the order of values and a shard
-    file covers a small box of every dimension, which file statistics prune.
-    Rows of one cell are ordered by ``tie``, so a crowded cell is spread over
-    several tasks. Returns df with ``hilbert long, shard int, slot long``.
-    Shard counts differ by at most one; slots run from 0 without gaps. An empty
-    table gives an empty result; equal rows are interchangeable; columns of df
-    that have those three names are replaced.
-
-    The one shuffle carries df's own columns: pass ids and metadata, not texts.
+    Each dimension is quantised into ``2**bits`` cells of about equally many
+    rows, nulls in the lowest; cells keep the order of values, so a shard file
+    covers a small box of every dimension, which file statistics prune. Rows of
+    one cell are ordered by ``tie``, so a crowded cell is spread over several
+    tasks. Returns df with ``hilbert long, shard int, slot long``. Shard counts
+    differ by at most one; slots run from 0 without gaps. An empty table gives
+    an empty result; rows equal in cells and ties are interchangeable; columns
+    of df that have those three names, in any case of letters, are replaced.
+
+    The one shuffle of rows carries df's own columns: pass ids and metadata,
+    not texts, where texts aren't needed.
     """
     df = df.drop("hilbert", "shard", "slot")
-    marks = [1 / 2**bits * k for k in range(1, 2**bits)]
-    bounds = df.agg(*[F.percentile_approx(_ordinal(df, c), marks, accuracy).alias(f"b{i}") for i, c in enumerate(dims)]).first()
-    cell_bounds = [np.unique(np.array([v for v in (b or [])], dtype=float)) for b in bounds]
+    starts = cell_starts(df, dims, 2**bits)
 
     @F.pandas_udf("long")
-    def index(*values: pd.Series) -> pd.Series:
-        cells = np.stack(
-            [np.where(v.isna(), 0, np.searchsorted(b, v.fillna(0).to_numpy(float), side="right")) for v, b in zip(values, cell_bounds, strict=True)],
-            axis=1,
-        )
-        return pd.Series(hilbert_index(cells, bits))
+    def index(*cells: pd.Series) -> pd.Series:
+        return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in cells], axis=1), bits))
 
     keys = [free_name(df, f"tie{i}") for i in range(len(tie))]
-    at, part, before, size = (free_name(df, x) for x in ("at", "part", "before", "size"))
-    curve = df.withColumns({"hilbert": index(*[_ordinal(df, c) for c in dims]), **dict(zip(keys, tie, strict=True))})
-    spread = curve.repartitionByRange("hilbert", *keys).sortWithinPartitions("hilbert", *keys)
-    # The id holds the task's number above bit 33 and the row's place in the task below it.
-    run = stage_table(spread.withColumn(at, F.monotonically_increasing_id()).drop(*keys), "hilbert")
-    counts = run.groupBy(F.shiftright(at, 33).alias(part)).agg(F.count(F.lit(1)).alias(size))
-    # One row per task of the sort: few enough for the driver and for a literal map.
-    starts, total = {}, 0
-    for row in sorted(counts.collect()):
-        starts[row[0]] = total
-        total += row[1]
-    if not total:
-        return run.drop(at).withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    offsets = F.broadcast(df.sparkSession.createDataFrame(list(starts.items()), f"{part} long, {before} long"))
-    place = F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
-    shard = F.floor(place * n_shards / F.lit(total)) if total * n_shards < 2**52 else F.floor(place / F.lit(total) * n_shards)
-    ranked = run.withColumn(part, F.shiftright(at, 33)).join(offsets, part).withColumn(at, place)
-    # Shard s holds places ceil(s * total / n) up to the next shard's first.
-    cut = ranked.withColumn("shard", shard.cast("int"))
-    first = F.ceil(F.col("shard").cast("long") * F.lit(total) / F.lit(n_shards))
-    return cut.withColumn("slot", (F.col(at) - first).cast("long")).drop(at, part, before)
+    place, total = free_name(df, "place"), free_name(df, "total")
+    curve = df.withColumns({"hilbert": index(*[_cell(F.col(c), s) for c, s in zip(dims, starts, strict=True)]), **dict(zip(keys, tie, strict=True))})
+    run = in_order(curve, [F.col("hilbert"), *map(F.col, keys)], place, total)
+    # Shard s holds the places from ceil(s * total / n) to before the next shard's first.
+    cut = run.withColumn("shard", F.expr(f"`{place}` * {n_shards} div `{total}`").cast("int"))
+    first = F.expr(f"(shard * `{total}` + {n_shards - 1}) div {n_shards}")
+    return cut.withColumn("slot", F.col(place) - first).drop(place, total, *keys)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
@@ -140,6 +150,62 @@ def shard_documents(documents: DataFrame, n_shards: int = 40) -> DataFrame:
     return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def _hilbert_sql(bits: int, d: int) -> str:
+    """Common table expressions that turn cells x0, x1, ... of the table ``cells`` into ``curve.hilbert``, step by step."""
+    steps, source = [], "cells"
+
+    def step(**changed: str) -> None:
+        nonlocal source
+        name = f"turn{len(steps)}"
+        steps.append(f"{name} AS (SELECT * REPLACE ({', '.join(f'{v} AS {k}' for k, v in changed.items())}) FROM {source})")
+        source = name
+
+    for level in (1 << b for b in range(bits - 1, 0, -1)):
+        low = level - 1
+        for i in range(d):
+            inverted = f"x{i} & {level} <> 0"
+            swapped = f"(xor(x0, x{i}) & {low})"
+            changed = {"x0": f"CASE WHEN {inverted} THEN xor(x0, {low}) ELSE xor(x0, {swapped}) END"}
+            if i:
+                changed[f"x{i}"] = f"CASE WHEN {inverted} THEN x{i} ELSE xor(x{i}, {swapped}) END"
+            step(**changed)
+    for i in range(1, d):
+        step(**{f"x{i}": f"xor(x{i}, x{i - 1})"})
+    for level in (1 << b for b in range(bits - 1, 0, -1)):
+        step(flip=f"CASE WHEN x{d - 1} & {level} <> 0 THEN xor(flip, {level - 1}) ELSE flip END")
+    parts = [f"(((xor(x{i}, flip) >> {b}) & 1) << {b * d + d - 1 - i})" for b in range(bits) for i in range(d)]
+    return f"{', '.join(steps)}, curve AS (SELECT *, {' + '.join(parts)} AS hilbert FROM {source})"
+
+
+def _cell_sql(column: str, cells: int) -> str:
+    return f"((rank() OVER (ORDER BY {column} NULLS FIRST) - 1) * {cells} // count(*) OVER ())::BIGINT"
+
+
+# The checksum's table follows from its polynomial.
+_CRC_STEP = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+OP8_SQL = f"""
+WITH RECURSIVE crc_steps(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, {_CRC_STEP.format("v")} FROM crc_steps WHERE k < 8
+), crc_table AS (
+  SELECT list(v ORDER BY i) AS crc FROM crc_steps WHERE k = 8
+), docs AS (
+  SELECT doc_id, source, lang, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),
+      lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
+  FROM documents, crc_table
+), cells AS (
+  SELECT *, CASE WHEN source IS NULL THEN 0 ELSE {_cell_sql("source", 32)} END AS x0, CASE WHEN lang IS NULL THEN 0 ELSE {_cell_sql("lang", 32)} END AS x1,
+    {_cell_sql("size", 32)} AS x2, 0::BIGINT AS flip FROM docs
+), {_hilbert_sql(5, 3)}, placed AS (
+  SELECT *, row_number() OVER (ORDER BY hilbert, text_crc32, doc_id) - 1 AS place, count(*) OVER () AS total FROM curve
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 40 // total)::INT AS shard, place - (place * 40 // total * total + 39) // 40 AS slot,
+  NULL::INT AS grown_shard, hilbert FROM placed
+"""
+
+
 def op8_query(documents: DataFrame) -> DataFrame:
     return shard_documents(documents).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "hilbert"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -11,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import free_name
-
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Trie nodes of one task, at most; a full trie is emptied and grown anew.
 MAX_NODES = 2_000_000
+#: Pre-tokens of more bytes are scored in a short ring of states instead of nodes.
+MAX_WORD = 4_096
+_PRE_TOKEN = re.compile(rb" ?[^\x09-\x0D\x20]+|[\x09-\x0D\x20]+(?= [^\x09-\x0D\x20])|[\x09-\x0D\x20]+")
 
 
 def read_pieces(path: str) -> dict[bytes, float]:
@@ -56,7 +58,25 @@ class TokenTrie:
         """Terminal counts of distinct pre-tokens."""
         return {p: self._insert(p) for p in pre_tokens}
 
+    def _walk(self, word: bytes) -> int:
+        """The count of one long pre-token; only the scores that a piece can reach back to are held."""
+        pieces, longest, unknown = self.pieces, self.longest, self.unknown
+        ring = longest + 1
+        score, count = array("d", [0.0]) * ring, array("q", [0]) * ring
+        for end in range(1, len(word) + 1):
+            best, tokens = -math.inf, 0
+            for begin in range(end - 1, max(-1, end - 1 - longest), -1):
+                piece = pieces.get(word[begin:end], unknown if begin == end - 1 else None)
+                if piece is not None:
+                    total, n = score[begin % ring] + piece, count[begin % ring] + 1
+                    if total > best or total == best and n < tokens:
+                        best, tokens = total, n
+            score[end % ring], count[end % ring] = best, tokens
+        return count[len(word) % ring]
+
     def _insert(self, word: bytes) -> int:
+        if len(word) > MAX_WORD:
+            return self._walk(word)
         if len(self.score) + len(word) > self.max_nodes and len(self.score) > 1:
             self._empty()
         edges, score, count = self.edges, self.score, self.count
@@ -88,9 +108,8 @@ class TokenTrie:
 
 
 def pre_tokens(text: str | None) -> list[bytes]:
-    """Words split at ASCII white space, all but the first with the space before them."""
-    words = text.encode().split() if text else []
-    return [w if i == 0 else b" " + w for i, w in enumerate(words)]
+    """Words with one space before them, if there is one, and the runs of white space between; joined they are the text."""
+    return _PRE_TOKEN.findall(text.encode("utf-8", "surrogatepass")) if text else []
 
 
 def count_tokens(
@@ -105,13 +124,17 @@ def count_tokens(
 
     Each task inserts the distinct pre-tokens of its batches in one trie; the
     counts of a document are the sum over its pre-tokens. Nothing shuffles, the
-    trie's size is bounded, and its state never changes a count. Null, empty
-    and blank texts have no tokens; very long pre-tokens are segmented whole.
+    trie's size is bounded, and its state never changes a count: of equally
+    scored segmentations the one of fewer tokens counts. Null and empty texts
+    have no tokens, white space is counted; very long pre-tokens are segmented
+    whole, in a bounded state. Repeated rows have the same counts, an empty
+    table gives no rows. An input column called ``name``, in any case of
+    letters, is replaced.
 
     The driver reads the vocabulary, a file of fixed size, and broadcasts it.
     """
+    documents = documents.drop(name)
     table = documents.sparkSession.sparkContext.broadcast(pieces if pieces is not None else read_pieces(vocabulary))
-    column = free_name(documents, name) if name in documents.columns else name
     kind = T.StructType([T.StructField("n_pre_tokens", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +144,9 @@ def count_tokens(
             known = trie.counts({w for row in rows for w in row})
             out = [{"n_pre_tokens": len(row), "n_tokens": sum(map(known.__getitem__, row))} for row in rows]
             struct = pa.struct([("n_pre_tokens", pa.int64()), ("n_tokens", pa.int64())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, struct)], [*batch.schema.names, column])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, struct)], [*batch.schema.names, name])
 
-    return documents.mapInArrow(count, T.StructType([*documents.schema.fields, T.StructField(column, kind)]))
+    return documents.mapInArrow(count, T.StructType([*documents.schema.fields, T.StructField(name, kind)]))
 
 
 def op5_query(documents: DataFrame) -> DataFrame:
