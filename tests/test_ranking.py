@@ -93,6 +93,8 @@ def test_places_number_every_row(spark):
         want.append((i, k, n, 5003, before))
         before += i
     assert [(r.id, r.key, r.place, r["all"], r.before) for r in placed] == want
+    few = ordering.in_order(frame, [F.col("key"), F.col("id")], total="all", sums={"id": "before"}, rows=5003).orderBy("place").collect()
+    assert [(r.id, r.key, r.place, r["all"], r.before) for r in few] == want
     assert ordering.in_order(frame.limit(0), [F.col("key"), F.col("id")]).count() == 0
 
 

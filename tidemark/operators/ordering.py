@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import stage_table
 
+#: So many rows, where their number is known, are ordered by one task.
+ONE_TASK = 100_000
 #: monotonically_increasing_id has the task's number from this bit on.
 _TASK_BIT = 33
 
@@ -21,7 +23,9 @@ def unused(df: DataFrame, stem: str) -> str:
     return name
 
 
-def in_order(df: DataFrame, order: list[Column], place: str = "place", total: str | None = None, sums: dict[str, str] | None = None) -> DataFrame:
+def in_order(
+    df: DataFrame, order: list[Column], place: str = "place", total: str | None = None, sums: dict[str, str] | None = None, rows: int | None = None
+) -> DataFrame:
     """Add each row's ``place`` from 0 in the order of ``order``.
 
     ``total`` names a column for the number of all rows; ``sums`` maps a column
@@ -31,9 +35,16 @@ def in_order(df: DataFrame, order: list[Column], place: str = "place", total: st
     Rows are dealt by ranges, sorted task by task and written; then each task's
     rows and sums are added up, and what lies before a task is added to the
     places inside it. The only window without a partitioning runs over one row
-    per task of the sort.
+    per task of the sort. Give ``rows``, where the number of rows was counted:
+    up to ``ONE_TASK`` of them are ordered at once.
     """
     sums = sums or {}
+    if rows is not None and rows <= ONE_TASK:
+        lower = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        placed = df.withColumn(place, (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))
+        if total:
+            placed = placed.withColumn(total, F.lit(rows).cast("long"))
+        return placed.withColumns({name: F.coalesce(F.sum(c).over(lower), F.lit(0)) for c, name in sums.items()})
     at, task, first = unused(df, "at"), unused(df, "task"), unused(df, "first")
     before = {c: unused(df, f"before_{c}") for c in sums}
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
