@@ -162,7 +162,17 @@ def components(rows, width, percent):
             if i is not None and j is not None and a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
-    return Counter((i, len(s), None if i is None else find(i), i is None or find(i) == i) for i, s in sets)
+    by_set = defaultdict(list)
+    for i, s in sets:
+        if i is not None and s:
+            by_set[s].append(i)
+
+    def verdict(i, s):
+        if i is not None:
+            return find(i), find(i) == i
+        return (find(by_set[s][0]), False) if by_set[s] else (None, True)
+
+    return Counter((i, len(s), *verdict(i, s)) for i, s in sets)
 
 
 def near_copies(n_groups=12, copies=14, words=90):

@@ -37,11 +37,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
     so their number is not limited; the driver gets totals and the level only.
     """
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    placed = in_order(per_source, [F.col("source").asc_nulls_last()])
+    per_source = stage_table(per_source, "source_sizes")
+    n = per_source.count()
+    placed = in_order(per_source, [F.col("source").asc_nulls_last()], rows=n)
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     cap = F.col("source_size") * F.lit(float(max_epochs))
     rated = placed.withColumns({"weight": weight, "cap": cap, "cap_ratio": cap / weight}).drop("place")
-    filled = in_order(rated, [F.col("cap_ratio"), F.col("source").asc_nulls_last()], sums={"cap": "caps_before", "weight": "weights_before"})
+    filled = in_order(rated, [F.col("cap_ratio"), F.col("source").asc_nulls_last()], sums={"cap": "caps_before", "weight": "weights_before"}, rows=n)
     filled = stage_table(filled, "sources")
     words, all_weights = filled.agg(F.sum("source_size"), F.sum("weight")).first()
     if words is None:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, in_order
+from .common import free_name, in_order, stage_table
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -61,8 +61,9 @@ def cell_starts(df: DataFrame, dims: list[str], cells: int) -> list[list[tuple[i
         for i, (c, text) in enumerate(zip(dims, texts, strict=True))
     ]
     counts = df.select(F.explode(F.array(*value)).alias("v")).groupBy("v.dim", "v.s", "v.x").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage_table(counts, "values")
     # Nulls come first in each dimension, and every dimension counts all rows.
-    summed = in_order(counts, [F.col("dim"), F.col("s"), F.col("x")], sums={"n": "before"}).drop("place")
+    summed = in_order(counts, [F.col("dim"), F.col("s"), F.col("x")], sums={"n": "before"}, rows=counts.count()).drop("place")
     total = df.count()
     cell = F.expr(f"(before - dim * {total}L) * {cells} div {max(total, 1)}L")
     known = summed.where("s is not null or x is not null").groupBy("dim", cell.alias("cell")).agg(F.min("s").alias("s"), F.min("x").alias("x"))
