@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stage_table
 from .asof import asof_join
 
 _ORDER = ("t", "idx")
@@ -117,23 +118,21 @@ def turn_runs(samples: DataFrame, low: float, high: float, fps: float) -> DataFr
     Runs of samples at or above ``high`` are parts of one event unless they
     are ``max(.15, 1.5 / fps)`` seconds apart and the quietest sample between
     them is at or below 55 % of the way from ``low`` to ``high``. The first
-    sample of a series is left out.
+    sample of a series is left out. All windows share the partitioning by
+    entity: one shuffle and no join.
     """
-    order = _by("entity")
+    order, run = _by("entity"), W.partitionBy("entity", "run")
     body = samples.where("idx > 0").withColumn("hi", F.col("motion") >= high)
     starts = body.withColumn("_start", (F.col("hi") & ~F.coalesce(F.lag("hi").over(order), F.lit(False))).cast("int"))
     ran = starts.withColumn("run", F.sum("_start").over(order)).where("run > 0")
-    runs = ran.groupBy("entity", "run").agg(
-        F.min(F.when(F.col("hi"), F.col("t"))).alias("run_start"),
-        F.max(F.when(F.col("hi"), F.col("t"))).alias("run_end"),
-        F.min(F.when(~F.col("hi"), F.col("motion"))).alias("valley"),
+    # A run's end and valley are known at each of its rows, so at the row before the next run.
+    sized = ran.withColumns(
+        {"_end": F.max(F.when(F.col("hi"), F.col("t"))).over(run), "_valley": F.min(F.when(~F.col("hi"), F.col("motion"))).over(run)}
     )
-    by_run = W.partitionBy("entity").orderBy("run")
-    apart = F.col("run_start") - F.lag("run_end").over(by_run) >= max(0.15, 1.5 / max(fps, 1.0))
-    quiet = F.coalesce(F.lag("valley").over(by_run), F.lit(high)) <= low + 0.55 * (high - low)
-    opens = F.when(F.lag("run").over(by_run).isNull() | (apart & quiet), 1).otherwise(0)
-    events = runs.withColumn("_new", opens).withColumn("event", F.sum("_new").over(by_run)).select("entity", "run", "event")
-    return ran.join(events, ["entity", "run"]).drop("_start")
+    apart = F.col("t") - F.lag("_end").over(order) >= max(0.15, 1.5 / max(fps, 1.0))
+    quiet = F.coalesce(F.lag("_valley").over(order), F.lit(high)) <= low + 0.55 * (high - low)
+    opens = F.when((F.col("_start") == 1) & (F.lag("run").over(order).isNull() | (apart & quiet)), 1).otherwise(0)
+    return sized.withColumn("_new", opens).withColumn("event", F.sum("_new").over(order)).drop("_start", "_end", "_valley", "_new")
 
 
 def turn_events(samples: DataFrame, low: float, high: float, fps: float) -> DataFrame:
@@ -168,25 +167,39 @@ def missing_windows(samples: DataFrame, low: float, high: float, required: int,
     events' peaks and its quietest sample (the earliest of equals) is at or
     below 65 % of the way from ``low`` to ``high``. ``before`` and ``after``
     are the intervals that end or start nearest to that sample. All matching is
-    by event number or in one ordered stream per entity.
+    by event number or in one ordered stream per entity; intervals are written
+    once, as three matches read them.
     """
-    events = turn_events(samples, low, high, fps)
+    of_event = W.partitionBy("entity", "event")
+    ahead = _by("entity").rowsBetween(1, W.unboundedFollowing)
+    marked = turn_runs(samples, low, high, fps).withColumns(
+        {"_end": F.max(F.when(F.col("hi"), F.col("t"))).over(of_event), "_later": F.first(F.when(F.col("hi"), F.col("t")), ignorenulls=True).over(ahead)}
+    )
+    inside = ~F.col("hi") & (F.col("t") > F.col("_end")) & (F.col("t") < F.col("_later"))
+    peak = F.max(F.when(F.col("hi"), F.struct("motion", (-F.col("t")).alias("minus_t"))))
+    # Events with the quietest sample after each come from one pass.
+    events = marked.groupBy("entity", "event").agg(
+        F.min(F.when(F.col("hi"), F.col("t"))).alias("start"), F.max("_end").alias("window_start"), peak.alias("peak"), F.min(F.when(inside, F.struct("motion", "t"))).alias("best")
+    )
     nxt = W.partitionBy("entity").orderBy("event")
-    pairs = events.withColumns(
-        {"right_turn": F.lead("id").over(nxt), "window_end": F.lead("start").over(nxt), "right_peak": F.lead("peak_time").over(nxt)}
-    ).where("window_end > end")
-    pairs = pairs.select("entity", "event", F.col("id").alias("left_turn"), "right_turn", F.col("end").alias("window_start"), "window_end", F.col("peak_time").alias("left_peak"), "right_peak")
-    segments = stable_intervals(samples, low, high, required).select("entity", "interval", "start", "end")
-    middles = segments.withColumn("mid", (F.col("start") + F.col("end")) / 2)
-    # The last event whose peak lies before an interval's midpoint owns the interval.
-    owned = asof_join(middles, pairs.select("entity", "event", "left_peak", "right_peak"), ["entity"], "mid", "left_peak", "pair", exact=False)
-    taken = owned.where("pair is not null and mid < pair.right_peak").select("entity", "pair.event").distinct()
-    empty = pairs.join(taken, ["entity", "event"], "left_anti")
-    between = turn_runs(samples, low, high, fps).select("entity", "event", "t", "motion")
-    visible = empty.join(between, ["entity", "event"]).where("t > window_start and t < window_end")
-    keys = ["entity", "event", "left_turn", "right_turn", "window_start", "window_end"]
-    quiet = visible.groupBy(*keys).agg(F.min(F.struct("motion", "t")).alias("best")).where(F.col("best.motion") <= low + 0.65 * (high - low))
-    found = quiet.select("entity", F.concat_ws("-", "left_turn", "right_turn").alias("id"), F.col("best.t").alias("time"), F.col("best.motion").alias("motion"), "window_start", "window_end", "left_turn", "right_turn")
+    paired = events.select(
+        "entity",
+        "event",
+        F.format_string("turn_%04d", "event").alias("left_turn"),
+        F.format_string("turn_%04d", F.lead("event").over(nxt)).alias("right_turn"),
+        "window_start",
+        F.lead("start").over(nxt).alias("window_end"),
+        (-F.col("peak.minus_t")).alias("left_peak"),
+        (-F.lead("peak.minus_t").over(nxt)).alias("right_peak"),
+        "best",
+    )
+    pairs = paired.where((F.col("window_end") > F.col("window_start")) & (F.col("best.motion") <= low + 0.65 * (high - low)))
+    segments = stage_table(stable_intervals(samples, low, high, required).select("entity", "interval", "start", "end"), "intervals")
+    middles = segments.select("entity", ((F.col("start") + F.col("end")) / 2).alias("mid"))
+    # The first midpoint after the left peak lies before the right one, or none does.
+    near = asof_join(pairs, middles, ["entity"], "left_peak", "mid", "_mid", backward=False, exact=False)
+    empty = near.where("_mid is null or _mid.mid >= right_peak")
+    found = empty.select("entity", F.concat_ws("-", "left_turn", "right_turn").alias("id"), F.col("best.t").alias("time"), F.col("best.motion").alias("motion"), "window_start", "window_end", "left_turn", "right_turn")
     return with_neighbours(found, segments)
 
 
