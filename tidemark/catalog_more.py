@@ -326,10 +326,10 @@ QUADS_SQL = QUADS_SQL.replace(
 _DEVIATION = 0.012
 _DIST = "(" + " + ".join(f"sqrt(pow(a.x{i} - b.x{i}, 2) + pow(a.y{i} - b.y{i}, 2))" for i in range(4)) + ") / 4"
 CLUSTER_SQL = f"""{QUADS_SQL}, near AS (
-  SELECT a.spread, a.side, a.id AS center, count(*) AS n, round(sum(b.confidence), 9) AS weight, list(b.id) AS members
+  SELECT a.spread, a.side, a.id AS center, count(*) AS n, round(sum(b.confidence), 9) AS weight, list(b.id) AS members, bool_or(b.id % 1000 = 2) AS with_anchor
   FROM quads a JOIN quads b ON a.spread = b.spread AND a.side = b.side WHERE round({_DIST}, 9) <= {_DEVIATION}::DOUBLE GROUP BY a.spread, a.side, a.id
 ), best AS (
-  SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY spread, side ORDER BY n DESC, weight DESC, center) = 1
+  SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY spread, side ORDER BY n DESC, with_anchor DESC, weight DESC, center) = 1
 ), cluster AS (
   SELECT q.* FROM quads q JOIN (SELECT spread, side, unnest(members) AS id FROM best) m ON q.spread = m.spread AND q.side = m.side AND q.id = m.id
 )"""
@@ -352,14 +352,19 @@ TRIM_SQL = f"""{CLUSTER_SQL}, centered AS (
 _SIDE = ["spread", "side"]
 
 
+def _cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quads = _quads(spark, sf_dir).withColumn("anchor", F.col("id") % 1000 == 2)
+    return consensus.largest_cluster(quads, _SIDE, _DEVIATION, "anchor").drop("anchor")
+
+
 @query(f"WITH {CLUSTER_SQL} SELECT spread, side, id FROM cluster")
 def consensus_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus.largest_cluster(_quads(spark, sf_dir), _SIDE, _DEVIATION).select("spread", "side", "id")
+    return _cluster(spark, sf_dir).select("spread", "side", "id")
 
 
 @query(f"WITH {TRIM_SQL} SELECT spread, side, id FROM trimmed")
 def mad_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cluster = consensus.largest_cluster(_quads(spark, sf_dir), _SIDE, _DEVIATION)
+    cluster = _cluster(spark, sf_dir)
     return consensus.trimmed(cluster, _SIDE, _DEVIATION).select("spread", "side", "id")
 
 
@@ -375,6 +380,9 @@ def weighted_quad_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EDGE = lambda i: f"sqrt(pow(x{(i + 1) % 4} - x{i % 4}, 2) + pow(y{(i + 1) % 4} - y{i % 4}, 2))"
+_TURN = lambda i: (
+    f"(x{(i + 1) % 4} - x{i}) * (y{(i + 2) % 4} - y{(i + 1) % 4}) - (y{(i + 1) % 4} - y{i}) * (x{(i + 2) % 4} - x{(i + 1) % 4})"
+)
 _COS = lambda i: (
     f"abs((x{(i + 1) % 4} - x{i}) * (x{(i + 2) % 4} - x{(i + 1) % 4}) + (y{(i + 1) % 4} - y{i}) * (y{(i + 2) % 4} - y{(i + 1) % 4})) / ({_EDGE(i)} * {_EDGE(i + 1)} + 1e-8)"
 )
@@ -382,17 +390,24 @@ _COS = lambda i: (
 
 @query(
     f"""
-WITH {QUADS_SQL}
+WITH {QUADS_SQL}, folded AS (
+  SELECT * REPLACE (CASE WHEN id % 9 = 4 THEN x0 - 0.05::DOUBLE ELSE x2 END AS x2, CASE WHEN id % 11 = 3 THEN y3 + 0.5::DOUBLE ELSE y3 END AS y3) FROM quads
+)
 SELECT id, round(({' + '.join(_COS(i) for i in range(4))}) / 4, 6) AS skew,
   round((abs({_EDGE(0)} - {_EDGE(2)}) / (greatest({_EDGE(0)}, {_EDGE(2)}) + 1e-8) + abs({_EDGE(1)} - {_EDGE(3)}) / (greatest({_EDGE(1)}, {_EDGE(3)}) + 1e-8)) / 2, 6) AS imbalance,
   round(abs({' + '.join(f'(x{i} * y{(i + 1) % 4} - x{(i + 1) % 4} * y{i})' for i in range(4))}) / 2, 6) AS area,
   round(1 - y3, 6) AS turned_x0, round(x3, 6) AS turned_y0
-FROM quads
+FROM folded WHERE least({", ".join(consensus.CORNERS)}) >= 0 AND greatest({", ".join(consensus.CORNERS)}) <= 1 AND {" AND ".join(f"{_TURN(i)} > 0" for i in range(4))}
+  AND abs({' + '.join(f'(x{i} * y{(i + 1) % 4} - x{(i + 1) % 4} * y{i})' for i in range(4))}) / 2 >= 0.005::DOUBLE
 """
 )
 def quad_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shape of the valid quads; some are folded over or reach beyond the unit square, and are left out."""
     turned = geometry.rotated(90)
-    return _quads(spark, sf_dir).where(geometry.is_valid()).select(
+    folded = _quads(spark, sf_dir).withColumns(
+        {"x2": F.when(F.col("id") % 9 == 4, F.col("x0") - 0.05).otherwise(F.col("x2")), "y3": F.when(F.col("id") % 11 == 3, F.col("y3") + 0.5).otherwise(F.col("y3"))}
+    )
+    return folded.where(geometry.is_valid()).select(
         "id",
         F.round(geometry.skew(), 6).alias("skew"),
         F.round(geometry.imbalance(), 6).alias("imbalance"),

@@ -17,18 +17,20 @@ def quad_distance(a: str, b: str) -> Column:
     return sum(parts[1:], parts[0]) / 4
 
 
-def largest_cluster(quads: DataFrame, group: list[str], deviation: float) -> DataFrame:
-    """Members of the largest set of quads near one of them; then most confidence, then smallest id.
+def largest_cluster(quads: DataFrame, group: list[str], deviation: float, anchor: str | None = None) -> DataFrame:
+    """Members of the largest set of quads near one of them; then one with the anchor, most confidence, smallest id.
 
-    ``quads`` has the group's keys, ``id``, the corners and ``confidence``. A
-    group is the handful of detections of one spread side.
+    ``quads`` has the group's keys, ``id``, the corners and ``confidence``;
+    ``anchor`` names a boolean column that is true for the quad of the
+    candidate at hand. A group is the handful of detections of one spread side.
     """
+    with_anchor = F.bool_or(F.col(f"b.{anchor}")) if anchor else F.lit(False)
     pairs = quads.alias("a").join(quads.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in group])
     near = pairs.where(F.round(quad_distance("a", "b"), 9) <= deviation)
     sizes = near.groupBy(*[F.col(f"a.{k}").alias(k) for k in group], F.col("a.id").alias("center")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("b.confidence"), 9).alias("weight"), F.collect_list("b.id").alias("members")
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("b.confidence"), 9).alias("weight"), F.collect_list("b.id").alias("members"), with_anchor.alias("with_anchor")
     )
-    order = W.partitionBy(*group).orderBy(F.col("n").desc(), F.col("weight").desc(), "center")
+    order = W.partitionBy(*group).orderBy(F.col("n").desc(), F.col("with_anchor").desc(), F.col("weight").desc(), "center")
     best = sizes.withColumn("_place", F.row_number().over(order)).where("_place = 1")
     return quads.join(best.select(*group, F.explode("members").alias("id")), [*group, "id"])
 
