@@ -296,15 +296,16 @@ def final_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select("spread", "cand", F.array_join(verdicts.final_codes(), ",").alias("reasons"))
 
 
+#: Measures of an alignment, as expressions that both engines read alike.
 _GATES = {
-    "inliers": ("sharpness / 3", F.col("sharpness") / 3),
-    "inlier_ratio": ("exposure + 0.2::DOUBLE", F.col("exposure") + 0.2),
-    "half_inliers": ("sharpness / 8", F.col("sharpness") / 8),
-    "balance": ("distortion", F.col("distortion")),
-    "coverage_x": ("0.2::DOUBLE + flatness", 0.2 + F.col("flatness")),
-    "coverage_y": ("0.25::DOUBLE + flatness", 0.25 + F.col("flatness")),
-    "overlap": ("0.4::DOUBLE + exposure", 0.4 + F.col("exposure")),
-    "correlation": ("1 - exposure", 1 - F.col("exposure")),
+    "inliers": "sharpness / 3",
+    "inlier_ratio": "exposure + 0.2::DOUBLE",
+    "half_inliers": "sharpness / 8",
+    "balance": "distortion",
+    "coverage_x": "0.2::DOUBLE + flatness",
+    "coverage_y": "0.25::DOUBLE + flatness",
+    "overlap": "0.4::DOUBLE + exposure",
+    "correlation": "1 - exposure",
 }
 
 
@@ -315,7 +316,7 @@ def _all_sql(**least: float) -> str:
 @query(
     f"""
 WITH {CANDIDATES_SQL}, measured AS (
-  SELECT spread, cand, {", ".join(f"{sql} AS {k}" for k, (sql, _) in _GATES.items())}, clipping AS density, motion * 2 AS step_shift, distortion AS total_shift, 0.5::DOUBLE + exposure * 2 AS area_ratio FROM candidates
+  SELECT spread, cand, {", ".join(f"{sql} AS {k}" for k, sql in _GATES.items())}, clipping AS density, motion * 2 AS step_shift, distortion AS total_shift, 0.5::DOUBLE + exposure * 2 AS area_ratio FROM candidates
 ), judged AS (
   SELECT *, density >= 0.04::DOUBLE AND {_all_sql(inliers=60, inlier_ratio=0.45, half_inliers=20, balance=0.08, coverage_x=0.40, coverage_y=0.45, overlap=0.55, correlation=0.45)}
     OR {_all_sql(inliers=120, inlier_ratio=0.40, half_inliers=40, balance=0.20, coverage_x=0.58, coverage_y=0.65, overlap=0.75, correlation=0.25)} AS duplicate,
@@ -329,7 +330,7 @@ def alignment_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suspect and duplicate by alignment measures, and the status of a tracked region."""
     c = F.col
     more = {"step_shift": c("motion") * 2, "total_shift": c("distortion"), "area_ratio": 0.5 + c("exposure") * 2}
-    rows = candidates(spark, sf_dir).withColumns({**{k: v for k, (_, v) in _GATES.items()}, **more})
+    rows = candidates(spark, sf_dir).withColumns({**{k: F.expr(v) for k, v in _GATES.items()}, **more})
     gates = verdicts.alignment_gates(c("clipping"))
     return rows.select("spread", "cand", gates["duplicate"].alias("duplicate"), gates["suspect"].alias("suspect"), verdicts.tracking_status(0.03, 0.3).alias("status"))
 
