@@ -73,3 +73,64 @@ def first_finite(*columns: str) -> Column:
         return F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c))
 
     return F.coalesce(*[own(c) for c in columns])
+
+
+def prefer_newer(rows: DataFrame, group: list[str], key: str) -> DataFrame:
+    """Per group whether the newer rows are cleaner than the older ones and may replace them: ``n_keys, same_keys, prefer``.
+
+    ``rows`` has the group, ``key`` (a side, once an age), ``newer``, ``hand``,
+    ``focus`` and lists ``hard`` and ``repair`` of risks. Both ages must have
+    the same keys and finite measures; no key may lose a fifth of its focus or
+    gain a hard risk. All rows of a group meet in one exchange.
+    """
+
+    def of(newer: bool, name: str) -> Column:
+        return F.max(F.when(F.col("newer") == newer, F.col(name))).alias(f"{'new' if newer else 'old'}_{name}")
+
+    packed = rows.withColumns({"seen": F.lit(1), "hand": first_finite("hand"), "focus": first_finite("focus")})
+    names = ["seen", "hand", "focus", "hard", "repair"]
+    per_key = packed.repartition(*group).groupBy(*group, key).agg(*[of(age, n) for age in (False, True) for n in names])
+    c = F.col
+    both = c("old_seen").isNotNull() & c("new_seen").isNotNull()
+    # Shares and margins.
+    fine = (c("new_focus") >= c("old_focus") * 0.8) & c("old_hand").isNotNull() & c("new_hand").isNotNull() & (F.size(F.array_except("new_hard", "old_hard")) == 0)
+    found = per_key.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_keys"),
+        F.bool_and(both).alias("same_keys"),
+        F.bool_and(both & F.coalesce(fine, F.lit(False))).alias("_fine"),
+        F.avg("old_hand").alias("_oh"),
+        F.avg("new_hand").alias("_nh"),
+        F.sum(F.size(F.coalesce("old_repair", F.array().cast("array<string>")))).alias("_or"),
+        F.sum(F.size(F.coalesce("new_repair", F.array().cast("array<string>")))).alias("_nr"),
+    )
+    cleaner = (c("_nh") <= c("_oh") - 0.01) | ((c("_nr") < c("_or")) & (c("_nh") <= c("_oh") + 0.005))
+    prefer = c("_fine") & (c("_nr") <= c("_or")) & F.coalesce(cleaner, F.lit(False))
+    return found.select(*group, "n_keys", "same_keys", prefer.alias("prefer"))
+
+
+def relaid(pages: DataFrame, fresh: DataFrame, saved: DataFrame) -> DataFrame:
+    """Pages in order after the spreads of ``fresh`` got other pages: ``project, page, position, spread, enabled``.
+
+    ``pages`` has ``project, page, position, spread, enabled``, ``fresh``
+    ``project, spread, page`` and ``saved`` ``project, page, place, enabled`` of
+    the time when the spread had that layout before. New pages stand where the
+    first old one stood, in the order saved, unknown ones last; what isn't
+    saved is shown if any page of the spread was.
+    """
+    spread = ["project", "spread"]
+    was = pages.groupBy(*spread).agg(F.min("position").alias("at"), F.bool_or("enabled").alias("any"))
+    kept = pages.join(fresh.select(*spread).distinct(), spread, "left_anti").select("project", "page", "spread", "enabled", F.col("position").alias("at"), F.lit(None).cast("long").alias("place"))
+    known = saved.select("project", "page", F.col("place").cast("long").alias("place"), F.col("enabled").alias("shown"))
+    new = fresh.join(was, spread).join(known, ["project", "page"], "left")
+    new = new.select("project", "page", "spread", F.coalesce("shown", "any").alias("enabled"), "at", "place")
+    order = W.partitionBy("project").orderBy("at", F.col("place").asc_nulls_last(), "page")
+    every = kept.unionByName(new).withColumn("position", (F.row_number().over(order) - 1).cast("long"))
+    return every.select("project", "page", "position", "spread", "enabled")
+
+
+def last_valid(events: DataFrame, known: DataFrame, group: list[str], key: str, seq: str) -> DataFrame:
+    """The last event of each group that names a known key, and how many were rejected: ``chosen, n_rejected``."""
+    keys = known.select(*group, key).distinct().withColumn("_known", F.lit(True))
+    judged = events.join(keys, [*group, key], "left")
+    chosen = F.max_by(F.when(F.col("_known"), F.col(key)), F.when(F.col("_known"), F.col(seq)))
+    return judged.groupBy(*group).agg(chosen.alias("chosen"), F.count_if(F.col("_known").isNull()).alias("n_rejected"))

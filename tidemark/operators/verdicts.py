@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -114,3 +115,45 @@ def fitted_size(width: Column, height: Column, most: int) -> tuple[Column, Colum
 def resolved(name: str, *levels: str, default) -> Column:
     """A setting by the first of the map columns ``levels`` that has it, else the default."""
     return F.coalesce(*[F.try_element_at(F.col(level), F.lit(name)) for level in levels], F.lit(default))
+
+
+def same_content(distance: int, alike: float, similar: float) -> dict[str, Column]:
+    """``duplicate`` and ``suspect`` of two images by hash distance, likeness of the whole and its halves, and alignment.
+
+    Reads ``hash_distance, ssim, half_ssim`` (a list), ``contrast`` (the lower
+    one) and ``alignment`` (duplicate, suspect), which may be null where none
+    was found. Images of little contrast are never duplicates.
+    """
+    # Fixed value: least contrast.
+    informative = F.col("contrast") >= 8
+    direct = informative & (F.col("hash_distance") <= distance) & (F.least(F.col("ssim"), F.array_min("half_ssim")) >= alike)
+    aligned = lambda name: informative & F.coalesce(F.col("alignment")[name], F.lit(False))
+    duplicate = direct | aligned("duplicate")
+    return {"duplicate": duplicate, "suspect": duplicate | (F.col("ssim") >= similar) | aligned("suspect")}
+
+
+def input_limits(group: list[str], longest: float, widest: int, most_pixels: int) -> Column:
+    """Codes of the limits that a source breaks, by itself or with the others of its group.
+
+    Reads ``width, height, duration``. A duration that isn't a positive number
+    counts as none.
+    """
+    d = F.col("duration")
+    usable = ~F.isnan(d) & (d > 0) & (d < float("inf"))
+    total = F.sum(F.when(usable, d)).over(W.partitionBy(*group))
+    return _reasons(
+        [
+            (~F.coalesce(usable, F.lit(False)), "duration_invalid"),
+            (usable & (d > longest), "duration_limit"),
+            (F.greatest("width", "height") > widest, "dimension_limit"),
+            (F.col("width").cast("long") * F.col("height") > most_pixels, "pixel_limit"),
+            (total > longest, "total_duration_limit"),
+        ]
+    )
+
+
+def alignment_summary(rows: DataFrame, group: list[str], aligned: Column, shift: Column, number: str) -> DataFrame:
+    """``n_attempted`` (all but the anchor), ``n_aligned``, the largest shift and the first that has it."""
+    best = F.max(F.struct(shift.alias("shift"), (-F.col(number)).alias("minus")))
+    found = rows.groupBy(*group).agg((F.count(F.lit(1)) - 1).alias("n_attempted"), F.count_if(aligned).alias("n_aligned"), best.alias("best"))
+    return found.select(*group, "n_attempted", "n_aligned", F.col("best.shift").alias("max_shift"), (-F.col("best.minus")).alias("most_shifted"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import natural_key
 
 MANIFEST = """
-version int, source string, status string, expected_page_count int,
+version int, source string, sources array<string>, source_type string, status string, expected_page_count int, config map<string,string>,
 spreads array<struct<id: string, start: double, end: double, duplicate_of: string, selected: int,
   candidates: array<struct<id: int, time: double, metrics: struct<score: double, sharpness: double, motion: double, hand_overlap: double, glare_overlap: double>, suspect: array<string>>>>>,
 pages array<struct<id: string, spread_id: string, side: string, candidate_id: int, enabled: boolean, suspect: array<string>, final_quality: struct<reasons: array<string>>>>
@@ -26,12 +26,76 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return migrate(raw)
 
 
+#: Oldest and newest version, and what an older manifest means where it leaves a setting out.
+OLDEST, NEWEST = 1, 3
+OLDER_SETTINGS = {
+    "output_layout": "split",
+    "candidate_selection_mode": "spread",
+    "perspective_mode": "spread",
+    "page_background_fill": "preserve",
+    "finger_repair": "false",
+    "glare_repair": "false",
+    "finger_repair_fallback": "preserve",
+    "glare_overlap_weight": "0.0",
+    "suspect_glare_overlap": "1.0",
+    "illumination_correction": "false",
+    "white_normalization": "false",
+    "auto_rotation": "false",
+}
+
+
 def migrate(manifests: DataFrame) -> DataFrame:
-    """Missing lists become empty, a missing page flag means enabled, the version becomes 3."""
+    """Manifests of any version as those of the newest.
+
+    Missing lists become empty, a missing page flag means enabled, no version
+    means the oldest. Settings that an older manifest leaves out keep what they
+    meant then; a correction by strength alone was a manual one. A version that
+    isn't known fails.
+    """
     spreads = F.coalesce("spreads", F.array().cast(manifests.schema["spreads"].dataType))
     pages = F.coalesce("pages", F.array().cast(manifests.schema["pages"].dataType))
     fixed = F.transform(pages, lambda p: p.withField("enabled", F.coalesce(p["enabled"], F.lit(True))))
-    return manifests.withColumns({"spreads": spreads, "pages": fixed, "version": F.lit(3)})
+    version = F.coalesce("version", F.lit(OLDEST))
+    config = F.coalesce("config", F.create_map().cast("map<string,string>"))
+    strength = F.coalesce(F.try_element_at(config, F.lit("dewarp_strength")).try_cast("double"), F.lit(0.0))
+    known = [F.lit(x) for pair in OLDER_SETTINGS.items() for x in pair]
+    older = F.create_map(*known, F.lit("dewarp_mode"), F.when(strength > 0, "manual").otherwise("off"))
+    filled = F.map_concat(config, F.map_filter(older, lambda k, _: ~F.array_contains(F.map_keys(config), k)))
+    wrong = F.raise_error(F.concat(F.lit("unknown manifest version "), version.cast("string"))).cast("int")
+    return manifests.withColumns(
+        {
+            "spreads": spreads,
+            "pages": fixed,
+            "config": F.when(version < NEWEST, filled).otherwise(config),
+            "version": F.when(version.between(OLDEST, NEWEST), F.lit(NEWEST)).otherwise(wrong),
+        }
+    )
+
+
+def write_manifests(manifests: DataFrame, path: str) -> None:
+    """Manifests of the newest version as JSON, in one folder a project below ``path``."""
+    migrate(manifests).write.partitionBy("project").mode("overwrite").json(path)
+
+
+def catalog_of(manifests: DataFrame) -> DataFrame:
+    """``project, source_name, status, n_pages`` of each manifest; several sources are named by the first and how many follow."""
+    name = lambda path: F.element_at(F.split(path, "/"), -1)
+    n, several = F.size("pages"), F.coalesce(F.size("sources"), F.lit(0))
+    first = name(F.coalesce(F.try_element_at("sources", F.lit(1)), F.col("source")))
+    more = F.when(several > 1, F.format_string(" +%d", several - 1)).otherwise("")
+    shown = F.when(F.col("source_type") == "image_folder", F.format_string("%s (%d枚)", name(F.col("source")), n)).otherwise(F.concat(first, more))
+    return manifests.select("project", shown.alias("source_name"), "status", n.alias("n_pages"))
+
+
+def interval_records(spark: SparkSession, path: str) -> DataFrame:
+    """Stable intervals of a checkpoint, a JSON list of ``start, end``; anything else fails."""
+    return spark.read.schema("start double, end double").option("mode", "FAILFAST").json(path, multiLine=True)
+
+
+def video_paths(paths: DataFrame, column: str = "path") -> DataFrame:
+    """Rows whose path has the suffix of a source that can be read."""
+    # Suffixes.
+    return paths.where(F.lower(F.regexp_extract(F.col(column), r"\.[^./]*$", 0)).isin(".mov", ".mp4", ".ffconcat"))
 
 
 def pages_of(manifests: DataFrame) -> DataFrame:
