@@ -1,13 +1,16 @@
 """Settings, manifests, merges and verdicts of odd rows."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import merges, verdicts
+from tidemark.operators import asof, merges, verdicts
+from tidemark.plans import stages
 from tidemark.plans.config import CHOICES, RANGES, Config
 from tidemark.sources import projects
+from tidemark.streaming import progress
 
 
 @pytest.mark.parametrize("name", sorted(RANGES))
@@ -137,3 +140,45 @@ def test_images_of_little_contrast_are_no_duplicates(spark):
     got = rows.select(*[v.alias(k) for k, v in verdicts.same_content(4, 0.985, 0.94).items()]).collect()
     assert [(r.duplicate, r.suspect) for r in got] == [(False, True), (False, True), (True, True), (True, True)]
     assert rows.where(F.col("contrast") < 8).count() == 1
+
+
+def test_requests_keep_repeats_and_gaps(spark):
+    asks = spark.createDataFrame([("k", 0, 2.0), ("k", 1, 1.5), ("k", 2, 2.0), ("k", 3, 9.0), ("none", 4, 1.0)], "k string, place int, asked double")
+    frames = spark.createDataFrame([("k", 2.0, 7), ("k", 2.0, 5), ("k", 1.0, 1)], "k string, t double, idx int")
+    got = asof.first_at_or_after(asks, frames, ["k"], "asked", "t", "idx", "f").orderBy("place").collect()
+    assert [r.f.idx if r.f else None for r in got] == [5, 5, 5, None, None]
+
+
+def test_stages_run_once_for_the_same_settings(spark, tmp_path):
+    ran = []
+
+    def build():
+        ran.append(1)
+        return spark.range(len(ran))
+
+    counts = [stages.resumed(spark, str(tmp_path), "s", settings, build).count() for settings in ("a", "a", "b", "a")]
+    assert counts == [1, 1, 2, 1] and len(ran) == 2
+    # A table without the mark of a whole job is written again.
+    for mark in tmp_path.glob("s-*/*SUCCESS*"):
+        mark.unlink()
+    assert stages.resumed(spark, str(tmp_path), "s", "a", build).count() == 3
+
+
+def test_progress(spark, tmp_path):
+    rows, seen = progress.observed(spark.createDataFrame([(1.0,), (3.0,)], "t double"))
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"n_rows": 2, "latest": 3.0}
+    told = []
+    listener = progress.Progress(lambda *x: told.append(x))
+    spark.createDataFrame([(1.0,), (5.0,)], "t double").write.parquet(str(tmp_path / "in"))
+    spark.streams.addListener(listener)
+    try:
+        stream = progress.reporting(spark.readStream.schema("t double").parquet(str(tmp_path / "in")))
+        run = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        run.awaitTermination(60)
+        deadline = time.time() + 20
+        while not told and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert told and told[0][1:] == (2, 5.0)

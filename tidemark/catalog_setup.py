@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from .catalog import INTERVALS_SQL, _interval_frame, query
 from .catalog_more import QUADS_SQL, _quads
 from .functions import geometry, text
-from .operators import merges, verdicts
+from .operators import asof, merges, verdicts
 from .operators.consensus import CORNERS, weighted_quad
-from .sources.adapters import CANDIDATES_SQL, REVIEW_PAGES_SQL, candidates, review_pages, table
+from .sources.adapters import CANDIDATES_SQL, REVIEW_PAGES_SQL, candidates, review_pages, samples, table
 
 _W = "greatest(confidence, 1e-6)"
 _MEAN_SQL = f"""{QUADS_SQL}, means AS (
@@ -273,3 +273,19 @@ def spread_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen, end = F.when(c("interval") % 3 == 0, c("start") + 1), F.when(c("interval") % 3 != 2, c("end"))
     rows = _interval_frame(spark, sf_dir).withColumn("time", F.coalesce(chosen, (c("start") + end) / 2, "start") - F.min("start").over(g)).withColumn("duration", F.max("end").over(g) - F.min("start").over(g))
     return rows.select("entity", "interval", F.round(text.timeline_percent(c("time"), c("duration")), 6).alias("percent"), text.clock(c("time")).alias("shown"))
+
+
+@query(
+    f"""
+WITH {INTERVALS_SQL}, asks AS (
+  SELECT entity, "interval", unnest([0, 1, 2]) AS place, unnest(["end" + 60, start - 60, "end" + 60]) AS asked FROM intervals
+)
+SELECT entity, "interval", place::INT AS place, asked, (SELECT arg_min(idx, (t, idx)) FROM samples s WHERE s.entity = a.entity AND s.t >= asked) AS idx FROM asks a
+"""
+)
+def frame_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sample at or after times around each interval; some are asked for twice, and some lie behind the last sample."""
+    c = F.col
+    asks = _interval_frame(spark, sf_dir).select("entity", "interval", F.posexplode(F.array(c("end") + 60, c("start") - 60, c("end") + 60)).alias("place", "asked"))
+    frames = samples(spark, sf_dir).select("entity", "idx", "t")
+    return asof.first_at_or_after(asks, frames, ["entity"], "asked", "t", "idx", "found").select("entity", "interval", "place", "asked", c("found.idx").alias("idx"))

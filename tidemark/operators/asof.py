@@ -39,6 +39,16 @@ def asof_join(
     return carried.where("_side = 1").select("_row.*", F.col("_last").alias(payload))
 
 
+def first_at_or_after(requests: DataFrame, frames: DataFrame, by: list[str], asked: str, time: str, tie: str, payload: str) -> DataFrame:
+    """Add the struct ``payload`` to every request: the first frame at or after the time asked for, null if there is none.
+
+    Each time of a key is looked up once, however often it is asked for; the
+    answers go back to all requests of that time.
+    """
+    found = asof_join(requests.select(*by, asked).distinct(), frames, by, asked, time, payload, backward=False, tie=tie)
+    return requests.join(found, [*by, asked], "left")
+
+
 def band_join(left: DataFrame, right: DataFrame, by: list[str], low: Column, high: Column, point: Column, width: float, how: str = "inner") -> DataFrame:
     """Join where ``low <= point <= high``, with ``low``/``high`` of the right and ``point`` of the left side.
 
