@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .catalog import INTERVALS_SQL, _interval_frame, query
+from .catalog import DAY, HIGH, INTERVALS_SQL, _interval_frame, query
 from .catalog_more import QUADS_SQL, _quads
 from .functions import geometry, text
 from .operators import asof, merges, verdicts
@@ -289,3 +289,21 @@ def frame_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     asks = _interval_frame(spark, sf_dir).select("entity", "interval", F.posexplode(F.array(c("end") + 60, c("start") - 60, c("end") + 60)).alias("place", "asked"))
     frames = samples(spark, sf_dir).select("entity", "idx", "t")
     return asof.first_at_or_after(asks, frames, ["entity"], "asked", "t", "idx", "found").select("entity", "interval", "place", "asked", c("found.idx").alias("idx"))
+
+
+@query(
+    f"""
+WITH {INTERVALS_SQL}, spans AS (
+  SELECT entity, start, "end" FROM intervals UNION ALL SELECT entity, "end" + {DAY}, "end" + {2 * DAY} FROM intervals WHERE "interval" % 2 = 0
+)
+SELECT entity, idx, t FROM samples s WHERE motion >= {HIGH}
+  AND EXISTS (SELECT 1 FROM spans p WHERE p.entity = s.entity AND s.t >= p.start - 0.15::DOUBLE AND s.t <= p."end" + 0.15::DOUBLE)
+"""
+)
+def anchors_in_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loud samples inside a stable segment or a recovered window, once each."""
+    stable = _interval_frame(spark, sf_dir).select("entity", "interval", "start", "end")
+    recovered = stable.where("interval % 2 = 0").select("entity", (F.col("end") + DAY).alias("start"), (F.col("end") + 2 * DAY).alias("end"))
+    spans = stable.drop("interval").unionByName(recovered)
+    loud = samples(spark, sf_dir).where(F.col("motion") >= HIGH)
+    return asof.band_join(loud, spans, ["entity"], F.col("start") - 0.15, F.col("end") + 0.15, F.col("t"), 2 * DAY, "left_semi").select("entity", "idx", "t")
