@@ -10,12 +10,15 @@ from . import (
     decontaminate,
     dedup_lines,
     dedup_minhash,
+    fill_middle,
     language_mixture,
+    merkle,
     mix_sources,
     personal_data,
     quality_pairs,
     quality_rules,
     shard_hilbert,
+    token_files,
     token_trie,
 )
 from .common import read_table
@@ -63,6 +66,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_minhash.op10_query(read_table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.op11_query(read_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.op12_query(read_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op13_query(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,6 +95,9 @@ QUERIES: dict[str, Query] = {
     "op8_shard_hilbert": op8_shard_hilbert,
     "op9_dedup_lines": op9_dedup_lines,
     "op10_minhash": op10_minhash,
+    "op11_token_files": op11_token_files,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_merkle": op13_merkle,
     "pipeline": pipeline,
 }
 
@@ -89,4 +107,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_shard_hilbert": shard_hilbert.OP8_SQL,
     "op9_dedup_lines": dedup_lines.OP9_SQL,
     "op10_minhash": dedup_minhash.OP10_SQL,
+    "op12_fill_middle": fill_middle.OP12_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
