@@ -119,6 +119,13 @@ def test_memo_bound_changes_nothing(monkeypatch):
     monkeypatch.setattr(token_files, "MEMO_WORDS", 2)
     few = token_files.WordIds(Tokenizer.from_file(token_files.VOCABULARY))
     assert [few.of(t) for t in texts] == want and len(few) <= 2
+    assert token_files.WordIds(Tokenizer.from_file(token_files.VOCABULARY)).of(" \n") == b""
+
+
+def test_segments_follow_each_other():
+    ids = np.arange(9, dtype=np.uint32)
+    data = b"".join(token_files.segment_bytes(0, seq, ["a"], [n], ids[:n]) + b"\n" for seq, n in enumerate((0, 9, 4)))
+    assert [(s.seq, s.tokens(0, s.n_tokens).tolist()) for s in token_files.segments_in(data)] == [(0, []), (1, list(range(9))), (2, list(range(4)))]
 
 
 def filled(doc_id, text):

@@ -1,7 +1,8 @@
 """Token ids in binary files of directly addressable codes.
 
-A file is one segment: a header, a directory of its documents, and the ids of
-these documents one after the other. Ids are split into chunks of bits, level
+A file is a row of segments, each followed by one byte that says nothing. A
+segment is a header, a directory of its documents, and the ids of these
+documents one after the other. Ids are split into chunks of bits, level
 by level: level 0 holds the lowest bits of every id, and a bitmap says which
 ids go on; level 1 holds the next bits of those alone, and so on. Where an id
 goes on at the next level is the number of set bits before it, which a rank
@@ -16,6 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -30,8 +32,8 @@ from .common import in_order, remove_table, shared_dir, stage_table
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: A segment is closed by the document that fills it up to so many ids.
 SEGMENT_TOKENS = 1 << 20
-#: Ids remembered for so many words at most, of at most so many characters.
-MEMO_WORDS, MEMO_CHARS = 1 << 18, 64
+#: A Python worker remembers the ids of twice so many words at most, of at most so many characters.
+MEMO_WORDS, MEMO_CHARS = 1 << 17, 64
 #: Fixed values of the format: first bytes, bits of a word of the bitmaps, bits counted by one entry of the upper directory.
 MAGIC, WORD, UPPER = b"TMDAC01\n", 64, 1 << 16
 #: Bits of an id.
@@ -131,12 +133,12 @@ def encode_levels(ids: np.ndarray) -> list[Level]:
 
 
 class Segment:
-    """A segment read from the bytes of a file; arrays are views of these bytes."""
+    """A segment read from the bytes of a file, from ``at`` on to before ``end``; arrays are views of these bytes."""
 
-    def __init__(self, data: bytes):
-        if data[: len(MAGIC)] != MAGIC:
+    def __init__(self, data: bytes, at: int = 0):
+        if data[at : at + len(MAGIC)] != MAGIC:
             raise ValueError("not a file of token ids")
-        self._data, self._at = data, len(MAGIC)
+        self._data, self._at = data, at + len(MAGIC)
         self.run, self.seq, self.n_docs, self.n_tokens, n_levels = self._take("<u8", 5).tolist()
         self.ends = self._take("<u8", self.n_docs).astype(np.int64)
         key_ends, self._known = self._take("<u8", self.n_docs).tolist(), self._take("u1", self.n_docs)
@@ -146,6 +148,7 @@ class Segment:
         for _ in range(n_levels):
             width, count, *sizes = self._take("<u8", 6).tolist()
             self.levels.append(Level(width, count, *(self._take(kind, n) for kind, n in zip(("u1", "<u8", "<u8", "<u2"), sizes, strict=True))))
+        self.end = self._at
 
     def _take(self, kind: str, n: int) -> np.ndarray:
         out = np.frombuffer(self._data, kind, n, self._at)
@@ -184,7 +187,7 @@ class Segment:
 
 
 def segment_bytes(run: int, seq: int, keys: list[str | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """The bytes of one file: the ids of documents ``keys``, ``lengths`` ids each."""
+    """The bytes of one segment: the ids of documents ``keys``, ``lengths`` ids each."""
     levels = encode_levels(ids)
     texts = [(k or "").encode() for k in keys]
     parts = [
@@ -202,8 +205,16 @@ def segment_bytes(run: int, seq: int, keys: list[str | None], lengths: list[int]
     return b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts)
 
 
+def segments_in(data: bytes) -> Iterator[Segment]:
+    """The segments of a file, one after the other."""
+    at = 0
+    while at < len(data):
+        yield (segment := Segment(data, at))
+        at = segment.end + 1
+
+
 class WordIds(dict):
-    """Ids of a word as bytes, remembered up to a bound.
+    """Ids of a word as bytes. Words not seen while ``MEMO_WORDS`` others came are forgotten.
 
     The vocabulary drops white space and lets no piece reach over it, so a
     text's ids are those of its words, one after the other. Words end at
@@ -214,12 +225,15 @@ class WordIds(dict):
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
-        self._tokenizer = tokenizer
+        self._tokenizer, self._before = tokenizer, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._before.get(word)
+        if ids is None:
+            ids = np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_WORDS:
+                self._before = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -228,6 +242,13 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, self._WORDS.findall(text)))
 
 
+@cache
+def _words_of(vocabulary: str) -> tuple[Tokenizer, WordIds]:
+    """One for each Python worker, which outlives its tasks."""
+    tokenizer = Tokenizer.from_file(vocabulary)
+    return tokenizer, WordIds(tokenizer)
+
+
 def write_token_files(
     documents: DataFrame,
     path: str,
@@ -240,11 +261,11 @@ def write_token_files(
 
     Each text's ids are followed by ``end_id``. Documents are dealt out by
     ranges of ids in one shuffle and sorted; a task encodes its run document by
-    document and closes a file once it holds ``segment_tokens`` ids, so memory
-    is that of one segment and the longest text. Files carry their place:
-    number of the task's run and of the file in it. Spark's own writer commits
-    them, so a lost executor leaves no half file; the byte that it adds at a
-    file's end belongs to none of the arrays.
+    document and closes a segment once it holds ``segment_tokens`` ids, so
+    memory is that of one segment and the longest text. Segments carry their
+    place: number of the task's run and of the segment in it. Spark's own
+    writer commits a file for each task, so a lost executor leaves no half
+    file; it is what adds a byte after each segment.
 
     Null texts are empty and have the end id alone. Null ids come first;
     rows that repeat an id all stay, in the order of a hash of their texts. An
@@ -254,8 +275,7 @@ def write_token_files(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer.from_file(vocabulary)
-        words, run, seq = WordIds(tokenizer), TaskContext.get().partitionId(), 0
+        (tokenizer, words), run, seq = _words_of(vocabulary), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         keys, lengths, parts, filled = [], [], [], 0
 
@@ -282,17 +302,17 @@ def write_token_files(
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     # The text writer puts the bytes of a row into a file as they are.
     files = dealt.select("key", "text").mapInArrow(encode, "content binary").select(F.col("content").cast("string").alias("value"))
-    files.write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
+    files.write.mode("overwrite").text(path)
 
 
-def _segments(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 1").select("content")
 
 
 def read_documents(spark: SparkSession, path: str, with_ids: bool = True, with_crc32: bool = False) -> DataFrame:
     """Documents of the files: ``key, run, seq, k, first, n_tokens`` with ``ids`` (array) and ``ids_crc32`` where asked for.
 
-    ``k`` is the document's place in its file, ``first`` that of its ids there.
+    ``k`` is the document's place in its segment, ``first`` that of its ids there.
     ``ids_crc32`` is the unsigned checksum of the ids as little-endian unsigned
     integers of 32 bits. No files give no rows.
     """
@@ -301,8 +321,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = True, with_c
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                segment = Segment(content.as_py())
+            for segment in (s for content in batch.column(0) for s in segments_in(content.as_py())):
                 ends, firsts = segment.ends, np.concatenate([[0], segment.ends[:-1]])
                 many = len(ends)
                 columns = [
@@ -319,16 +338,16 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = True, with_c
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "key string, run long, seq long, k long, first long, n_tokens long" + ", ids array<long>" * with_ids + ", ids_crc32 long" * with_crc32
-    return _segments(spark, path).mapInArrow(decode, schema)
+    return _files(spark, path).mapInArrow(decode, schema)
 
 
 def with_starts(read: DataFrame) -> DataFrame:
-    """Add ``start``, the number of ids in all files and documents before, to rows of ``read_documents``.
+    """Add ``start``, the number of ids in all segments and documents before, to rows of ``read_documents``.
 
-    Only the files' sums are ordered, one row a file.
+    Only the segments' sums are ordered, one row each.
     """
-    files = stage_table(read.groupBy("run", "seq").agg(F.sum("n_tokens").alias("file_tokens")), "token_files")
-    placed = in_order(files, [F.col("run"), F.col("seq")], sums={"file_tokens": "base"}, rows=files.count())
+    sums = stage_table(read.groupBy("run", "seq").agg(F.sum("n_tokens").alias("all_tokens")), "segments")
+    placed = in_order(sums, [F.col("run"), F.col("seq")], sums={"all_tokens": "base"}, rows=sums.count())
     return read.join(placed.select("run", "seq", "base"), ["run", "seq"]).withColumn("start", F.col("base") + F.col("first")).drop("base")
 
 
@@ -336,8 +355,8 @@ def read_positions(spark: SparkSession, path: str, wanted: DataFrame) -> DataFra
     """The ids at ``wanted`` places: rows of ``key, offset`` (from 0 in the document), each once, with ``token``.
 
     Offsets that a document hasn't, and unknown or null keys, give no row; of
-    a key that several rows hold, all. Places are sent to their file, at most
-    as many as it has ids, and each is read on its own: nothing before it is
+    a key that several rows hold, all. Places are sent to their segment, at
+    most as many as it has ids, and each is read on its own: nothing before it is
     decoded.
     """
     places = (
@@ -349,9 +368,11 @@ def read_positions(spark: SparkSession, path: str, wanted: DataFrame) -> DataFra
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                segment = Segment(content.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([segment.run]), pa.array([segment.seq]), pa.array([content.as_py()])], ["run", "seq", "content"])
+            for content in (c.as_py() for c in batch.column(0)):
+                at = 0
+                for segment in segments_in(content):
+                    yield pa.RecordBatch.from_arrays([pa.array([segment.run]), pa.array([segment.seq]), pa.array([content[at : segment.end]])], ["run", "seq", "content"])
+                    at = segment.end + 1
 
     def look(files: pa.Table, at: pa.Table) -> pa.Table:
         if not files.num_rows or not at.num_rows:
@@ -359,7 +380,7 @@ def read_positions(spark: SparkSession, path: str, wanted: DataFrame) -> DataFra
         token = Segment(files.column("content")[0].as_py()).tokens_at(at.column("place").to_numpy())
         return pa.table({"key": at.column("key"), "offset": at.column("offset").cast(pa.int64()), "token": pa.array(token, pa.int64())})
 
-    numbered = _segments(spark, path).mapInArrow(number, "run long, seq long, content binary")
+    numbered = _files(spark, path).mapInArrow(number, "run long, seq long, content binary")
     return numbered.groupBy("run", "seq").cogroup(places.groupBy("run", "seq")).applyInArrow(look, "key string, offset long, token long")
 
 
