@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -32,8 +33,8 @@ from .common import in_order, remove_table, shared_dir, stage_table
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: A segment is closed by the document that fills it up to so many ids.
 SEGMENT_TOKENS = 1 << 20
-#: A Python worker remembers the ids of twice so many words at most, of at most so many characters.
-MEMO_WORDS, MEMO_CHARS = 1 << 17, 64
+#: A Python worker remembers the ids of twice so many words at most, of at most so many characters: some 270 MB.
+MEMO_WORDS, MEMO_CHARS = 3 << 18, 64
 #: Fixed values of the format: first bytes, bits of a word of the bitmaps, bits counted by one entry of the upper directory.
 MAGIC, WORD, UPPER = b"TMDAC01\n", 64, 1 << 16
 #: Bits of an id.
@@ -66,7 +67,7 @@ class Level:
         seen = np.zeros(len(at), np.uint64)
         for k in range((self.width + 14) // 8):
             seen |= self.chunks[bit // 8 + k].astype(np.uint64) << np.uint64(8 * k)
-        return (seen >> (bit % 8).astype(np.uint64)) & np.uint64((1 << self.width) - 1)
+        return ((seen >> (bit % 8).astype(np.uint64)) & np.uint64((1 << self.width) - 1)).astype(np.uint32)
 
     def run(self, first: int, last: int) -> np.ndarray:
         """The chunks from ``first`` to before ``last``."""
@@ -81,17 +82,17 @@ class Level:
 
 
 def _joined_bits(bits: np.ndarray) -> np.ndarray:
-    value = np.zeros(len(bits), np.uint64)
-    for k in range(bits.shape[1]):
-        value |= bits[:, k].astype(np.uint64) << np.uint64(k)
-    return value
+    """The numbers whose bits, lowest first, are the rows."""
+    size = next(k for k in (1, 2, 4) if bits.shape[1] <= 8 * k)
+    wide = np.zeros((len(bits), 8 * size), np.uint8)
+    wide[:, : bits.shape[1]] = bits
+    return np.packbits(wide, bitorder="little").view(f"<u{size}").astype(np.uint32)
 
 
 def _packed_bits(values: np.ndarray, width: int) -> np.ndarray:
-    bits = np.empty((len(values), width), np.uint8)
-    for k in range(width):
-        bits[:, k] = (values >> np.uint32(k)) & 1
-    return np.packbits(bits.ravel(), bitorder="little")
+    """The lowest ``width`` bits of each value, one after the other."""
+    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : (width + 7) // 8], axis=1, bitorder="little")
+    return np.packbits(bits[:, :width], bitorder="little")
 
 
 def level_widths(ids: np.ndarray) -> list[int]:
@@ -162,10 +163,10 @@ class Segment:
 
     def tokens_at(self, places: np.ndarray) -> np.ndarray:
         """The ids at some places of the segment, each from its own chunks alone."""
-        value, at, open_ = np.zeros(len(places), np.uint64), np.asarray(places, np.int64), np.arange(len(places))
+        value, at, open_ = np.zeros(len(places), np.uint32), np.asarray(places, np.int64), np.arange(len(places))
         shift = 0
         for k, level in enumerate(self.levels):
-            value[open_] |= level.at(at) << np.uint64(shift)
+            value[open_] |= level.at(at) << np.uint32(shift)
             shift += level.width
             if k < len(self.levels) - 1:
                 on = level.goes_on(at)
@@ -174,11 +175,11 @@ class Segment:
 
     def tokens(self, first: int, last: int) -> np.ndarray:
         """The ids from ``first`` to before ``last``: one run of each level, found by two ranks."""
-        value, open_, shift = np.zeros(last - first, np.uint64), np.arange(last - first), 0
+        value, open_, shift = np.zeros(last - first, np.uint32), np.arange(last - first), 0
         for k, level in enumerate(self.levels):
             if first == last:
                 break
-            value[open_] |= level.run(first, last) << np.uint64(shift)
+            value[open_] |= level.run(first, last) << np.uint32(shift)
             shift += level.width
             if k < len(self.levels) - 1:
                 open_ = open_[level.run_more(first, last)]
@@ -218,7 +219,7 @@ class WordIds(dict):
 
     The vocabulary drops white space and lets no piece reach over it, so a
     text's ids are those of its words, one after the other. Words end at
-    space, tab, \\n and \\r only, which white space of any definition includes.
+    space, tab, \n and \r only, which white space of any definition includes.
     """
 
     _WORDS = re.compile(r"[^ \t\n\r]+")
@@ -230,7 +231,7 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self._before.get(word)
         if ids is None:
-            ids = np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_WORDS:
                 self._before = dict(self)
@@ -332,7 +333,9 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = True, with_c
                     pa.array(firsts, pa.int64()),
                     pa.array(ends - firsts, pa.int64()),
                 ]
-                read = [segment.tokens(int(a), int(b)) for a, b in zip(firsts, ends, strict=True)] if extra else []
+                # Every id is wanted here, so a segment is one run.
+                whole = segment.tokens(0, segment.n_tokens) if extra else np.zeros(0, "<u4")
+                read = [whole[a:b] for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)] if extra else []
                 for name, kind in extra:
                     columns.append(pa.array([zlib.crc32(r.tobytes()) if name == "ids_crc32" else r.astype(np.int64) for r in read], kind))
                 yield pa.RecordBatch.from_arrays(columns, names)
