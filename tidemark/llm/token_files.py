@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.normalizers import Lowercase
 
 from .common import in_order, remove_table, shared_dir, stage_table
 
@@ -220,6 +221,8 @@ class WordIds(dict):
     The vocabulary drops white space and lets no piece reach over it, so a
     text's ids are those of its words, one after the other. Words end at
     space, tab, \n and \r only, which white space of any definition includes.
+    Of printable ASCII the vocabulary's normaliser makes small letters and no
+    more, so such words are spared its other steps.
     """
 
     _WORDS = re.compile(r"[^ \t\n\r]+")
@@ -227,11 +230,14 @@ class WordIds(dict):
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
         self._tokenizer, self._before = tokenizer, {}
+        self._plain = Tokenizer.from_str(tokenizer.to_str())
+        self._plain.normalizer = Lowercase()
 
     def __missing__(self, word: str) -> bytes:
         ids = self._before.get(word)
         if ids is None:
-            ids = array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            tokenizer = self._plain if word.isascii() and word.isprintable() else self._tokenizer
+            ids = array("I", tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_WORDS:
                 self._before = dict(self)
@@ -271,8 +277,8 @@ def write_token_files(
     Null texts are empty and have the end id alone. Null ids come first;
     rows that repeat an id all stay, in the order of a hash of their texts. An
     empty table writes no segment. Ids of any type that casts to text and back
-    are kept. ``by_words`` is for vocabularies that drop white space; others
-    are given whole texts.
+    are kept. ``by_words`` is for vocabularies of which ``WordIds`` holds;
+    others are given whole texts.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
