@@ -274,8 +274,12 @@ def nearest_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NATURAL_SQL = r"""
-SELECT page_id, url, row_number() OVER (ORDER BY regexp_replace(regexp_replace(lower(url), '([0-9]+)', '00000000000000000000\1', 'g'), '0+([0-9]{20})', '\1', 'g') NULLS FIRST, page_id NULLS FIRST) AS place
-FROM pages
+WITH parts AS (
+  SELECT page_id, url, list_concat(CASE WHEN regexp_matches(url, '^[0-9]') THEN [''] ELSE [] END, regexp_extract_all(lower(url), '[0-9]+|[^0-9]+')) AS parts FROM pages
+), keyed AS (
+  SELECT page_id, url, CASE WHEN url IS NOT NULL THEN list_transform(parts, lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(length(ltrim(x, '0'))::VARCHAR, 10, '0') || ltrim(x, '0') ELSE x END) END AS key FROM parts
+)
+SELECT page_id, url, row_number() OVER (ORDER BY key NULLS FIRST, page_id NULLS FIRST) AS place FROM keyed
 """
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalog import DAY, FPS, HIGH, INTERVALS_SQL, LOW, SAMPLES_SQL, TURNS_SQL, _interval_frame, query
 from .catalog_more import HASH_SQL, QUADS_SQL, _hashes, _quads, concatenated_sources
-from .operators import asof, edits, merges, prefilter, segments, verdicts
+from .operators import asof, edits, merges, prefilter, proposals, segments, verdicts
 from .operators.ranking import finite
 from .sources.adapters import CANDIDATES_SQL, REVIEW_PAGES_SQL, candidates, review_pages, samples, table
 
@@ -464,27 +464,18 @@ _APART_SQL = " + ".join(f"sqrt((k.x{i} - q.x{i}) * (k.x{i} - q.x{i}) + (k.y{i} -
 @query(
     f"""
 WITH {QUADS_SQL}, sorted AS (
-  SELECT spread, list({{'confidence': confidence, 'id': id, {", ".join(f"'{c}': {c}" for c in _CORNERS)}}} ORDER BY confidence DESC, id) AS qs FROM quads GROUP BY spread
+  SELECT spread, list({{'confidence': confidence * 0.32::DOUBLE, 'id': id, {", ".join(f"'{c}': {c}" for c in _CORNERS)}}} ORDER BY confidence DESC, id) AS qs FROM quads GROUP BY spread
 ), kept AS (
   SELECT spread, list_reduce(list_transform(qs, lambda q: [q]), lambda ks, one: CASE WHEN len(list_filter(ks, lambda k: ({_APART_SQL.replace("q.", "one[1].")}) / 4 < 0.025::DOUBLE)) = 0 THEN list_concat(ks, one) ELSE ks END) AS ks FROM sorted
 )
-SELECT spread, len(ks)::INT AS n_distinct, ks[1].id AS best, ks[2].id AS runner_up, coalesce(ks[1].confidence - ks[2].confidence < 0.035::DOUBLE, false) AS ambiguous FROM kept
+SELECT spread, len(ks)::INT AS n_distinct, ks[1].id AS best, ks[2].id AS runner_up, coalesce(round(ks[1].confidence - ks[2].confidence, 9) <= 0.035::DOUBLE, false) AS ambiguous,
+  array_to_string(list_transform(ks[1:3], lambda k: k.id), ',') AS top FROM kept
 """
 )
 def distinct_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals of a spread that differ from all better ones; the best, the runner-up and whether they are hard to tell apart.
 
-    A spread has few proposals, so they are folded as one short list.
+    A confidence of quarters of a hundredth has many pairs at the very margin.
     """
-    fields = ["minus", "id", "confidence", *_CORNERS]
-    rows = _quads(spark, sf_dir).withColumn("minus", -F.col("confidence"))
-    listed = rows.groupBy("spread").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("qs"))
-
-    def apart(k, q):
-        return sum((F.sqrt((k[f"x{i}"] - q[f"x{i}"]) * (k[f"x{i}"] - q[f"x{i}"]) + (k[f"y{i}"] - q[f"y{i}"]) * (k[f"y{i}"] - q[f"y{i}"])) for i in range(4)), F.lit(0.0)) / 4
-
-    kept = F.aggregate("qs", F.slice("qs", 1, 0), lambda ks, q: F.when(F.forall(ks, lambda k: apart(k, q) >= 0.025), F.concat(ks, F.array(q))).otherwise(ks))
-    found = listed.select("spread", kept.alias("ks"))
-    one, two = F.try_element_at("ks", F.lit(1)), F.try_element_at("ks", F.lit(2))
-    close = F.coalesce(one["confidence"] - two["confidence"] < 0.035, F.lit(False))
-    return found.select("spread", F.size("ks").alias("n_distinct"), one["id"].alias("best"), two["id"].alias("runner_up"), close.alias("ambiguous"))
+    return proposals.distinct(_quads(spark, sf_dir).withColumn("confidence", F.col("confidence") * 0.32), "spread")
+

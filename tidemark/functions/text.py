@@ -6,10 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def natural_key(name: Column, digits: int = 20) -> Column:
-    """A text that sorts names with their numbers by value: digit runs padded, the rest in lower case."""
-    padded = F.regexp_replace(F.lower(name), r"([0-9]+)", "0" * digits + "$1")
-    return F.regexp_replace(padded, rf"0+([0-9]{{{digits}}})", "$1")
+def folded(value: Column) -> Column:
+    """A text for comparison without regard to case: ``Straße`` as ``strasse``, the two small sigmas alike."""
+    return F.translate(F.lower(F.upper(value)), "ς", "σ")
+
+
+def natural_key(name: Column) -> Column:
+    """A list of texts that sorts names with their numbers by value, however long, the rest without regard to case.
+
+    Texts and numbers take turns, a text first. A number is its length without
+    leading zeros, then its digits.
+    """
+    parts = F.regexp_extract_all(folded(name), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+
+    def part(x: Column) -> Column:
+        digits = F.regexp_replace(x, "^0+", "")
+        return F.when(F.rlike(x, F.lit("^[0-9]")), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(x)
+
+    first = F.when(F.rlike(name, F.lit("^[0-9]")), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(first, F.transform(parts, part))
 
 
 def clean_field(value: Column, most: int) -> Column:

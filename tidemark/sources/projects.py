@@ -6,9 +6,10 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import natural_key
 
@@ -22,8 +23,20 @@ pages array<struct<id: string, spread_id: string, side: string, candidate_id: in
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """One row per manifest below ``path`` (a glob is fine); older versions are brought up to date on reading."""
-    raw = spark.read.schema(MANIFEST).json(path, multiLine=True).withColumn("project", F.element_at(F.split(F.input_file_name(), "/"), -2))
-    return migrate(raw)
+    raw = spark.read.schema(MANIFEST).json(path, multiLine=True)
+    return migrate(raw.drop("project").withColumn("project", _project_of(F.input_file_name())))
+
+
+def _project_of(file: Column) -> Column:
+    """The name of the project whose folder holds a file; null for the folder of rows without a project.
+
+    A file's name is given as a URI, in which the writer's folder names, that
+    have escapes of their own, are escaped once more.
+    """
+    plain = lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+    folder = plain(F.element_at(F.split(file, "/"), -2))
+    name = plain(F.substr(folder, F.lit(len("project=") + 1)))
+    return F.when(folder == "project=__HIVE_DEFAULT_PARTITION__", F.lit(None)).when(F.startswith(folder, F.lit("project=")), name).otherwise(folder)
 
 
 #: Oldest and newest version, and what an older manifest means where it leaves a setting out.
@@ -73,8 +86,19 @@ def migrate(manifests: DataFrame) -> DataFrame:
 
 
 def write_manifests(manifests: DataFrame, path: str) -> None:
-    """Manifests of the newest version as JSON, in one folder a project below ``path``."""
-    migrate(manifests).write.partitionBy("project").mode("overwrite").json(path)
+    """Manifests of the newest version as JSON, in one folder a project below ``path``.
+
+    Projects that ``manifests`` has not stay as they are. Files are written
+    aside and put in place when all are whole, so a write that fails changes
+    nothing. Any name reads back as it was.
+    """
+    migrate(manifests).write.partitionBy("project").option("partitionOverwriteMode", "dynamic").mode("overwrite").json(path)
+
+
+def remove_project(spark: SparkSession, path: str, project: str) -> bool:
+    """Remove one project's folder below ``path``; whether there was one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path, f"project={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(project)}")
+    return bool(folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True))
 
 
 def catalog_of(manifests: DataFrame) -> DataFrame:
@@ -127,12 +151,19 @@ def find_by_digest(spark: SparkSession, folder: str, wanted: DataFrame) -> DataF
 
 
 def write_score_rows(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").csv(path, header=True)
+    """A table with its header; no rows leave what is there as it is."""
+    if not rows.isEmpty():
+        rows.write.mode("overwrite").csv(path, header=True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where))
 
 
 def read_score_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text."""
-    return spark.read.csv(path, header=True)
+    """All columns as text; a missing table has no rows and no columns."""
+    return spark.read.csv(path, header=True) if _exists(spark, path) else spark.createDataFrame([], T.StructType([]))
 
 
 def write_trace(states: DataFrame, path: str) -> None:

@@ -23,9 +23,10 @@ def stable_intervals(stream: DataFrame, low: float, high: float, required: int)
     """Closed intervals of a stream of ``entity, idx, t, motion, last``.
 
     Rows of an entity arrive in order of time over the micro-batches; inside
-    one they are sorted. A row with ``last`` true ends its series and closes
-    what is open. The state of an entity is ten numbers, however long its
-    intervals are. Results equal those of the batch operator.
+    one they are sorted. A row with ``last`` true ends its series, closes what
+    is open and removes the entity's state. The state of an entity is ten
+    numbers, however long its intervals are. Results equal those of the batch
+    operator.
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -35,8 +36,11 @@ def stable_intervals(stream: DataFrame, low: float, high: float, required: int)
         else:
             stable, pending, segment = False, _NONE, _NONE
         closed: list[tuple] = []
-        rows = pd.concat(list(batches)).sort_values(["t", "idx"])
+        ended = False
+        # One micro-batch of an entity: only what orders and measures a row is kept.
+        rows = pd.concat([b[["idx", "t", "motion", "last"]] for b in batches]).sort_values(["t", "idx"])
         for idx, t, motion, last in zip(rows["idx"], rows["t"], rows["motion"], rows["last"], strict=True):
+            ended = bool(last)
             if idx > 0 and motion <= low:
                 if stable:
                     segment = _extended(segment, t, idx)
@@ -54,7 +58,10 @@ def stable_intervals(stream: DataFrame, low: float, high: float, required: int)
                 if stable:
                     closed.append(segment)
                 stable, pending, segment = False, _NONE, _NONE
-        state.update((bool(stable), *map(_number, pending), *map(_number, segment)))
+        if ended:
+            state.remove()
+        else:
+            state.update((bool(stable), *map(_number, pending), *map(_number, segment)))
         out = pd.DataFrame(closed, columns=["start", "end", "first_idx", "last_idx", "n_samples"])
         out.insert(0, "entity", key[0])
         yield out.astype({"entity": "int64", "first_idx": "int64", "last_idx": "int64", "n_samples": "int64", "start": "float64", "end": "float64"})
