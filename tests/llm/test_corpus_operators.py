@@ -223,3 +223,27 @@ def test_a_link_at_the_threshold_is_missed_once_in_a_billion():
         drawn, need = min(size, k), dedup_minhash.values_needed(size, k, 80)
         below = sum(math.comb(drawn, c) * 0.8**c * 0.2 ** (drawn - c) for c in range(need))
         assert below <= 1e-9
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_every_source_comes_near_its_target(spark, sf):
+    got = mix_sources.mix_documents(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()
+    taken, smallest = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.mix.taken
+        if r.mix.size:
+            smallest[r.source] = min(smallest.get(r.source, r.mix.size), r.mix.size)
+    for source, target in {r.source: r.mix.target for r in got}.items():
+        # Sources of a handful of documents have few to choose from.
+        assert abs(taken[source] - target) <= max(0.01 * target, smallest.get(source, 0) / 2 + 1), source
+
+
+def test_exchange_mends_uneven_sources(spark):
+    sizes = [5_000, 900, 700, 400, 300, 120, 60, 33, 7, 3]
+    rows = [(i, "a", None, "w " * n) for i, n in enumerate(sizes)] + [(100 + i, "b", None, "w " * 50) for i in range(200)] + [(999, None, None, "w " * 11)]
+    got = mix_sources.op4_query(corpus(spark, rows)).collect()
+    source = {r[0]: r[1] for r in rows}
+    for s in ("a", "b"):
+        mine = [r for r in got if source[r.doc_id] == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.02 * mine[0].target
+    assert all(0 <= r.taken <= 2 * r.size and r.taken % r.size == 0 for r in got)

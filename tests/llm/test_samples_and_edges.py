@@ -52,7 +52,9 @@ def test_rows_without_id_and_repeated_ids_do_not_fill_the_language_sample(spark,
     got = language_mixture.learn_mixture(docs.union(nameless).union(one.select(*docs.columns)), F.lit(True), per_language=20)
     assert len(want.languages) == 4 and same_model(want, got)
     rare = docs.union(spark.createDataFrame([(10**6, "zz", "rare words")], docs.schema))
-    assert language_mixture.learn_mixture(rare, F.lit(True), per_language=20, most=4).languages == want.languages
+    assert language_mixture.learn_mixture(rare, F.lit(True), per_language=20, most=5).languages == sorted([*want.languages, "zz"])
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        language_mixture.learn_mixture(rare, F.lit(True), per_language=20, most=4)
 
 
 def test_a_repeated_id_is_one_labelled_document(spark, docs, labels):

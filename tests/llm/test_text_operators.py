@@ -237,3 +237,16 @@ def test_long_words_and_clashing_columns(spark, docs):
     assert decontaminate.contamination(odd, bench).count() == n
     assert personal_data.find_personal_data(odd).count() == n
     assert quality_rules.judge_quality(odd, quality_rules.RuleList([[("upper_per_char", ">", 0.5)]])).count() == n
+
+
+def test_two_hundred_languages_are_all_learned(spark):
+    rng = random.Random(2)
+    words = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 7))) for _ in range(40)] for k in range(200)}
+    made = [(200 * i + k, lang, " ".join(rng.choice(words[lang]) for _ in range(60))) for i in range(4) for k, lang in enumerate(words)]
+    docs = spark.createDataFrame(made, "doc_id long, lang string, text string")
+    model = language_mixture.learn_mixture(docs.where("doc_id < 600"), F.lit(True))
+    assert model.languages == sorted(words)
+    read = language_mixture.identify_language(docs.where("doc_id >= 600"), model).select("lang", "language.lang").collect()
+    assert sum(a == b for a, b in read) >= 0.95 * len(read)
+    with pytest.raises(ValueError, match="more than 199 languages"):
+        language_mixture.learn_mixture(docs, F.lit(True), most=199)

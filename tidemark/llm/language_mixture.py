@@ -16,8 +16,8 @@ from .common import near_start, one_text, remainder_of_crc32
 
 #: Documents of each language that its n-grams are counted in, at most.
 SAMPLE_PER_LANGUAGE = 2_000
-#: Languages that are learned, at most: the most frequent ones.
-MAX_LANGUAGES = 128
+#: More languages would make a model of more than 128 MB in every worker; such a corpus is refused.
+MAX_LANGUAGES = 512
 BUCKETS = 1 << 16
 ROUNDS = 12
 #: Neighbouring trigrams share letters: so many count as one observation.
@@ -56,7 +56,7 @@ def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
 
 @dataclass
 class MixtureModel:
-    """Log probabilities of n-gram buckets by language."""
+    """Log probabilities of n-gram buckets by language, as 32-bit numbers."""
 
     languages: list[str]
     log_p: np.ndarray
@@ -79,7 +79,7 @@ class MixtureModel:
         if grams is None or not self.languages:
             return "und", 0.0, []
         found, counts = grams
-        logs = self.log_p[:, found]
+        logs = self.log_p[:, found].astype(float)
         top = logs.max(0)
         p = np.exp(logs - top)
         n = len(self.languages)
@@ -107,14 +107,17 @@ def learn_mixture(
     """Count trigrams in at most ``per_language`` documents of each language for which ``where`` holds.
 
     Rows with a null id, text or language teach nothing; a row counts once
-    however often its id and language are repeated, with its smallest text. Of
-    more than ``most`` languages, those with most ids are learned, by name
-    where they tie. The sample goes by a hash of the id. Tasks count by
-    language and bucket; the driver gets one row for each of the two, so no
-    more than ``most`` times ``BUCKETS``.
+    however often its id and language are repeated, with its smallest text. All
+    languages are learned; more than ``most`` raise ValueError. The sample goes
+    by a hash of the id. Tasks count by language and bucket; the driver gets
+    one row for each of the two, so no more than ``most`` times ``BUCKETS``.
     """
     rows = documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & where)
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(most)
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("_n"))
+    known = counts.limit(most + 1).collect()
+    if len(known) > most:
+        raise ValueError(f"more than {most} languages")
+    sizes = documents.sparkSession.createDataFrame(known, counts.schema)
     # The part of a language's hashes that holds a fifth more than is wanted is ranked, so
     # that a frequent language doesn't meet in one task.
     near = rows.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(near_start(F.col("doc_id"), F.col("_n"), per_language))
@@ -139,10 +142,13 @@ def learn_mixture(
     counted = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     languages: dict[str, np.ndarray] = {}
     for lang, bucket, n in counted.toLocalIterator():
-        languages.setdefault(lang, np.zeros(BUCKETS))[bucket] = n
+        languages.setdefault(lang, np.zeros(BUCKETS, np.float32))[bucket] = n
     names = sorted(languages)
-    counts = np.array([languages[x] for x in names]).reshape(len(names), BUCKETS) + smooth
-    return MixtureModel(names, np.log(counts / counts.sum(1, keepdims=True)))
+    log_p = np.zeros((len(names), BUCKETS), np.float32)
+    for row, name in zip(log_p, names, strict=True):
+        grams = languages.pop(name) + smooth
+        row[:] = np.log(grams / grams.sum())
+    return MixtureModel(names, log_p)
 
 
 def identify_language(documents: DataFrame, model: MixtureModel, text: str = "text", name: str = "language") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, free_name, in_order, stage_table
@@ -12,6 +13,8 @@ from .common import SPACE_CLASS, free_name, in_order, stage_table
 ROWS_PER_SALT = 2_000
 #: Seeded starts of the draw among which each group takes the one nearest its words.
 STARTS = 16
+#: So often a group's draw is mended by an exchange of two documents.
+EXCHANGES = 3
 #: So many sources at most are broadcast; of more, those that hold one in so many
 #: documents, which are fewer, and the join shuffles the documents of the others.
 BROADCAST_SOURCES = 10_000
@@ -69,6 +72,30 @@ def _with_source(sized: DataFrame, targets: DataFrame, stat: str) -> DataFrame:
     return joined(sized, F.broadcast(targets.where(large))).unionByName(joined(others, targets.where(~large)))
 
 
+def _exchange(group: WindowSpec, size: Column, rank: Column, drawn: Column, wanted: Column) -> Column:
+    """The change of a group's draw that brings its words nearest ``wanted``: ranks ``out`` and ``in``, -1 for none.
+
+    A drawn document is best exchanged for one whose size is nearest its own
+    less what is drawn too much. Both neighbours of that size among those not
+    drawn are found in one order of the group's rows. Fewer changes win ties.
+    """
+    excess = F.sum(F.when(drawn, size).otherwise(0)).over(group) - wanted
+    order = group.orderBy(F.when(drawn, size - excess).otherwise(size), rank)
+    other = F.when(~drawn, F.struct(size.alias("size"), rank.alias("rank")))
+    below = F.last(other, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    above = F.first(other, ignorenulls=True).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    none = F.lit(-1)
+
+    def option(miss: Column, changes: int, out: Column, into: Column) -> Column:
+        return F.struct(F.abs(miss).alias("miss"), F.lit(changes).alias("changes"), out.alias("out"), into.alias("in"))
+
+    def swap(partner: Column) -> Column:
+        return F.when(partner.isNotNull(), option(excess - size + partner["size"], 2, rank, partner["rank"]))
+
+    mine = F.when(drawn, F.least(option(excess - size, 1, rank, none), swap(below), swap(above))).otherwise(option(excess + size, 1, none, rank))
+    return F.min(F.least(option(excess, 0, none, none), mine)).over(group)
+
+
 def mix_sources(
     documents: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
@@ -82,9 +109,12 @@ def mix_sources(
     Sizes are words. A source is repeated ``target / source_size`` times: the
     whole part for every document, the rest for a seeded part of them. Those
     are drawn systematically down the source's documents ordered by size, from
-    the seeded start of ``STARTS`` whose words come nearest the target. Large
-    sources are ranked in salted groups, each drawn for its own share. The
-    shuffle carries the columns given: pass ids alone where texts aren't needed.
+    the seeded start of ``STARTS`` whose words come nearest the target. Then
+    ``EXCHANGES`` times one drawn document is exchanged for one that isn't, or
+    one is dropped or added, whichever comes nearest; so a source of few and
+    uneven documents meets its target too, as far as its sizes allow. Large sources are ranked in salted
+    groups, each drawn for its own share. The shuffle carries the columns
+    given: pass ids alone where texts aren't needed.
 
     Null and empty texts have size 0. A null source is a source; one without
     words has target 0 and takes nothing. Rows that repeat an id are documents
@@ -128,8 +158,13 @@ def mix_sources(
     miss = [f"{stat}_{k}" for k in range(STARTS)]
     tried = ranked.withColumns(dict(zip(miss, misses, strict=True)))
     best = F.least(*[F.struct(F.col(c).alias("miss"), F.lit(k).alias("k")) for k, c in enumerate(miss)])["k"]
-    chosen = tried.withColumn(f"{stat}_best", best)
-    repeats = (whole + step(F.col(f"{stat}_best") / F.lit(float(STARTS)))).cast("int")
+    drawn, change = f"{stat}_drawn", f"{stat}_change"
+    chosen = tried.withColumn(f"{stat}_best", best).withColumn(drawn, step(F.col(f"{stat}_best") / F.lit(float(STARTS))) > 0)
+    for _ in range(EXCHANGES):
+        chosen = chosen.withColumn(change, _exchange(group, F.col(size), F.col(rank), F.col(drawn), wanted))
+        stays = F.col(drawn) & (F.col(rank) != F.col(change)["out"])
+        chosen = chosen.withColumn(drawn, stays | (F.col(rank) == F.col(change)["in"]))
+    repeats = (whole + F.col(drawn).cast("int")).cast("int")
     mix = F.struct(
         F.col(size).alias("size"),
         F.col(stat)["source_size"].alias("source_size"),
@@ -137,7 +172,7 @@ def mix_sources(
         repeats.alias("repeats"),
         (repeats * F.col(size)).cast("long").alias("taken"),
     )
-    return chosen.withColumn(name, mix).drop(size, key, rate, salt, rank, stat, f"{stat}_best", *miss)
+    return chosen.withColumn(name, mix).drop(size, key, rate, salt, rank, stat, f"{stat}_best", drawn, change, *miss)
 
 
 def mix_documents(documents: DataFrame, **options) -> DataFrame:
@@ -186,11 +221,30 @@ WITH sized AS (
   FROM stepped, range(16) AS t(k) GROUP BY source, salt, k
 ), best AS (
   SELECT source, salt, arg_min(k, (miss, k)) AS k FROM drawn GROUP BY source, salt
-)
-SELECT doc_id, size, source_size, round(target, 6) AS target, ((floor(rate) + steps[b.k + 1]) * size)::BIGINT AS taken
-FROM stepped s JOIN best b ON s.source IS NOT DISTINCT FROM b.source AND s.salt = b.salt
+), drawn0 AS (
+  SELECT s.*, steps[b.k + 1] > 0 AS drawn FROM stepped s JOIN best b ON s.source IS NOT DISTINCT FROM b.source AND s.salt = b.salt
+)EXCHANGED
+SELECT doc_id, size, source_size, round(target, 6) AS target, ((floor(rate) + drawn::INT) * size)::BIGINT AS taken FROM drawnLAST
 """
 
+_EXCHANGE_SQL = r"""
+, excess{0} AS (
+  SELECT *, sum(CASE WHEN drawn THEN size ELSE 0 END) OVER g - floor(part * sum(size) OVER g) AS excess FROM drawn{0} WINDOW g AS (PARTITION BY source, salt)
+), neighbours{0} AS (
+  SELECT *, last(CASE WHEN NOT drawn THEN {{'size': size, 'rank': rank}} END IGNORE NULLS) OVER (o ROWS UNBOUNDED PRECEDING) AS below,
+    first(CASE WHEN NOT drawn THEN {{'size': size, 'rank': rank}} END IGNORE NULLS) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above
+  FROM excess{0} WINDOW o AS (PARTITION BY source, salt ORDER BY CASE WHEN drawn THEN size - excess ELSE size END, rank)
+), options{0} AS (
+  SELECT *, list_min(list_filter([[abs(excess), 0, -1, -1], CASE WHEN drawn THEN [abs(excess - size), 1, rank, -1] ELSE [abs(excess + size), 1, -1, rank] END,
+    CASE WHEN drawn AND below IS NOT NULL THEN [abs(excess - size + below.size), 2, rank, below.rank] END,
+    CASE WHEN drawn AND above IS NOT NULL THEN [abs(excess - size + above.size), 2, rank, above.rank] END], lambda x: x IS NOT NULL)) AS mine FROM neighbours{0}
+), changed{0} AS (
+  SELECT *, min(mine) OVER (PARTITION BY source, salt) AS change FROM options{0}
+), drawn{1} AS (
+  SELECT * EXCLUDE (excess, below, above, mine, change) REPLACE ((drawn AND rank <> change[3]) OR rank = change[4] AS drawn) FROM changed{0}
+)"""
+OP4_SQL = OP4_SQL.replace("EXCHANGED", "".join(_EXCHANGE_SQL.format(k, k + 1) for k in range(EXCHANGES))).replace("drawnLAST", f"drawn{EXCHANGES}")
+
 
 def op4_query(documents: DataFrame) -> DataFrame:
     m = F.col("mix")
