@@ -127,3 +127,120 @@ def test_a_killed_job_makes_only_what_is_missing(spark, tmp_path):
     assert resumed(inputs(), settings="t") == want and len(made) == 13
     assert resumed(inputs().where("k < 3")) == [(0, 6), (1, 6), (2, 6)]
     assert stages.resumed_by_key(spark, str(tmp_path), "none", inputs().where("false"), ["k"], "s", build).collect() == []
+
+
+def test_new_projects_take_no_others_place(spark, tmp_path):
+    path = str(tmp_path / "out")
+    projects.create_project(manifests(spark, tmp_path, ["a", "x/y"]), path)
+    more = manifests(spark, tmp_path, ["b", "x/y"], pages=9)
+    with pytest.raises(FileExistsError, match="x/y"):
+        projects.create_project(more, path)
+    assert stored(spark, path) == {"a": ("a", 2), "x/y": ("x/y", 2)}
+    with pytest.raises(ValueError, match="needs a name"):
+        projects.create_project(more.withColumn("project", F.lit(None).cast("string")), path)
+
+
+def test_only_own_exports_are_replaced(spark):
+    paths = ["output/a.pdf", "output/A.PDF", "./output//b.pdf", "output/.pdf", "/output/a.pdf", "output/../a.pdf", "output/x/a.pdf", "other/a.pdf", "output/a.cbz", "output/..", None, ""]
+    got = projects.managed_exports(spark.createDataFrame([(p,) for p in paths], "path string"), ".pdf")
+    assert [r.path for r in got.collect()] == paths[:3]
+
+
+def test_empty_results_can_be_errors(spark):
+    assert projects.some_rows(spark.range(2), "none").count() == 2
+    with pytest.raises(ValueError, match="no stable intervals"):
+        projects.some_rows(spark.range(0), "no stable intervals")
+
+
+def test_page_counts_that_are_asked_for(spark):
+    values = ["12", " +7 ", "", None, "0", "10001", "1.5", "x", "007", "99999999999999999999", "10000"]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select(projects.page_count(F.col("v")).alias("p")).select("p.*").collect()
+    whole, between = "expected_page_count must be a positive integer", "expected_page_count must be 1..10000"
+    assert [tuple(r) for r in got] == [(12, None), (7, None), (None, None), (None, None), (None, between), (None, between), (None, whole), (None, whole), (None, whole), (None, between), (10000, None)]
+
+
+def test_book_metadata_and_what_becomes_of_it(spark):
+    rows = [{"title": "  A \n b ", "author": "", "series": None}, None, {"titel": "x"}, {"language": "x" * 33}, {"volume": "1\x01"}, {"title": "A b"}]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, m map<string,string>").withColumn("b", projects.book_metadata(F.col("m")))
+    old = F.create_map(F.lit("title"), F.lit("A b"))
+    text = lambda c: F.map_entries(c).cast("string")
+    got = df.orderBy("i").select("b.fields", "b.problem", projects.updated(text(old), text(F.col("b.fields")), F.col("b.problem")).alias("s")).collect()
+    assert [r.fields for r in got] == [{"title": "A b"}, {}, None, None, None, {"title": "A b"}]
+    assert [r.problem for r in got] == [None, None, "unknown book fields: titel", "book field language is too long", "book field volume has control characters", None]
+    assert [r.s for r in got] == ["unchanged", "applied", "rejected", "rejected", "rejected", "unchanged"]
+
+
+QUAD = [[0.1, 0.1], [0.9, 0.1], [0.9, 0.9], [0.1, 0.8]]
+
+
+def corpus(**changed):
+    sample = {"id": "s1", "time": 5.0, "expect_spread": True, "spread_quad": QUAD, "min_reference_iou": 0.5, **changed.pop("sample", {})}
+    pair = {"id": "p1", "spread_quad": QUAD, "target_time": 1.0, "donor_times": [2.0], **changed.pop("pair", {})}
+    video = {"id": "v1", "sha256": "a" * 64, "duration": 10.0, "expected_rotation": 90, "samples": [sample, {"id": "s2", "time": 1.0, "expect_spread": False}], "repair_pairs": [pair], **changed.pop("video", {})}
+    return {"version": 1, "videos": [video], **changed}
+
+
+@pytest.mark.parametrize(
+    "changed, want",
+    [
+        ({}, []),
+        ({"version": 2}, ["version must be 1"]),
+        ({"videos": []}, ["no videos"]),
+        ({"video": {"sha256": "A" * 64, "duration": 10.0, "expected_rotation": 45}}, ["expected_rotation must be 0, 90, 180 or 270", "sha256 must be 64 lowercase hexadecimal characters"]),
+        ({"sample": {"id": "s2"}}, ["sample ids must be unique and not empty"] * 2),
+        ({"sample": {"time": 9.8}}, ["consensus frames must be within the video"]),
+        ({"sample": {"spread_quad": QUAD[::-1], "min_page_iou": 1.5, "consensus_offsets": [0.5, 0.5]}}, ["consensus_offsets must be finite and unique", "consensus_offsets must include 0", "consensus_offsets needs at least 3 values", "min_page_iou must be 0..1", "spread_quad must be a convex quad"]),
+        ({"pair": {"donor_times": [], "target_time": 10.0}}, ["donor_times must be within the video", "target_time must be within the video"]),
+    ],
+)
+def test_corpora_are_checked(spark, tmp_path, changed, want):
+    from tidemark.sources import corpora
+
+    (tmp_path / "cases.json").write_text(json.dumps(corpus(**changed)))
+    found = corpora.problems(corpora.read_corpus(spark, str(tmp_path / "cases.json"))).collect()
+    assert sorted(r.problem for r in found) == want
+
+
+def test_detections_are_judged(spark, tmp_path):
+    from tidemark.sources import corpora
+
+    (tmp_path / "cases.json").write_text(json.dumps(corpus()))
+    samples = corpora.samples_of(corpora.read_corpus(spark, str(tmp_path / "cases.json")))
+
+    def passed(*quads):
+        rows = spark.createDataFrame([("v1", i, q) for i, q in quads], "video string, id string, quad array<array<double>>")
+        return {r.id: (r.detected, r.share, r.passed) for r in corpora.judged(samples, rows).collect()}
+
+    assert passed(("s1", QUAD)) == {"s1": (True, 1.0, True), "s2": (False, None, True)}
+    assert passed(("s1", [[x + 0.5, y] for x, y in QUAD]), ("s2", QUAD)) == {"s1": (True, pytest.approx(0.235, abs=0.05), False), "s2": (True, None, False)}
+    assert passed()["s1"] == (False, None, False)
+
+
+def test_patches_follow_what_earlier_ones_left(spark):
+    from tidemark.operators import patches
+
+    quad = json.dumps(QUAD)
+    log = [
+        ("left", {"page_quad_mode": "manual"}, "a manual contour needs manual_quad"),
+        ("left", {"manual_quad": quad, "dewarp": "yes"}, "dewarp must be a boolean"),
+        ("left", {"page_quad_mode": "manual"}, "a manual contour needs manual_quad"),
+        ("left", {"manual_quad": quad}, None),
+        ("left", {"page_quad_mode": "manual", "dewarp": "true"}, None),
+        ("right", {"page_quad_mode": "manual"}, "a manual contour needs manual_quad"),
+        ("left", {"page_quad_mode": "auto", "manual_quad": quad}, None),
+        ("left", {"page_quad_mode": "manual"}, "a manual contour needs manual_quad"),
+        ("cover", {"dewarp": "true"}, "no settings here"),
+        ("spread", {"dewarp": "true"}, "dewarp is only available for left, right"),
+        ("spread", {"spine_ratio": "0.8"}, "spine_ratio must be 0.25..0.75"),
+        ("spread", {"spine_ratio": "0.4"}, None),
+        ("spread", {"zoom": "1", "crop": "2"}, "unknown settings: crop, zoom"),
+        ("right", {}, "no settings given"),
+        ("right", {"manual_quad": json.dumps(QUAD[:3])}, "manual_quad must be a quad"),
+        ("right", {"manual_quad": "null"}, "manual_quad must be a quad"),
+        ("right", {"white_normalization": None}, "settings without a value: white_normalization"),
+        ("left", {"dewarp": "false"}, None),
+    ]
+    df = spark.createDataFrame([(1, side, i, patch) for i, (side, patch, _) in enumerate(log)], "spread long, side string, seq long, settings map<string,string>")
+    assert [r.reason for r in patches.judged(df).orderBy("seq").collect()] == [w for _, _, w in log]
+    held = {(r.side, r.name): r.value for r in patches.settled(df).collect()}
+    assert held == {("left", "page_quad_mode"): "auto", ("left", "dewarp"): "false", ("spread", "spine_ratio"): "0.4"}

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .catalog import _choose_sql, _relative_sql, query
-from .operators import lines, selection
+from .operators import lines, profiles, selection
 from .sources.adapters import table
 
 _LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
@@ -141,3 +141,55 @@ def line_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.outlines(found, _STEEPEST, _RULES, support)
     named = F.array_join(F.transform("lines", lambda x: x.cast("string")), ",")
     return rows.select("image", "place", named.alias("lines"), F.round("confidence", 6).alias("confidence"), F.round("x0", 6).alias("x0"), F.round("y2", 6).alias("y2"))
+
+
+#: A raster's pixels above a bound that differs by raster don't count.
+_BOUND = "0.02::DOUBLE + (vec_id % 13) / 50.0::DOUBLE"
+
+
+@query(
+    f"""
+WITH pixels AS (
+  SELECT label AS grp, pos::INT - 1 AS pos, embedding[pos]::DOUBLE AS v, embedding[pos]::DOUBLE < {_BOUND} AS valid FROM embeddings, range(1, 65) r(pos)
+), medians AS (
+  SELECT grp, pos, count(*) AS n, count(*) FILTER (valid) AS n_valid, median(v) FILTER (valid) AS mid FROM pixels GROUP BY grp, pos HAVING count(*) >= 3
+), away AS (
+  SELECT p.grp, p.pos, median(abs(v - mid)) AS mad FROM pixels p JOIN medians m ON m.grp = p.grp AND m.pos = p.pos WHERE valid GROUP BY p.grp, p.pos
+)
+SELECT m.grp, m.pos, n, n_valid, round(mid, 9) AS mid, coalesce(round(mad, 9), 255) AS mad FROM medians m LEFT JOIN away a ON a.grp = m.grp AND a.pos = m.pos
+"""
+)
+def masked_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and deviation of each pixel over a group's rasters, without those masked."""
+    bound = F.lit(0.02) + F.col("vec_id") % 13 / F.lit(50.0)
+    pixels = table(spark, sf_dir, "embeddings").select(F.col("label").alias("grp"), bound.alias("bound"), F.posexplode("embedding").alias("pos", "v"))
+    found = profiles.masked_medians(pixels.select("grp", "pos", F.col("v").cast("double").alias("v"), (F.col("v").cast("double") < F.col("bound")).alias("valid")), ["grp"])
+    return found.select("grp", "pos", "n", "n_valid", F.round("mid", 9).alias("mid"), F.round("mad", 9).alias("mad"))
+
+
+@query(
+    """
+WITH frames AS (
+  SELECT l_orderkey // 4 AS spread, ['top', 'right', 'bottom', 'left'][(l_partkey % 4 + 1)::INT] AS edge, l_orderkey * 10 + l_linenumber AS frame,
+    l_quantity / 80 AS support, l_quantity / 60 AS visible_support, l_tax * 3 AS occlusion FROM lineitem
+), means AS (
+  SELECT spread, edge, count(*) AS n, avg(support) AS support, avg(visible_support) AS visible_support, avg(occlusion) AS occlusion
+  FROM (SELECT * FROM frames QUALIFY row_number() OVER (PARTITION BY spread, edge ORDER BY support DESC, frame) <= 2) GROUP BY spread, edge
+), judged AS (
+  SELECT *, list_filter([CASE WHEN round(support, 9) < 0.22::DOUBLE THEN 'weak_edge' END, CASE WHEN round(occlusion, 9) >= 0.18::DOUBLE THEN 'hand_occlusion' END], lambda x: x IS NOT NULL) AS reasons FROM means
+)
+SELECT spread, edge, n, round(support, 9) AS support, round(visible_support, 9) AS visible_support, round(occlusion, 9) AS occlusion, array_to_string(reasons, ',') AS reasons,
+  array_to_string(list_sort(list(edge) FILTER (len(reasons) > 0) OVER (PARTITION BY spread)), ',') AS uncertain, round(min(support) OVER (PARTITION BY spread), 9) AS least_support FROM judged
+"""
+)
+def edge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What speaks for each edge of a spread in its two best frames, and which edges are uncertain."""
+    c = F.col
+    edges = F.array(*map(F.lit, ("top", "right", "bottom", "left")))
+    frames = table(spark, sf_dir, "lineitem").select(
+        F.floor(c("l_orderkey") / 4).cast("long").alias("spread"), F.element_at(edges, (c("l_partkey") % 4 + 1).cast("int")).alias("edge"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("frame"),
+        (c("l_quantity") / 80).alias("support"), (c("l_quantity") / 60).alias("visible_support"), (c("l_tax") * 3).alias("occlusion"),
+    )
+    found = profiles.edge_evidence(frames, "spread")
+    rounded = [F.round(x, 9).alias(x) for x in ("support", "visible_support", "occlusion")]
+    return found.select("spread", "edge", "n", *rounded, F.array_join("reasons", ",").alias("reasons"), F.array_join("uncertain", ",").alias("uncertain"), F.round("least_support", 9).alias("least_support"))

@@ -593,19 +593,9 @@ FROM conversations GROUP BY conv_id
 """
 )
 def concatenated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources laid end to end: each one's offset is the sum of all before it.
-
-    The running sum is over one row per source: a block's sum first, then
-    within the block, so no task sees all sources at once.
-    """
-    counted = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("n_rows"))
-    blocked = counted.withColumn("block", F.floor(F.col("conv_id") / 1024))
-    sums = blocked.groupBy("block").agg(F.sum("n_rows").alias("block_rows"))
-    upto = W.orderBy("block").rowsBetween(W.unboundedPreceding, W.currentRow)
-    starts = sums.withColumn("block_start", F.sum("block_rows").over(upto) - F.col("block_rows")).drop("block_rows")
-    inside = W.partitionBy("block").orderBy("conv_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = blocked.withColumn("inside", F.sum("n_rows").over(inside) - F.col("n_rows")).join(starts, "block")
-    return placed.select(F.col("conv_id").alias("source"), "first_turn", "n_rows", (F.col("block_start") + F.col("inside")).alias("offset_before"))
+    """Sources laid end to end: each one's offset is the sum of all before it. They are placed and summed up by ranges of sources."""
+    counted = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("source")).agg(F.min("turn").cast("long").alias("first_turn"), F.count(F.lit(1)).alias("n_rows"))
+    return ordering.in_order(counted, [F.col("source")], sums={"n_rows": "offset_before"}).select("source", "first_turn", "n_rows", "offset_before")
 
 
 _R, _C = "(i // 8)", "(i % 8)"

@@ -82,3 +82,40 @@ def classify_presets(rows: DataFrame, presets: list[tuple[str, dict[str, str]]])
             matches = matches & F.col(key).eqNullSafe(F.lit(value))
         chain = chain.when(matches, F.lit(name))
     return rows.withColumn("preset", chain.otherwise(F.lit("custom")))
+
+
+def masked_medians(pixels: DataFrame, group: list[str], least: int = 3) -> DataFrame:
+    """Median of each pixel over a group's rasters and the median of the deviations from it, where ``valid``: ``n, n_valid, mid, mad``.
+
+    ``pixels`` has ``group, pos, v`` and ``valid``. Groups of less than
+    ``least`` rasters are left out; a pixel that is valid nowhere has a null
+    median and the largest deviation, 255. Values are counted by pixel before
+    the medians are taken, so a group may be of any size.
+    """
+    at = [*group, "pos"]
+    good = F.coalesce(F.col("valid") & F.col("v").isNotNull(), F.lit(False))
+    counts = pixels.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("n_valid"), F.median(F.when(good, F.col("v").cast("double"))).alias("mid"))
+    away = pixels.where(good).join(counts.select(*at, "mid"), at).groupBy(*at).agg(F.median(F.abs(F.col("v").cast("double") - F.col("mid"))).alias("mad"))
+    return counts.where(F.col("n") >= least).join(away, at, "left").withColumn("mad", F.coalesce("mad", F.lit(255.0)))
+
+
+#: Least support of an edge, share of a hand from which it counts as covered, frames that count.
+EDGE_SUPPORT, EDGE_HAND, EDGE_FRAMES = 0.22, 0.18, 2
+
+
+def edge_evidence(frames: DataFrame, key: str, support: float = EDGE_SUPPORT, hand: float = EDGE_HAND, most: int = EDGE_FRAMES) -> DataFrame:
+    """Per key and edge the means over its ``most`` best supported frames, and what makes it uncertain.
+
+    ``frames`` has the key, ``edge, frame, support, visible_support,
+    occlusion``. Of equally supported frames the earlier counts. Adds
+    ``reasons`` (``weak_edge``, ``hand_occlusion``), and for the key the
+    ``uncertain`` edges and its ``least_support``. One shuffle by key.
+    """
+    order = W.partitionBy(key, "edge").orderBy(F.col("support").desc(), "frame")
+    best = frames.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most)
+    means = best.groupBy(key, "edge").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 9).alias(c) for c in ("support", "visible_support", "occlusion")])
+    reasons = F.array_compact(F.array(F.when(F.col("support") < support, "weak_edge"), F.when(F.col("occlusion") >= hand, "hand_occlusion")))
+    judged = means.withColumn("reasons", reasons)
+    every = W.partitionBy(key)
+    doubtful = F.array_sort(F.array_compact(F.collect_list(F.when(F.size("reasons") > 0, F.col("edge"))).over(every)))
+    return judged.withColumns({"uncertain": doubtful, "least_support": F.min("support").over(every)})

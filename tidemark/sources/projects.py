@@ -95,9 +95,83 @@ def write_manifests(manifests: DataFrame, path: str) -> None:
     migrate(manifests).write.partitionBy("project").option("partitionOverwriteMode", "dynamic").mode("overwrite").json(path)
 
 
+def create_project(manifests: DataFrame, path: str) -> None:
+    """Write new projects below ``path``; one that is there already is an error, and then none is written."""
+    spark = manifests.sparkSession
+    names = [r[0] for r in manifests.select("project").distinct().collect()]
+    if None in names or "" in names:
+        raise ValueError("a project needs a name")
+    there = sorted(n for n in names if _exists(spark, _folder(spark, path, n)))
+    if there:
+        raise FileExistsError(f"there already: {', '.join(there)}")
+    write_manifests(manifests, path)
+
+
+def _folder(spark: SparkSession, path: str, project: str) -> str:
+    return f"{path.rstrip('/')}/project={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(project)}"
+
+
+def managed_exports(exports: DataFrame, suffix: str) -> DataFrame:
+    """Rows of ``exports`` whose ``path`` is a file right in its project's folder ``output`` and ends in ``suffix``; only those may be replaced.
+
+    Null, absolute and winding paths are somebody else's files.
+    """
+    parts = F.split(F.regexp_replace("path", "/+", "/"), "/")
+    steps = F.filter(parts, lambda p: p != ".")
+    plain = (F.size(steps) == 2) & (F.get(steps, 0) == "output") & ~F.get(steps, 1).isin("", "..")
+    own = ~F.startswith(F.col("path"), F.lit("/")) & plain & F.endswith(F.lower(F.get(steps, 1)), F.lit(suffix.lower()))
+    # A name that is only a suffix has none.
+    return exports.where(F.coalesce(own & (F.length(F.get(steps, 1)) > len(suffix)), F.lit(False)))
+
+
+def some_rows(rows: DataFrame, message: str) -> DataFrame:
+    """``rows``, of which there must be some."""
+    if rows.isEmpty():
+        raise ValueError(message)
+    return rows
+
+
+def page_count(value: Column, most: int = 10_000) -> Column:
+    """A struct of the ``number`` of pages that a text asks for, null for none, and the ``problem`` if it can't be had."""
+    text = F.trim(value)
+    digits = F.rlike(text, F.lit(r"^\+?(0|[1-9][0-9]*)$"))
+    number = F.when(digits, F.regexp_replace(text, r"^\+", "").try_cast("long"))
+    inside = F.coalesce(number.between(1, most), F.lit(False))
+    wrong = F.when(text.isNull() | (value == ""), F.lit(None)).when(~digits, "expected_page_count must be a positive integer").when(~inside, f"expected_page_count must be 1..{most}")
+    return F.struct(F.when(inside, number.cast("int")).alias("number"), wrong.alias("problem"))
+
+
+#: What may be said of a book, and how long it may be.
+BOOK_FIELDS = {"title": 200, "author": 200, "series": 200, "volume": 64, "publisher": 200, "language": 32}
+
+
+def book_metadata(given: Column) -> Column:
+    """A struct of the ``fields`` of a book that a map of texts gives, and the first ``problem``; then it has no fields.
+
+    White space is joined to single spaces; fields that are null or empty are
+    left out, as a null map is.
+    """
+    known = F.array(*map(F.lit, BOOK_FIELDS))
+    flat = F.transform_values(F.coalesce(given, F.create_map().cast("map<string,string>")), lambda _, v: F.trim(F.regexp_replace(v, r"\s+", " ")))
+    fields = F.map_filter(flat, lambda _, v: v.isNotNull() & (v != ""))
+    unknown = F.array_sort(F.array_except(F.map_keys(flat), known))
+    value = lambda name: F.try_element_at(fields, F.lit(name))
+    checks = [F.when(F.size(unknown) > 0, F.concat(F.lit("unknown book fields: "), F.array_join(unknown, ", ")))]
+    for name, most in BOOK_FIELDS.items():
+        checks.append(F.when(F.rlike(value(name), F.lit(r"[\x00-\x1F]")), f"book field {name} has control characters"))
+        checks.append(F.when(F.length(value(name)) > most, f"book field {name} is too long"))
+    problem = F.coalesce(*checks)
+    return F.struct(F.when(problem.isNull(), fields).alias("fields"), problem.alias("problem"))
+
+
+def updated(old: Column, new: Column, problem: Column) -> Column:
+    """What becomes of an update: ``rejected``, ``unchanged`` or ``applied``."""
+    return F.when(problem.isNotNull(), "rejected").when(old.eqNullSafe(new), "unchanged").otherwise("applied")
+
+
 def remove_project(spark: SparkSession, path: str, project: str) -> bool:
     """Remove one project's folder below ``path``; whether there was one."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path, f"project={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(project)}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark, path, project))
     return bool(folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True))
 
 
