@@ -179,7 +179,7 @@ WITH frames AS (
   SELECT *, list_filter([CASE WHEN round(support, 9) < 0.22::DOUBLE THEN 'weak_edge' END, CASE WHEN round(occlusion, 9) >= 0.18::DOUBLE THEN 'hand_occlusion' END], lambda x: x IS NOT NULL) AS reasons FROM means
 )
 SELECT spread, edge, n, round(support, 9) AS support, round(visible_support, 9) AS visible_support, round(occlusion, 9) AS occlusion, array_to_string(reasons, ',') AS reasons,
-  array_to_string(list_sort(list(edge) FILTER (len(reasons) > 0) OVER (PARTITION BY spread)), ',') AS uncertain, round(min(support) OVER (PARTITION BY spread), 9) AS least_support FROM judged
+  coalesce(array_to_string(list_sort(list(edge) FILTER (len(reasons) > 0) OVER (PARTITION BY spread)), ','), '') AS uncertain, round(min(support) OVER (PARTITION BY spread), 9) AS least_support FROM judged
 """
 )
 def edge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
