@@ -3,7 +3,7 @@
 import pytest
 
 import oracle
-from tidemark import catalog, catalog_choice, catalog_edits, catalog_more, catalog_profiles, catalog_review, catalog_series, catalog_setup, catalog_shapes  # noqa: F401
+from tidemark import catalog, catalog_choice, catalog_edits, catalog_more, catalog_previews, catalog_profiles, catalog_review, catalog_series, catalog_setup, catalog_shapes  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
