@@ -34,8 +34,8 @@ from .common import in_order, remove_table, shared_dir, stage_table
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: A segment is closed by the document that fills it up to so many ids.
 SEGMENT_TOKENS = 1 << 20
-#: A Python worker remembers the ids of twice so many words at most, of at most so many characters: some 100 MB.
-MEMO_WORDS, MEMO_CHARS = 1 << 18, 64
+#: A Python worker remembers the ids of twice so many words at most, of at most so many characters: some 180 MB.
+MEMO_WORDS, MEMO_CHARS = 1 << 19, 64
 #: Fixed values of the format: first bytes, bits of a word of the bitmaps, bits counted by one entry of the upper directory.
 MAGIC, WORD, UPPER = b"TMDAC01\n", 64, 1 << 16
 #: Bits of an id.
