@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .proposals import corner_distance
+from .proposals import corner_distance, distance
 
 #: Gaps between lines are dealt into bands of this width, as shares of the page.
 BAND = 0.05
@@ -75,9 +75,10 @@ def outlines(lines: DataFrame, steepest: float, rules: Outline = Outline(), supp
     tops = tops.withColumn("_wide", F.explode(F.sequence(F.floor(F.greatest(F.lit(0.0), least) / BAND), F.lit(math.floor(2 / BAND)))))
     met = tops.join(sides.withColumn("_wide", F.floor(F.col("left_gap") / BAND)), ["image", "_wide"])
     corners = [_corner(F.col(h), F.col(v)) for h, v in (("top", "left"), ("top", "right"), ("bottom", "right"), ("bottom", "left"))]
-    quads = met.select("image", "top", "bottom", "left", "right", *[c.alias(f"q{i}") for i, c in enumerate(corners)])
+    # Generated rows are worked out once; conditions on them stay behind the join instead of being written out inside it.
+    quads = met.select("image", "top", "bottom", "left", "right", F.inline(F.array(F.struct(*[c.alias(f"q{i}") for i, c in enumerate(corners)]))))
     q = [F.col(f"q{i}") for i in range(4)]
-    length = [F.hypot(q[(i + 1) % 4]["x"] - q[i]["x"], q[(i + 1) % 4]["y"] - q[i]["y"]) for i in range(4)]
+    length = [distance(q[(i + 1) % 4]["x"] - q[i]["x"], q[(i + 1) % 4]["y"] - q[i]["y"]) for i in range(4)]
     twice = [q[i]["x"] * q[(i + 1) % 4]["y"] - q[(i + 1) % 4]["x"] * q[i]["y"] for i in range(4)]
     inside = F.lit(True)
     for corner in q:
