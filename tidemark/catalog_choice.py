@@ -168,9 +168,10 @@ def masked_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """
+    f"""
 WITH frames AS (
-  SELECT l_orderkey // 4 AS spread, ['top', 'right', 'bottom', 'left'][(l_partkey % 4 + 1)::INT] AS edge, l_orderkey * 10 + l_linenumber AS frame,
+  SELECT l_orderkey // 4 AS spread, ['top', 'right', 'bottom', 'left'][(l_partkey % 4 + 1)::INT] AS edge,
+    l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER}) AS frame,
     l_quantity / 80 AS support, l_quantity / 60 AS visible_support, l_tax * 3 AS occlusion FROM lineitem
 ), means AS (
   SELECT spread, edge, count(*) AS n, avg(support) AS support, avg(visible_support) AS visible_support, avg(occlusion) AS occlusion
@@ -186,8 +187,9 @@ def edge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What speaks for each edge of a spread in its two best frames, and which edges are uncertain."""
     c = F.col
     edges = F.array(*map(F.lit, ("top", "right", "bottom", "left")))
+    within = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*_LINE_ORDER.split(", ")))
     frames = table(spark, sf_dir, "lineitem").select(
-        F.floor(c("l_orderkey") / 4).cast("long").alias("spread"), F.element_at(edges, (c("l_partkey") % 4 + 1).cast("int")).alias("edge"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("frame"),
+        F.floor(c("l_orderkey") / 4).cast("long").alias("spread"), F.element_at(edges, (c("l_partkey") % 4 + 1).cast("int")).alias("edge"), (c("l_orderkey") * 1000 + within).alias("frame"),
         (c("l_quantity") / 80).alias("support"), (c("l_quantity") / 60).alias("visible_support"), (c("l_tax") * 3).alias("occlusion"),
     )
     found = profiles.edge_evidence(frames, "spread")
