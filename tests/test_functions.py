@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 import numpy as np
@@ -68,3 +69,15 @@ def test_archives_and_manifests(spark, tmp_path):
     assert [r.name for r in projects.image_files(spark, str(tmp_path)).orderBy("position").collect()] == ["1.jpg", "2.jpg", "10.jpg"]
     with pytest.raises(ValueError):
         projects.image_files(spark, str(tmp_path), most=2)
+
+
+def test_batches_of_several_sizes_and_nulls(spark):
+    rng = random.Random(3)
+    rows = [[float(rng.randint(0, 255)) for _ in range(side * side)] for side in (3, 8, 3, 5)]
+    pairs = [(0, rows[0], rows[2]), (1, rows[1], rows[1]), (2, None, rows[3]), (3, rows[3], None), (4, rows[2], rows[0])]
+    df = spark.createDataFrame(pairs, "i int, a array<double>, b array<double>").coalesce(1)
+    got = {r.i: r for r in df.select("i", kernels.sharpness("a").alias("s"), kernels.sharpness_tiles("a").alias("t"), kernels.ssim("a", "b").alias("m"), kernels.motion("a", "b").alias("move"), kernels.split_spread("a").alias("halves")).collect()}
+    assert got[2].s is None and got[2].t is None and got[2].halves is None and got[2].move == 1.0 and got[3].move == 1.0
+    assert got[1].m == 1.0 and got[1].move == 0.0 and abs(got[0].m - got[4].m) < 1e-12 and len(got[3].t) == 9
+    square = [rows[3][5 * k : 5 * k + 5] for k in range(5)]
+    assert got[3].halves == [[v for r in square for v in r[:2]], [v for r in square for v in r[2:]]]

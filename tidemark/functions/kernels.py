@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -9,72 +11,86 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _square(pixels: np.ndarray) -> np.ndarray:
-    side = int(round(len(pixels) ** 0.5))
-    if side * side != len(pixels):
-        raise ValueError("a raster must be square")
-    return np.asarray(pixels, dtype=float).reshape(side, side)
+def _stacks(*rasters: pd.Series) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Places and stacks (n, side, side) of the rows of one size in which no raster is null; a batch mostly has one size."""
+    known = np.logical_and.reduce([r.notna().to_numpy() for r in rasters])
+    sizes = np.array([len(p) if ok else -1 for p, ok in zip(rasters[0], known, strict=True)])
+    for size in np.unique(sizes[known]):
+        side = int(round(size**0.5))
+        if side * side != size:
+            raise ValueError("a raster must be square")
+        at = np.flatnonzero(sizes == size)
+        yield at, [np.stack(r.iloc[at].to_numpy()).astype(float).reshape(-1, side, side) for r in rasters]
 
 
-def laplacian(image: np.ndarray) -> np.ndarray:
-    """Four-neighbour Laplacian; the border is mirrored without its edge."""
-    p = np.pad(image, 1, mode="reflect")
-    return p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * image
+def laplacian(images: np.ndarray) -> np.ndarray:
+    """Four-neighbour Laplacian of images (n, h, w); the border is mirrored without its edge."""
+    p = np.pad(images, ((0, 0), (1, 1), (1, 1)), mode="reflect")
+    return p[:, :-2, 1:-1] + p[:, 2:, 1:-1] + p[:, 1:-1, :-2] + p[:, 1:-1, 2:] - 4 * images
 
 
-def tile_variances(image: np.ndarray, tiles: int = 3) -> np.ndarray:
-    """Population variance of the Laplacian in each of ``tiles`` by ``tiles`` tiles, row by row."""
-    response = laplacian(image)
-    return np.array([t.var() for rows in np.array_split(response, tiles, 0) for t in np.array_split(rows, tiles, 1)])
+def tile_variances(images: np.ndarray, tiles: int = 3) -> np.ndarray:
+    """Population variance of the Laplacian in each of ``tiles`` by ``tiles`` tiles, row by row: (n, tiles * tiles)."""
+    response = laplacian(images)
+    return np.stack([t.var(axis=(1, 2)) for rows in np.array_split(response, tiles, 1) for t in np.array_split(rows, tiles, 2)], axis=1)
 
 
-def structural_similarity(a: np.ndarray, b: np.ndarray, peak: float = 255.0) -> float:
-    """Similarity of two rasters from their means, variances and covariance over the whole raster."""
+def structural_similarity(a: np.ndarray, b: np.ndarray, peak: float = 255.0) -> np.ndarray:
+    """Similarity of images (n, h, w) from their means, variances and covariance over the whole raster."""
     c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
-    cov = ((a - a.mean()) * (b - b.mean())).mean()
-    return float((2 * a.mean() * b.mean() + c1) * (2 * cov + c2) / ((a.mean() ** 2 + b.mean() ** 2 + c1) * (a.var() + b.var() + c2)))
+    mean = lambda x: x.mean(axis=(1, 2))
+    ma, mb, va, vb = mean(a), mean(b), a.var(axis=(1, 2)), b.var(axis=(1, 2))
+    cov = mean((a - ma[:, None, None]) * (b - mb[:, None, None]))
+    return (2 * ma * mb + c1) * (2 * cov + c2) / ((ma**2 + mb**2 + c1) * (va + vb + c2))
+
+
+def _numbers(n: int, parts: Iterator[tuple[np.ndarray, np.ndarray]], missing: float = np.nan) -> pd.Series:
+    out = np.full(n, missing)
+    for at, values in parts:
+        out[at] = values
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.DoubleType())
 def sharpness(pixels: pd.Series) -> pd.Series:
-    """Population variance of the Laplacian."""
-    return pixels.map(lambda p: float(laplacian(_square(p)).var()))
+    """Population variance of the Laplacian; null for null, as all of these."""
+    return _numbers(len(pixels), ((at, laplacian(x).var(axis=(1, 2))) for at, (x,) in _stacks(pixels)))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def sharpness_tiles(pixels: pd.Series) -> pd.Series:
-    return pixels.map(lambda p: tile_variances(_square(p)).tolist())
+    out = pd.Series([None] * len(pixels), dtype=object)
+    for at, (x,) in _stacks(pixels):
+        for i, values in zip(at, tile_variances(x), strict=True):
+            out.iat[i] = values
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
 def ssim(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([structural_similarity(_square(x), _square(y)) for x, y in zip(a, b, strict=True)])
+    return _numbers(len(a), ((at, structural_similarity(x, y)) for at, (x, y) in _stacks(a, b)))
 
 
 @F.pandas_udf(T.DoubleType())
 def motion(before: pd.Series, now: pd.Series) -> pd.Series:
     """Mean absolute difference over 255 after the best shift of a pixel; 1 without a frame before."""
 
-    def one(p, q):
-        if p is None:
-            return 1.0
-        a, b = _square(p), _square(q)
-        shifts = [np.abs(a - np.roll(b, (dy, dx), (0, 1)))[1:-1, 1:-1].mean() for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-        return float(min(min(shifts) / 255, 1.0))
+    def least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        shifts = [np.abs(x - np.roll(y, (dy, dx), (1, 2)))[:, 1:-1, 1:-1].mean(axis=(1, 2)) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+        return np.minimum(np.min(shifts, axis=0) / 255, 1.0)
 
-    return pd.Series([one(p, q) for p, q in zip(before, now, strict=True)])
+    return _numbers(len(now), ((at, least(x, y)) for at, (x, y) in _stacks(before, now)), 1.0)
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def split_spread(pixels: pd.Series) -> pd.Series:
     """Left and right page of a spread; an odd middle column goes to the right."""
-
-    def one(p):
-        image = _square(p)
-        half = image.shape[1] // 2
-        return [image[:, :half].ravel().tolist(), image[:, half:].ravel().tolist()]
-
-    return pixels.map(one)
+    out = pd.Series([None] * len(pixels), dtype=object)
+    for at, (x,) in _stacks(pixels):
+        half = x.shape[2] // 2
+        for i, left, right in zip(at, x[:, :, :half], x[:, :, half:], strict=True):
+            out.iat[i] = [left.ravel(), right.ravel()]
+    return out
 
 
 def difference_hash(pixels: Column, side: int = 8) -> Column:
