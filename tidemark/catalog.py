@@ -291,7 +291,7 @@ def _relative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.scored(ranking.by_side(candidates(spark, sf_dir)), CONFIG)
+    return ranking.scored(ranking.by_side(candidates(spark, sf_dir, copies=2)), CONFIG)
 
 
 SIDED_SQL = f"""{CANDIDATES_SQL}, sided AS (

@@ -11,6 +11,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task sorts at most, about; a row kept by several sorts of a stage takes some 3 KB there.
+TASK_ROWS = 100_000
+
+
+def dealt(rows: DataFrame, key: str, copies: int = 1) -> DataFrame:
+    """Rows dealt by ``key`` over so many tasks that what each of them sorts fits in its memory, however large the table.
+
+    Left to itself, Spark sizes tasks by the bytes of the exchange, whereas
+    what follows makes rows many times wider. ``copies`` is how often a row is
+    repeated behind the exchange. Counting reads no column.
+    """
+    n = -(-rows.count() * copies // TASK_ROWS)
+    return rows.repartition(max(n, rows.sparkSession.sparkContext.defaultParallelism), key) if n > 1 else rows
+
+
 def seconds(ts) -> F.Column:
     """A timestamp without zone as seconds, read in the session's zone (UTC)."""
     return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
@@ -41,15 +56,16 @@ _LINE_ORDER = [
 ]
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, copies: int = 1) -> DataFrame:
     """Order lines as candidates of a spread.
 
     ``spread, cand, t, sharpness, motion, hand (null where not measured), glare,
     distortion, flatness, clipping, exposure``. Lines may be equal in all
-    columns; then they are interchangeable.
+    columns; then they are interchangeable. ``copies`` is how often a query
+    repeats them.
     """
     order = W.partitionBy("spread").orderBy(*_LINE_ORDER)
-    return table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "spread").select(
+    return dealt(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "spread"), "spread", copies).select(
         "spread",
         (F.row_number().over(order) - 1).cast("long").alias("cand"),
         seconds("l_shipdate").alias("t"),
