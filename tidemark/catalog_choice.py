@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _choose_sql, _relative_sql, query
 from .operators import lines, profiles, selection
-from .sources.adapters import table
+from .sources.adapters import dealt, table
 
 _LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 #: Measures of a spread and of its pages, each from columns of its own. One page in thirty has none.
@@ -56,7 +56,7 @@ SELECT 'per_page' AS mode, * FROM picks UNION ALL SELECT 'spread', spread, compl
 def selected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates chosen for every spread and its two pages, in both modes; incomplete spreads by absolute scores."""
     c = F.col
-    rows = table(spark, sf_dir, "lineitem").withColumn("cand", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*_LINE_ORDER.split(", "))) - 1)
+    rows = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey", copies=3).withColumn("cand", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*_LINE_ORDER.split(", "))) - 1)
 
     def measures(sharp, uniform, motion, hand, glare, score):
         values = dict(zip(selection.MEASURES, (sharp, uniform, motion, hand, glare, None, score), strict=True))
@@ -132,12 +132,12 @@ FROM (SELECT image, ks, unnest(range(1, len(ks) + 1)) AS place FROM kept)
 def line_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best outlines of every image that differ, from pairs of its horizontal and of its vertical lines."""
     c = F.col
-    found = table(spark, sf_dir, "lineitem").select(
-        F.floor(c("l_orderkey") / 4).cast("long").alias("image"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), F.when(c("l_linenumber") % 2 == 0, "h").otherwise("v").alias("kind"),
+    found = dealt(table(spark, sf_dir, "lineitem").withColumn("image", F.floor(c("l_orderkey") / 4).cast("long")), "image").select(
+        "image", (c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), F.when(c("l_linenumber") % 2 == 0, "h").otherwise("v").alias("kind"),
         ((c("l_partkey") * 7 + c("l_linenumber") * 31) % 97 / F.lit(97.0)).alias("place"), ((c("l_suppkey") % 21 - 10) / F.lit(100.0)).alias("slope"),
         (c("l_quantity") / 50).alias("rank"), (c("l_tax") * 10).alias("segment"),
     )
-    support = 1 - F.abs(c("q0.x") + c("q2.x") - 1)
+    support = lambda *q: 1 - F.abs(q[0]["x"] + q[2]["x"] - 1)
     rows = lines.outlines(found, _STEEPEST, _RULES, support)
     named = F.array_join(F.transform("lines", lambda x: x.cast("string")), ",")
     return rows.select("image", "place", named.alias("lines"), F.round("confidence", 6).alias("confidence"), F.round("x0", 6).alias("x0"), F.round("y2", 6).alias("y2"))
