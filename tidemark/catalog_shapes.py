@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .catalog_more import QUADS_SQL, _quads
-from .functions import geometry
+from .functions import geometry, polygons
 from .operators import beam, cover, tracking
 from .sources.adapters import table
 
@@ -63,8 +63,9 @@ def quad_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = geometry.ring(*[(c("x0") + (c(f"x{i}") - c("x0")) * 0.5, c("y0") + (c(f"y{i}") - c("y0")) * 0.5) for i in (3, 2, 1, 0)])
     shifted = geometry.ring(*[(c(f"nx{i}") + c("id") % 5 * 0.2, c(f"ny{i}")) for i in range(4)])
     placed = pairs.select("id", geometry.quad_ring().alias("a"), F.when(c("id") % 7 == 0, half).otherwise(shifted).alias("b"))
-    met = placed.withColumn("common", geometry.overlap(c("a"), c("b")))
-    return met.select("id", F.round(F.abs(geometry.signed_area(c("common"))), 9).alias("common_area"), F.round(geometry.overlap_share(c("a"), c("b"), c("common")), 9).alias("share"))
+    met = placed.select("id", polygons.overlap_areas("a", "b").alias("areas"))
+    a, b, both = (c(f"areas.{k}") for k in ("a", "b", "common"))
+    return met.select("id", F.round(both, 9).alias("common_area"), F.round(geometry.shared_part(a, b, both), 9).alias("share"))
 
 
 #: Eight vectors that follow each other are one group: the first is the target, the others its donors. A raster's upper and lower half are components.

@@ -163,6 +163,10 @@ def overlap(a: Column, b: Column) -> Column:
 
 def overlap_share(a: Column, b: Column, common: Column) -> Column:
     """Area of ``common``, the overlap of two polygons, as a share of the area that either covers; 0 where one has no area."""
-    area_a, area_b, both = F.abs(signed_area(a)), F.abs(signed_area(b)), F.abs(signed_area(common))
+    return shared_part(F.abs(signed_area(a)), F.abs(signed_area(b)), F.abs(signed_area(common)))
+
+
+def shared_part(area_a: Column, area_b: Column, both: Column) -> Column:
+    """The area that two polygons share as a part of what either covers, 0 to 1."""
     whole = area_a + area_b - both
     return F.when((area_a <= 0) | (area_b <= 0) | (whole <= 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), both / whole)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import signed_area
+from ..functions import polygons
 from .proposals import corner_distance
 
 #: Width of the beam, shares that edges move by, step after step, nearness of quads that are one, least area.
@@ -28,10 +28,6 @@ def moved(q: Column, left: float = 0.0, right: float = 0.0, top: float = 0.0, bo
     return F.struct(*fields)
 
 
-def _area(q: Column) -> Column:
-    return F.abs(signed_area(F.array(*[F.struct(q[f"x{i}"].alias("x"), q[f"y{i}"].alias("y")) for i in range(4)])))
-
-
 def _apart(quads: Column, same: float) -> Column:
     """The quads that lie ``same`` or more from all kept before them."""
     return F.aggregate(quads, F.slice(quads, 1, 0), lambda kept, q: F.when(F.forall(kept, lambda k: corner_distance(k, q) >= same), F.concat(kept, F.array(q))).otherwise(kept))
@@ -56,15 +52,15 @@ def beam_search(seeds: DataFrame, key: list[str], quads: str, score: Callable[[C
     found. Keys without quads find none.
 
     A key's frontier is at most nine quads for each of the beam, so the search
-    is expressions over one row: nothing is joined, shuffled or sent to Python.
+    stays in one row and nothing is joined or shuffled. Quads are moved and
+    compared for a batch of rows at once; scores are expressions.
     """
     frame = seeds.withColumn("_first", _ranked(_apart(F.filter(quads, lambda q: q.isNotNull()), same), score))
     frame = frame.withColumn("_last", F.col("_first")).withColumn("_seen", F.transform("_first", lambda r: r["q"]))
     for share in steps:
-        moves = [{}] + [{edge: sign * share} for edge in ("left", "right", "top", "bottom") for sign in (-1, 1)]
-        grown = F.flatten(F.transform(F.slice("_last", 1, width), lambda r: F.concat(F.array(r["q"]), F.filter(F.array(*[moved(r["q"], **m) for m in moves[1:]]), lambda q: _area(q) >= min_area))))
+        grown = polygons.grown_quads(share, same, min_area)(F.transform(F.slice("_last", 1, width), lambda r: r["q"]))
         # Each step's lists are columns of their own, so that none is worked out twice.
-        frame = frame.withColumn("_grown", _apart(grown, same)).withColumn("_last", _ranked(F.col("_grown"), score)).withColumn("_seen", F.concat("_seen", "_grown"))
+        frame = frame.withColumn("_grown", grown).withColumn("_last", _ranked(F.col("_grown"), score)).withColumn("_seen", F.concat("_seen", "_grown"))
     order = F.concat(F.slice("_last", 1, 1), F.slice("_first", 1, 1), F.slice("_last", F.lit(2), F.greatest(F.size("_last") - 1, F.lit(0))))
     empty = F.slice(order, 1, 0)
     found = F.aggregate(order, empty, lambda out, r: F.when((F.size(out) < width) & F.forall(out, lambda o: corner_distance(o["q"], r["q"]) >= same), F.concat(out, F.array(r))).otherwise(out))
