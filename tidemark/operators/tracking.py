@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .folds import _fold
+from ..functions import polygons
 
 #: Largest step and total move of a corner, and the range of the area against the reference's.
 MAX_STEP, MAX_TOTAL, AREAS = 0.08, 0.16, (0.70, 1.40)
@@ -18,33 +22,29 @@ TRACKED, NO_MAP, NO_QUAD, STEP_TOO_LARGE, TOTAL_TOO_LARGE, AREA_TOO_LARGE = rang
 STATUSES = ("tracked", "unavailable", "invalid_transform", "step_shift_too_large", "total_shift_too_large", "area_change_too_large")
 
 
-def _moved(quad: list[float], m: list[float]) -> list[float] | None:
-    """The quad under a map of nine numbers; None if it is no quad any more."""
-    out = []
-    for i in range(0, 8, 2):
-        x, y = quad[i], quad[i + 1]
-        z = m[6] * x + m[7] * y + m[8]
-        if z == 0:
-            return None
-        for v in ((m[0] * x + m[1] * y + m[2]) / z, (m[3] * x + m[4] * y + m[5]) / z):
-            if not -BEYOND <= v <= 1 + BEYOND:
-                return None
-            out.append(min(1.0, max(0.0, v)))
-    return out if _turns_right(out) and _area(out) >= MIN_AREA else None
+#: Rows of a chunk, whose entities are carried along side by side.
+CHUNK_ROWS = 100_000
 
 
-def _turns_right(q: list[float]) -> bool:
-    """Is it convex, its corners running clockwise on a page whose y grows downward?"""
-    at = [(q[2 * (i % 4)], q[2 * (i % 4) + 1]) for i in range(6)]
-    return all((b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]) > 0 for a, b, c in zip(at, at[1:], at[2:], strict=False))
+def _moved(quads: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quads (n, 8) under maps of nine numbers (n, 9), and which of them are quads still."""
+    x, y = quads[:, 0::2], quads[:, 1::2]
+    m = m[:, :, None]
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        z = m[:, 6] * x + m[:, 7] * y + m[:, 8]
+        out = np.stack([(m[:, 0] * x + m[:, 1] * y + m[:, 2]) / z, (m[:, 3] * x + m[:, 4] * y + m[:, 5]) / z], 2).reshape(len(quads), 8)
+        inside = ((out >= -BEYOND) & (out <= 1 + BEYOND)).all(1)
+        out = np.minimum(1.0, np.maximum(0.0, out))
+        # Convex, its corners running clockwise on a page whose y grows downward.
+        edge = np.roll(out.reshape(-1, 4, 2), -1, 1) - out.reshape(-1, 4, 2)
+        after = np.roll(edge, -1, 1)
+        turns = (edge[..., 0] * after[..., 1] - edge[..., 1] * after[..., 0] > 0).all(1)
+        return out, inside & turns & (polygons.quad_areas(out) >= MIN_AREA)
 
 
-def _area(q: list[float]) -> float:
-    return abs(sum(q[2 * i] * q[(2 * i + 3) % 8] - q[(2 * i + 2) % 8] * q[2 * i + 1] for i in range(4))) / 2
-
-
-def _farthest(a: list[float], b: list[float]) -> float:
-    return max(math.sqrt((a[i] - b[i]) ** 2 + (a[i + 1] - b[i + 1]) ** 2) for i in range(0, 8, 2))
+def _farthest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d = a - b
+    return np.sqrt(d[:, 0::2] * d[:, 0::2] + d[:, 1::2] * d[:, 1::2]).max(1)
 
 
 def tracking_chain(steps: DataFrame, quads: DataFrame, max_step: float = MAX_STEP, max_total: float = MAX_TOTAL, areas: tuple[float, float] = AREAS) -> DataFrame:
@@ -59,8 +59,9 @@ def tracking_chain(steps: DataFrame, quads: DataFrame, max_step: float = MAX_STE
     begins from it. Shifts are those of the quad tried, null where there is
     none. Statuses are named in ``STATUSES``.
 
-    One stream per entity; its state is two quads. Entities without a reference
-    quad give no rows.
+    One stream per entity; its state is two quads. A task takes chunks of its
+    stream and carries all entities of a chunk along side by side; what a chunk
+    cuts goes on in the next. Entities without a reference quad give no rows.
     """
     corners = [f"{axis}{i}" for i in range(4) for axis in "xy"]
     maps = [f"m{k}" for k in range(9)]
@@ -70,28 +71,60 @@ def tracking_chain(steps: DataFrame, quads: DataFrame, max_step: float = MAX_STE
     rest = steps.select("entity", F.col("idx").cast("long").alias("idx"), F.lit(1).alias("kind"), *[F.col(m).cast("double").alias(f"v{k}") for k, m in enumerate(maps)])
     stream = first.unionByName(rest)
 
-    def step(state: dict, kind: int, idx: int, *v: float | None) -> list[tuple]:
-        if kind == 0:
-            state["reference"] = state["quad"] = list(v[:8])
-            return []
-        if "quad" not in state:
-            return []
-        moved = None if None in v else _moved(state["quad"], list(v))
-        if moved is None:
-            return [(idx, NO_MAP if None in v else NO_QUAD, None, _farthest(state["quad"], state["reference"]), None, *state["quad"])]
-        near, far = _farthest(moved, state["quad"]), _farthest(moved, state["reference"])
-        ratio = _area(moved) / max(_area(state["reference"]), 1e-6)
-        if near > max_step:
-            status = STEP_TOO_LARGE
-        elif far > max_total:
-            status = TOTAL_TOO_LARGE
-        elif not areas[0] <= ratio <= areas[1]:
-            status = AREA_TOO_LARGE
-        else:
-            status, state["quad"] = TRACKED, moved
-        return [(idx, status, near, far, ratio, *state["quad"])]
-
-    columns = [F.col("kind"), F.col("idx"), *[F.col(f"v{k}") for k in range(9)]]
-    out = "idx long, status int, step_shift double, total_shift double, area_ratio double, " + ", ".join(f"{c} double" for c in corners)
-    folded = _fold(stream, "entity", columns, out, dict, step)
+    def step(quads: np.ndarray, reference: np.ndarray, maps: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Status, shifts and ratio of the next step of each quad, which is changed in place where it is tracked."""
+        moved, fine = _moved(quads, maps)
+        fine &= known
+        near, far, stayed = _farthest(moved, quads), _farthest(moved, reference), _farthest(quads, reference)
+        ratio = polygons.quad_areas(moved) / np.maximum(polygons.quad_areas(reference), 1e-6)
+        tests = [~known, ~fine, near > max_step, far > max_total, ~((areas[0] <= ratio) & (ratio <= areas[1]))]
+        status = np.select(tests, [NO_MAP, NO_QUAD, STEP_TOO_LARGE, TOTAL_TOO_LARGE, AREA_TOO_LARGE], TRACKED)
+        quads[status == TRACKED] = moved[status == TRACKED]
+        return status, np.where(fine, near, np.nan), np.where(fine, far, stayed), np.where(fine, ratio, np.nan)
+
+    def chunk(rows: pa.Table, carried: tuple | None) -> tuple[pa.RecordBatch, tuple | None]:
+        """The steps of sorted rows, and the last entity with its reference and its trusted quad."""
+        entity = rows["entity"].combine_chunks()
+        other = pc.fill_null(pc.not_equal(entity[1:], entity[:-1]), True).to_numpy(zero_copy_only=False) if len(entity) > 1 else np.empty(0, bool)
+        start = np.concatenate(([0], np.flatnonzero(other) + 1))
+        end = np.append(start[1:], len(entity))
+        v = np.stack([rows[f"v{k}"].to_numpy() for k in range(9)], 1)
+        known = np.logical_and.reduce([rows[f"v{k}"].is_valid().to_numpy() for k in range(9)])
+        first = start + np.add.reduceat(rows["kind"].to_numpy() == 0, start, dtype=np.int64)
+        reference, has = v[np.maximum(first - 1, 0), :8], first > start
+        quads = reference.copy()
+        if carried and not has[0] and entity[0].as_py() == carried[0]:
+            reference[0], quads[0], has[0] = carried[1], carried[2], True
+        out = np.full((len(entity), 12), np.nan)
+        # Longest first, so those that still have steps stand in front.
+        order = np.argsort(-np.where(has, end - first, 0), kind="stable")
+        ref, at, many = reference[order], quads[order], np.where(has, end - first, 0)[order]
+        for k in range(int(many.max(initial=0))):
+            n = int(np.searchsorted(-many, -k, side="left"))
+            row = first[order[:n]] + k
+            found = step(at[:n], ref[:n], v[row], known[row])
+            out[row] = np.column_stack([*found, at[:n]])
+        quads[order] = at
+        given = np.flatnonzero(~np.isnan(out[:, 0]))
+        columns = [pa.array(out[given, k], from_pandas=True) for k in range(1, 12)]
+        batch = pa.RecordBatch.from_arrays([entity.take(pa.array(given)), rows["idx"].combine_chunks().take(pa.array(given)), pa.array(out[given, 0].astype(np.int32)), *columns], names)
+        return batch, (entity[-1].as_py(), reference[-1], quads[-1]) if has[-1] else None
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, carried = [], 0, None
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK_ROWS:
+                out, carried = chunk(pa.Table.from_batches(held), carried)
+                held, n = [], 0
+                yield out
+        if n:
+            yield chunk(pa.Table.from_batches(held), carried)[0]
+
+    numbers = ["step_shift", "total_shift", "area_ratio", *corners]
+    names = ["entity", "idx", "status", *numbers]
+    out = StructType([StructField("entity", stream.schema["entity"].dataType), *StructType.fromDDL("idx long, status int, " + ", ".join(f"{c} double" for c in numbers)).fields])
+    columns = ["entity", "kind", "idx", *[f"v{k}" for k in range(9)]]
+    folded = stream.select(*columns).repartition("entity").sortWithinPartitions(*columns).mapInArrow(run, out)
     return folded.withColumn("status", F.element_at(F.array(*map(F.lit, STATUSES)), F.col("status") + 1))
