@@ -23,7 +23,7 @@ from .catalog import (
 )
 from .functions import geometry, kernels, text
 from .operators import asof, consensus, folds, ordering, ranking, review, segments
-from .sources.adapters import CANDIDATES_SQL, GROUP_SQL, REVIEW_PAGES_SQL, candidates, rasters, review_pages, samples, seconds, table
+from .sources.adapters import CANDIDATES_SQL, GROUP_SQL, REVIEW_PAGES_SQL, candidates, dealt, rasters, review_pages, samples, seconds, table
 
 SEPARATION, TOP = 3 * DAY, 3
 
@@ -310,9 +310,10 @@ quads AS (
 def _quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, t = F.col("l_discount"), F.col("l_tax")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    within = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order))
-    return table(spark, sf_dir, "lineitem").select(
-        F.floor(F.col("l_orderkey") / 4).cast("long").alias("spread"),
+    # Numbered inside an order, but dealt by spread: what groups by spread needs no further exchange.
+    within = F.row_number().over(W.partitionBy("spread", "l_orderkey").orderBy(*order))
+    return dealt(table(spark, sf_dir, "lineitem").withColumn("spread", F.floor(F.col("l_orderkey") / 4).cast("long")), "spread").select(
+        "spread",
         F.when(F.col("l_linenumber") % 2 == 0, "left").otherwise("right").alias("side"),
         (F.col("l_orderkey") * 1000 + within).alias("id"),
         (0.1 + d / 4).alias("x0"), (0.1 + t / 4).alias("y0"), (0.9 - t / 8).alias("x1"), (0.12 + d / 8).alias("y1"),

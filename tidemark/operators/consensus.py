@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 CORNERS = [f"{axis}{i}" for i in range(4) for axis in ("x", "y")]
 
 
-def quad_distance(a: str, b: str) -> Column:
-    """Mean distance of corresponding corners."""
-    parts = [
-        F.sqrt(F.pow(F.col(f"{a}.x{i}") - F.col(f"{b}.x{i}"), 2) + F.pow(F.col(f"{a}.y{i}") - F.col(f"{b}.y{i}"), 2)) for i in range(4)
-    ]
+def _apart(a: Column, b: Column) -> Column:
+    """Mean distance of corresponding corners of two structs."""
+    parts = [F.sqrt((a[f"x{i}"] - b[f"x{i}"]) * (a[f"x{i}"] - b[f"x{i}"]) + (a[f"y{i}"] - b[f"y{i}"]) * (a[f"y{i}"] - b[f"y{i}"])) for i in range(4)]
     return sum(parts[1:], parts[0]) / 4
 
 
@@ -22,17 +20,22 @@ def largest_cluster(quads: DataFrame, group: list[str], deviation: float, anchor
 
     ``quads`` has the group's keys, ``id``, the corners and ``confidence``;
     ``anchor`` names a boolean column that is true for the quad of the
-    candidate at hand. A group is the handful of detections of one spread side.
+    candidate at hand. A group is the handful of detections of one spread side,
+    compared as one short list: one exchange by group, no join.
     """
-    with_anchor = F.bool_or(F.col(f"b.{anchor}")) if anchor else F.lit(False)
-    pairs = quads.alias("a").join(quads.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in group])
-    near = pairs.where(F.round(quad_distance("a", "b"), 9) <= deviation)
-    sizes = near.groupBy(*[F.col(f"a.{k}").alias(k) for k in group], F.col("a.id").alias("center")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("b.confidence"), 9).alias("weight"), F.collect_list("b.id").alias("members"), with_anchor.alias("with_anchor")
-    )
-    order = W.partitionBy(*group).orderBy(F.col("n").desc(), F.col("with_anchor").desc(), F.col("weight").desc(), "center")
-    best = sizes.withColumn("_place", F.row_number().over(order)).where("_place = 1")
-    return quads.join(best.select(*group, F.explode("members").alias("id")), [*group, "id"])
+    listed = quads.groupBy(*group).agg(F.collect_list(F.struct(*[c for c in quads.columns if c not in group])).alias("_all"))
+
+    # Each center's neighbours are listed once and then rated.
+    near = F.transform("_all", lambda a: F.struct(a["id"].alias("id"), F.filter("_all", lambda q: F.round(_apart(a, q), 9) <= deviation).alias("near")))
+
+    def rated(r: Column) -> Column:
+        weight = F.round(F.aggregate(r["near"], F.lit(0.0), lambda s, q: s + F.coalesce(q["confidence"], F.lit(0.0))), 9)
+        with_anchor = F.exists(r["near"], lambda q: F.coalesce(q[anchor], F.lit(False))) if anchor else F.lit(False)
+        return F.struct((-F.size(r["near"])).alias("n"), (~with_anchor).alias("far"), (-weight).alias("weight"), r["id"].alias("id"), r["near"].alias("near"))
+
+    # A center whose corners are unknown has nothing near it, not even itself.
+    best = F.array_min(F.transform(F.filter(near, lambda r: F.size(r["near"]) > 0), rated))["near"]
+    return listed.select(*group, F.inline(best)).select(*quads.columns)
 
 
 def trimmed(cluster: DataFrame, group: list[str], deviation: float) -> DataFrame:
