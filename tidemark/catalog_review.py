@@ -362,9 +362,12 @@ def repair_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = candidates(spark, sf_dir).select(
         (c("spread") * 100 + c("cand")).alias("id"), F.array(F.struct(F.array(one, two).alias("donors")), F.struct(second.alias("donors"))).alias("components")
     )
-    residual = parts.select("id", F.round(verdicts.largest_residual(c("components")), 9).alias("max_residual"))
-    shifts = verdicts.local_shifts(parts, "id").withColumn("max_shift", F.round("max_shift", 9))
-    return residual.join(shifts, "id")
+    return parts.select(
+        "id",
+        F.round(verdicts.largest_residual(c("components")), 9).alias("max_residual"),
+        F.round(verdicts.largest_shift(c("components")), 9).alias("max_shift"),
+        verdicts.local_components(c("components")).alias("n_local"),
+    )
 
 
 @query(

@@ -73,15 +73,15 @@ def largest_residual(components: Column) -> Column:
     return F.array_max(F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
 
 
-def local_shifts(rows: DataFrame, key: str) -> DataFrame:
-    """Largest local shift of each row's donors, and how many components have one: ``max_shift, n_local``.
+def largest_shift(components: Column) -> Column:
+    """The largest shift of all donors whose ``method`` is local; null if there is none."""
+    local = F.filter(F.flatten(F.transform(components, lambda c: c["donors"])), lambda d: d["method"] == "local")
+    return F.array_max(F.transform(local, lambda d: F.sqrt(d["dx"] * d["dx"] + d["dy"] * d["dy"])))
 
-    Donors whose ``method`` isn't local don't count.
-    """
-    flat = rows.select(key, F.posexplode_outer("components").alias("component", "c")).select(key, "component", F.explode_outer("c.donors").alias("d"))
-    local = F.col("d.method") == "local"
-    shift = F.sqrt(F.col("d.dx") * F.col("d.dx") + F.col("d.dy") * F.col("d.dy"))
-    return flat.groupBy(key).agg(F.max(F.when(local, shift)).alias("max_shift"), F.count_distinct(F.when(local, F.col("component"))).alias("n_local"))
+
+def local_components(components: Column) -> Column:
+    """How many components have a donor whose ``method`` is local."""
+    return F.coalesce(F.size(F.filter(components, lambda c: F.exists(c["donors"], lambda d: d["method"] == "local"))), F.lit(0)).cast("long")
 
 
 def check_summary(rows: DataFrame, by: str) -> DataFrame:
