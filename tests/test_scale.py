@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import catalog, catalog_choice, catalog_more, catalog_review
 from tidemark.functions import geometry, polygons
+from tidemark.llm import dedup_minhash
 from tidemark.operators import beam, lines, tracking
 from tidemark.sources import adapters
 
@@ -80,3 +82,29 @@ def test_tracks_go_on_over_chunks(spark, monkeypatch):
         assert found() == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_usual_shingle_makes_no_family(spark, monkeypatch):
+    """Texts in twos, alike but not linked, of which all share some of a few usual shingles, that no count of values knows."""
+    none = np.array([], np.int64)
+    monkeypatch.setattr(dedup_minhash, "_frequent_values", lambda nodes: (none, none))
+    monkeypatch.setattr(dedup_minhash, "LIST_JOIN", 6)
+    monkeypatch.setattr(dedup_minhash, "BLOCK", 5)
+    sent, family_links = [], dedup_minhash._family_links
+    monkeypatch.setattr(dedup_minhash, "_family_links", lambda members, *rest: sent.append(members.count()) or family_links(members, *rest))
+    rows = []
+    for i in range(120):
+        usual = [f"u{(i // 2 + j) % 4}{c}" for j in range(2) for c in "abcd"]
+        rows.append((i, " ".join([*usual, *(f"g{i // 2}w{k}" for k in range(60)), *(f"x{i}w{k}" for k in range(20))])))
+    # Of a group too large for a join, some copies are linked with their neighbours only.
+    rows += [(1000 + i, " ".join(f"n{k}" if k >= i % 9 * 5 else f"m{i % 9}v{k}" for k in range(100))) for i in range(30)]
+    got = {r.doc_id: r.component_id for r in dedup_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    sets = {i: set(dedup_minhash.shingle_set(t, 4).tolist()) for i, t in rows}
+    want = {i: i for i in sets}
+    for _ in sets:
+        lower = {a: min(want[b] for b in sets if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])) for a in sets}
+        if lower == want:
+            break
+        want = lower
+    assert got == want and len(set(want.values())) > 120
+    assert sum(sent) <= 30

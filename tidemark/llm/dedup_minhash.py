@@ -10,7 +10,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -471,18 +471,62 @@ def _open_rows(lists: DataFrame, components: DataFrame) -> DataFrame:
     return stage_table(_dealt(placed).join(_for_parts(several.select("v", "size")), ["v", "part"], "left_semi").drop("part"), "open")
 
 
-def _large_list_links(rows: DataFrame, documents: DataFrame, width: int, percent: int, k: int) -> DataFrame:
-    """Links inside large lists.
+def _fewest_lists(percent: int) -> Column:
+    """Lists that a node of ``n`` values shares with any node it is linked with, at least."""
+    return F.greatest(F.lit(1), F.least(F.lit(COMMON), F.floor(F.col("n") * (percent * percent / 1e4))))
+
+
+def _pair_keys(nodes: DataFrame, percent: int) -> DataFrame:
+    """``key, node, n, component`` of nodes with their ``lists``: nodes that share ``_fewest_lists`` share a key.
+
+    Lists fall in one class fewer than ``COMMON``. Of ``COMMON`` lists two lie
+    in one class, so a key is a pair of lists of one class, about a hundred a
+    node. Sets that may be linked with one too small to share so many have
+    single lists as keys too.
+    """
+    share = percent * percent / 1e4
 
-    A group of near copies shares many lists. So lists that share members are
-    first joined to a family, in which every pair of different components is
-    compared once.
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, times = [], []
+            for n, lists in zip(batch.column("n").to_pylist(), batch.column("lists"), strict=True):
+                own = np.sort(lists.values.to_numpy().view(np.uint64))
+                mine = []
+                if n * share * percent / 100 < COMMON:
+                    mine.append(_mix(own))
+                if n * share >= COMMON:
+                    i, j = np.triu_indices(len(own), 1)
+                    same = own[i] % np.uint64(COMMON - 1) == own[j] % np.uint64(COMMON - 1)
+                    mine.append(_mix(_mix(own[i[same]]) + own[j[same]]))
+                found += mine
+                times.append(sum(map(len, mine)))
+            row = np.repeat(np.arange(batch.num_rows), times)
+            if len(row):
+                of = batch.select(["node", "n", "component"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), *of.columns], ["key", "node", "n", "component"])
+
+    return nodes.select("node", "n", "component", "lists").mapInArrow(keys, "key long, node long, n long, component long")
+
+
+def _large_list_links(rows: DataFrame, documents: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """Links inside large lists, but for those of nodes that also share a short one.
+
+    Nodes that are linked and share no short list share ``_fewest_lists`` large
+    ones, so a node in fewer has no such link, and the others are looked at by
+    pairs of lists. A group of near copies shares many such pairs. So nodes
+    with a common pair are first joined to a family, in which every pair of
+    different components is compared once. Single lists would join most of a
+    large table to one family, as texts that have nothing else in common share
+    a usual shingle.
     """
-    heads = rows.groupBy("v").agg(F.min("node").alias("b"), F.max("size").alias("size"))
-    joined = _dealt(rows).join(_for_parts(heads), ["v", "part"]).select(F.col("node").alias("a"), "b").where("a <> b").distinct()
+    nodes = rows.groupBy("node").agg(F.min("n").alias("n"), F.min("component").alias("component"), F.collect_list("v").alias("lists"))
+    keys = stage_table(_pair_keys(nodes.where(F.size("lists") >= _fewest_lists(percent)), percent), "pair_keys")
+    several = keys.groupBy("key").agg(F.min("node").alias("b"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    several = stage_table(several.where("lo <> hi").select("key", "b", "rows"), "pair_heads")
+    joined = _spread_join(keys, several.drop("rows"), ["key"], "node", several.select("key", "rows")).select(F.col("node").alias("a"), "b").where("a <> b").distinct()
     below = connected_components(joined).select("node", F.col("component").alias("family"))
     families = below.union(below.select(F.col("family").alias("node"), "family")).distinct()
-    placed = rows.groupBy("node").agg(F.min("component").alias("component"), F.min("n").alias("n"))
+    placed = nodes.select("node", "component", "n")
     return _family_links(stage_table(families.join(placed, "node"), "families"), documents, width, percent, k)
 
 
@@ -509,8 +553,7 @@ def _classes(base: DataFrame, documents: DataFrame, width: int, percent: int, k:
     sizes = sizes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1))).drop("of")
     met = stage_table(retained.drop("parts").join(sizes, ["v", "part"]).drop("part"), "met")
     # A node linked with any other meets it, no smaller than by its share, in so many lists.
-    least = F.greatest(F.lit(1), F.least(F.lit(COMMON), F.floor(F.col("n") * (percent * percent / 1e4))))
-    able = met.groupBy("node", "n").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= least)
+    able = met.groupBy("node", "n").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= _fewest_lists(percent))
     lists = stage_table(met.join(able.select("node"), "node", "left_semi"), "lists")
     stars = settled(spark, "stars", lambda: _verified(_star_pairs(lists), documents, width, percent))
     first = connected_components(stars)
