@@ -108,3 +108,23 @@ def test_a_usual_shingle_makes_no_family(spark, monkeypatch):
         want = lower
     assert got == want and len(set(want.values())) > 120
     assert sum(sent) <= 30
+
+
+def test_copies_with_the_same_lists_are_joined_once(spark, monkeypatch):
+    """Two groups of texts that share most shingles but are not linked: joined rows follow the groups' lists, not their rows."""
+    monkeypatch.setattr(dedup_minhash, "LIST_JOIN", 6)
+    seen, spread_join = [], dedup_minhash._spread_join
+
+    def counted(big, small, on, *rest):
+        seen.append((on, big.count()))
+        return spread_join(big, small, on, *rest)
+
+    monkeypatch.setattr(dedup_minhash, "_spread_join", counted)
+    usual = [f"u{k}" for k in range(100)]
+    rows = [(i, " ".join([*usual, *(f"g{i % 2}w{k}" for k in range(16)), f"x{i}"])) for i in range(80)]
+    got = {r.doc_id: r.component_id for r in dedup_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    sets = {i: set(dedup_minhash.shingle_set(t, 4).tolist()) for i, t in rows}
+    assert 60 * len(sets[0] | sets[1]) < 100 * len(sets[0] & sets[1]) < 80 * len(sets[0] | sets[1])
+    assert got == {i: i % 2 for i in sets}
+    joined = sum(n for on, n in seen if on in (["key"], ["lists"]))
+    assert 0 < joined <= 12 * len(rows)

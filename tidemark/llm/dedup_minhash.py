@@ -476,36 +476,52 @@ def _fewest_lists(percent: int) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(COMMON), F.floor(F.col("n") * (percent * percent / 1e4))))
 
 
-def _pair_keys(nodes: DataFrame, percent: int) -> DataFrame:
-    """``key, node, n, component`` of nodes with their ``lists``: nodes that share ``_fewest_lists`` share a key.
+def _bundles(nodes: DataFrame, percent: int) -> DataFrame:
+    """``lists, node, n, component``: the lists of each class that a node with its ``lists`` is in, as one array.
 
-    Lists fall in one class fewer than ``COMMON``. Of ``COMMON`` lists two lie
-    in one class, so a key is a pair of lists of one class, about a hundred a
-    node. Sets that may be linked with one too small to share so many have
-    single lists as keys too.
+    Lists fall in one class fewer than ``COMMON``, so of ``COMMON`` lists two
+    lie in one class. Classes with one list of a node are left out. Sets that
+    may be linked with one too small to share so many also have each list alone.
     """
     share = percent * percent / 1e4
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, times = [], []
             for n, lists in zip(batch.column("n").to_pylist(), batch.column("lists"), strict=True):
                 own = np.sort(lists.values.to_numpy().view(np.uint64))
-                mine = []
-                if n * share * percent / 100 < COMMON:
-                    mine.append(_mix(own))
+                mine = list(own[:, None]) if n * share * percent / 100 < COMMON else []
                 if n * share >= COMMON:
-                    i, j = np.triu_indices(len(own), 1)
-                    same = own[i] % np.uint64(COMMON - 1) == own[j] % np.uint64(COMMON - 1)
-                    mine.append(_mix(_mix(own[i[same]]) + own[j[same]]))
-                found += mine
-                times.append(sum(map(len, mine)))
-            row = np.repeat(np.arange(batch.num_rows), times)
-            if len(row):
-                of = batch.select(["node", "n", "component"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), *of.columns], ["key", "node", "n", "component"])
+                    classes = own % np.uint64(COMMON - 1)
+                    mine += [part for c in range(COMMON - 1) if len(part := own[classes == c]) > 1]
+                found += [part.view(np.int64) for part in mine]
+                times.append(len(mine))
+            of = batch.select(["node", "n", "component"]).take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), *of.columns], ["lists", "node", "n", "component"])
+
+    return nodes.select("node", "n", "component", "lists").mapInArrow(bundles, "lists array<long>, node long, n long, component long")
+
+
+def _pair_keys(heads: DataFrame) -> DataFrame:
+    """``key, bundle, head, lo, hi``: nodes that share ``_fewest_lists`` are in bundles that share a key.
+
+    A key is a pair of lists of one class, or a single list of a bundle that
+    has no other.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, times = [], []
+            for lists in batch.column("lists"):
+                own = lists.values.to_numpy().view(np.uint64)
+                i, j = np.triu_indices(len(own), 1)
+                found.append(_mix(_mix(own[i]) + own[j]) if len(own) > 1 else _mix(own))
+                times.append(len(found[-1]))
+            if found:
+                of = batch.select(["bundle", "head", "lo", "hi"]).take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), *of.columns], ["key", "bundle", "head", "lo", "hi"])
 
-    return nodes.select("node", "n", "component", "lists").mapInArrow(keys, "key long, node long, n long, component long")
+    return heads.select("bundle", "head", "lo", "hi", "lists").mapInArrow(keys, "key long, bundle long, head long, lo long, hi long")
 
 
 def _large_list_links(rows: DataFrame, documents: DataFrame, width: int, percent: int, k: int) -> DataFrame:
@@ -513,17 +529,27 @@ def _large_list_links(rows: DataFrame, documents: DataFrame, width: int, percent
 
     Nodes that are linked and share no short list share ``_fewest_lists`` large
     ones, so a node in fewer has no such link, and the others are looked at by
-    pairs of lists. A group of near copies shares many such pairs. So nodes
-    with a common pair are first joined to a family, in which every pair of
-    different components is compared once. Single lists would join most of a
-    large table to one family, as texts that have nothing else in common share
-    a usual shingle.
+    pairs of lists. Near copies share many such pairs, and many of them the
+    very same lists of a class, so pairs are made once for each such bundle of
+    lists, for its smallest node. Nodes with a common pair are joined to a
+    family, in which every pair of different components is compared once.
+    Single lists would join most of a large table to one family, as texts that
+    have nothing else in common share a usual shingle.
     """
     nodes = rows.groupBy("node").agg(F.min("n").alias("n"), F.min("component").alias("component"), F.collect_list("v").alias("lists"))
-    keys = stage_table(_pair_keys(nodes.where(F.size("lists") >= _fewest_lists(percent)), percent), "pair_keys")
-    several = keys.groupBy("key").agg(F.min("node").alias("b"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    bundles = stage_table(_bundles(nodes.where(F.size("lists") >= _fewest_lists(percent)), percent), "bundles")
+    low = [F.min("component").alias("lo"), F.max("component").alias("hi")]
+    heads = bundles.groupBy("lists").agg(F.min("node").alias("head"), *low, F.count(F.lit(1)).alias("rows"))
+    heads = stage_table(heads.withColumn("bundle", F.monotonically_increasing_id()), "bundle_heads")
+    keys = stage_table(_pair_keys(heads), "pair_keys")
+    several = keys.groupBy("key").agg(F.min("head").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("rows"))
     several = stage_table(several.where("lo <> hi").select("key", "b", "rows"), "pair_heads")
-    joined = _spread_join(keys, several.drop("rows"), ["key"], "node", several.select("key", "rows")).select(F.col("node").alias("a"), "b").where("a <> b").distinct()
+    met = _spread_join(keys, several.drop("rows"), ["key"], "bundle", several.select("key", "rows")).select("bundle", F.col("head").alias("a"), "b").distinct()
+    met = stage_table(met, "met_bundles")
+    # The nodes of a bundle hang on its smallest one.
+    near = stage_table(heads.join(met.select("bundle").distinct(), "bundle", "left_semi").select("lists", "head", "rows"), "near_bundles")
+    hung = _spread_join(bundles.select("lists", "node"), near.drop("rows"), ["lists"], "node", near.select("lists", "rows"))
+    joined = met.select("a", "b").union(hung.select(F.col("node").alias("a"), F.col("head").alias("b"))).where("a <> b").distinct()
     below = connected_components(joined).select("node", F.col("component").alias("family"))
     families = below.union(below.select(F.col("family").alias("node"), "family")).distinct()
     placed = nodes.select("node", "component", "n")
