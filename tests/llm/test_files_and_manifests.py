@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -265,3 +266,14 @@ def test_any_change_changes_the_root(spark, rows):
     assert len(first) == 1 and root(table.repartition(3, "n_chars")) == first
     for changed in (table.where("not doc_id <=> 3"), table.union(table.limit(1)), table.withColumn("lang", F.when(F.col("doc_id") == 3, "zz").otherwise(F.col("lang")))):
         assert root(changed) != first
+
+
+def test_words_of_texts_are_encoded_once(monkeypatch):
+    tokenizer = Tokenizer.from_file(token_files.VOCABULARY)
+    texts = ["Don't, DON'T! ẖ. H̱, İ, İ, Of,. a's: \xc9!x ǅ, \xaa. xͅ, a,́ a'S;.", None, "", " \x0b\x0c", "Of of, OF.\x0bof! " * 9]
+    want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(token_files, "LOOK_BYTES", size)
+        assert list(token_files.WordIds(tokenizer).of_texts(pa.array(texts))) == want
+    known = token_files.WordIds(tokenizer)
+    assert known.of(texts[4]) == want[4] and len(known) <= 4

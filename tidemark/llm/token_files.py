@@ -12,6 +12,7 @@ level that it reaches, and nothing before it is decoded.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -23,6 +24,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SEGMENT_TOKENS = 1 << 20
 #: A Python worker remembers the ids of twice so many words at most, of at most so many characters: some 180 MB.
 MEMO_WORDS, MEMO_CHARS = 1 << 19, 64
+#: Bytes of texts whose words are looked up together, and words encoded at once.
+LOOK_BYTES, ENCODE_WORDS = 1 << 23, 10_000
 #: Fixed values of the format: first bytes, bits of a word of the bitmaps, bits counted by one entry of the upper directory.
 MAGIC, WORD, UPPER = b"TMDAC01\n", 64, 1 << 16
 #: Bits of an id.
@@ -220,12 +224,12 @@ class WordIds(dict):
 
     The vocabulary drops white space and lets no piece reach over it, so a
     text's ids are those of its words, one after the other. Words end at
-    space, tab, \n and \r only, which white space of any definition includes.
+    ASCII white space only, which white space of any definition includes.
     Of printable ASCII the vocabulary's normaliser makes small letters and no
     more, so such words are spared its other steps.
     """
 
-    _WORDS = re.compile(r"[^ \t\n\r]+")
+    _WORDS = re.compile(r"[^ \t\n\v\f\r]+")
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
@@ -234,24 +238,74 @@ class WordIds(dict):
         self._plain.normalizer = Lowercase()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self._before.get(word)
-        if ids is None:
-            tokenizer = self._plain if word.isascii() and word.isprintable() else self._tokenizer
-            ids = array("I", tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS:
-                self._before = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+        return self.of_words([word])[0]
 
     def of(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self._WORDS.findall(text)))
 
+    @staticmethod
+    def _parts(word: str) -> list[str]:
+        """Words that have the ids of a word together: ASCII in small letters, marks behind the last letter on their own.
+
+        The vocabulary makes small letters of all, and no piece holds a letter
+        and a mark. Only after an apostrophe may a mark be followed by letters.
+        """
+        root = word.rstrip(",.;:!?")
+        cut = root and root != word and root[-1].isalpha() and (root[-1].isascii() or root[-1].islower())
+        return [p.lower() if p.isascii() else p for p in ([root, word[len(root) :]] if cut else [word])]
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of some words; parts not known are encoded together."""
+        found = list(map(self.get, words))
+        missing = {k: self._parts(words[k]) for k, ids in enumerate(found) if ids is None}
+        parts = dict.fromkeys(p for of in missing.values() for p in of)
+        new: tuple[list[str], list[str]] = ([], [])
+        for p in parts:
+            parts[p] = self.get(p)
+            if parts[p] is None:
+                parts[p] = self._before.get(p)
+                if parts[p] is None:
+                    new[p.isascii() and p.isprintable()].append(p)
+        for tokenizer, some in zip((self._tokenizer, self._plain), new, strict=True):
+            for at in range(0, len(some), ENCODE_WORDS):
+                here = some[at : at + ENCODE_WORDS]
+                for p, encoded in zip(here, tokenizer.encode_batch_fast(here, add_special_tokens=False), strict=True):
+                    parts[p] = array("I", encoded.ids).tobytes()
+        for k, of in missing.items():
+            found[k] = parts[of[0]] if len(of) == 1 else parts[of[0]] + parts[of[1]]
+        for p, ids in parts.items():
+            if len(p) <= MEMO_CHARS and p not in self:
+                if len(self) >= MEMO_WORDS:
+                    self._before = dict(self)
+                    self.clear()
+                self[p] = ids
+        return found
+
+    def of_texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text; a word is looked up once for ``LOOK_BYTES`` of texts, or for a longer text."""
+        texts = texts.fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        cuts = np.flatnonzero(np.diff(ends // LOOK_BYTES)) + 1
+        for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+            split = pc.ascii_split_whitespace(texts.slice(first, last - first))
+            words = split.flatten().dictionary_encode()
+            # White space at an end of a text leaves an empty word there, which has no ids.
+            known = self.of_words(words.dictionary.to_pylist())
+            flat = np.frombuffer(b"".join(known), "<u4")
+            sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            at = words.indices.to_numpy()
+            many = sizes[at]
+            past = np.concatenate([[0], np.cumsum(many)])
+            ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - past[:-1], many) + np.arange(past[-1])]
+            bounds = past[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])].tolist()
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                yield ids[a:b].tobytes()
+
 
 @cache
 def _words_of(vocabulary: str) -> tuple[Tokenizer, WordIds]:
-    """One for each Python worker, which outlives its tasks."""
+    """One for each Python worker, which outlives its tasks and has one core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(vocabulary)
     return tokenizer, WordIds(tokenizer)
 
@@ -291,9 +345,9 @@ def write_token_files(
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["content"])
 
         for batch in batches:
-            for key, text in zip(batch.column("key"), batch.column("text"), strict=True):
-                text = text.as_py() or ""
-                ids = words.of(text) if by_words else np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            texts = batch.column("text")
+            whole = (np.array(tokenizer.encode(text.as_py() or "", add_special_tokens=False).ids, "<u4").tobytes() for text in texts)
+            for key, ids in zip(batch.column("key"), words.of_texts(texts) if by_words else whole, strict=True):
                 keys.append(key.as_py())
                 parts.append(ids + end)
                 lengths.append(len(parts[-1]) // 4)
