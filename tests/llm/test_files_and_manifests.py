@@ -277,3 +277,18 @@ def test_words_of_texts_are_encoded_once(monkeypatch):
         assert list(token_files.WordIds(tokenizer).of_texts(pa.array(texts))) == want
     known = token_files.WordIds(tokenizer)
     assert known.of(texts[4]) == want[4] and len(known) <= 4
+
+
+def test_special_pieces_are_found_before_letters_are_made_small():
+    tokenizer = Tokenizer.from_file(token_files.VOCABULARY)
+    texts = ["A<|ENDOFTEXT|> <|EndOfText|>, <|endoftext|>. X<|endoftext|>Y*** Ab<|startoftext|>", "Da*** da&&& DA$$$, é%%% É### ß_` ﬁ.. don'T'' K' ά; я,", "Aͅ. a̸< b≮ ŉ' ǰ! ῗ? ª: º; ʰ, ⅷ. ⓐ!"]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    known = token_files.WordIds(tokenizer)
+    assert list(known.of_texts(pa.array(texts))) == want
+    assert [token_files.WordIds(tokenizer).of(t) for t in texts] == want
+
+
+def test_marks_behind_a_word_are_looked_up_on_their_own():
+    known = token_files.WordIds(Tokenizer.from_file(token_files.VOCABULARY))
+    list(known.of_texts(pa.array([" ".join(w + m for w in ("one", "Two", "dré") for m in ("", ".", "***", "&&&", "%%%", "$$$,"))])))
+    assert set(known) == {"one", "two", "dré", ".", "***", "&&&", "%%%", "$$$,"}

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import uuid
 import zlib
 from array import array
@@ -219,6 +220,13 @@ def segments_in(data: bytes) -> Iterator[Segment]:
         at = segment.end + 1
 
 
+def _picked(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``at`` some places of ``flat``, which holds runs of ``sizes``, one after the other, and where each begins."""
+    many = sizes[at]
+    past = np.concatenate([[0], np.cumsum(many)])
+    return flat[np.repeat((np.cumsum(sizes) - sizes)[at] - past[:-1], many) + np.arange(past[-1])], past
+
+
 class WordIds(dict):
     """Ids of a word as bytes. Words not seen while ``MEMO_WORDS`` others came are forgotten.
 
@@ -230,6 +238,10 @@ class WordIds(dict):
     """
 
     _WORDS = re.compile(r"[^ \t\n\v\f\r]+")
+    #: A word with marks behind its last letter. Small letters stay letters in the vocabulary's normal form.
+    _MARKED, _MARKS = r"[A-Za-z\p{Ll}][[:punct:]]+$", string.punctuation
+    #: What the vocabulary's special pieces begin with, which are found before capitals are made small.
+    _SPECIAL = "<|"
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
@@ -238,49 +250,58 @@ class WordIds(dict):
         self._plain.normalizer = Lowercase()
 
     def __missing__(self, word: str) -> bytes:
-        return self.of_words([word])[0]
+        return self.of_words(pa.array([word]))[0].tobytes()
 
     def of(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self._WORDS.findall(text)))
 
-    @staticmethod
-    def _parts(word: str) -> list[str]:
-        """Words that have the ids of a word together: ASCII in small letters, marks behind the last letter on their own.
+    def _parts(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Two arrays of words that have the ids of each word together: ASCII in small letters, and marks behind the last letter.
 
         The vocabulary makes small letters of all, and no piece holds a letter
         and a mark. Only after an apostrophe may a mark be followed by letters.
         """
-        root = word.rstrip(",.;:!?")
-        cut = root and root != word and root[-1].isalpha() and (root[-1].isascii() or root[-1].islower())
-        return [p.lower() if p.isascii() else p for p in ([root, word[len(root) :]] if cut else [word])]
-
-    def of_words(self, words: list[str]) -> list[bytes]:
-        """The ids of some words; parts not known are encoded together."""
-        found = list(map(self.get, words))
-        missing = {k: self._parts(words[k]) for k, ids in enumerate(found) if ids is None}
-        parts = dict.fromkeys(p for of in missing.values() for p in of)
-        new: tuple[list[str], list[str]] = ([], [])
-        for p in parts:
-            parts[p] = self.get(p)
-            if parts[p] is None:
-                parts[p] = self._before.get(p)
-                if parts[p] is None:
-                    new[p.isascii() and p.isprintable()].append(p)
+        plain = pc.invert(pc.match_substring(words, self._SPECIAL))
+        cut = pc.and_(plain, pc.match_substring_regex(words, self._MARKED))
+        heads = pc.if_else(cut, pc.ascii_rtrim(words, self._MARKS), words)
+        heads = pc.if_else(pc.and_(plain, pc.string_is_ascii(heads)), pc.ascii_lower(heads), heads)
+        marked = words.filter(cut).to_pylist()
+        marks = np.full(len(words), "", object)
+        marks[cut.to_numpy(zero_copy_only=False)] = [w[n:] for w, n in zip(marked, pc.utf8_length(heads.filter(cut)).to_pylist(), strict=True)]
+        return heads, pa.array(marks, pa.string())
+
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of some parts, each given once; those not known are encoded together."""
+        found = list(map(self.get, parts))
+        fresh = [k for k, ids in enumerate(found) if ids is None]
+        new: tuple[list[int], list[int]] = ([], [])
+        for k in fresh:
+            found[k] = self._before.get(parts[k])
+            if found[k] is None:
+                new[parts[k].isascii() and parts[k].isprintable()].append(k)
         for tokenizer, some in zip((self._tokenizer, self._plain), new, strict=True):
             for at in range(0, len(some), ENCODE_WORDS):
                 here = some[at : at + ENCODE_WORDS]
-                for p, encoded in zip(here, tokenizer.encode_batch_fast(here, add_special_tokens=False), strict=True):
-                    parts[p] = array("I", encoded.ids).tobytes()
-        for k, of in missing.items():
-            found[k] = parts[of[0]] if len(of) == 1 else parts[of[0]] + parts[of[1]]
-        for p, ids in parts.items():
-            if len(p) <= MEMO_CHARS and p not in self:
+                for k, encoded in zip(here, tokenizer.encode_batch_fast([parts[k] for k in here], add_special_tokens=False), strict=True):
+                    found[k] = array("I", encoded.ids).tobytes()
+        for k in fresh:
+            if 0 < len(parts[k]) <= MEMO_CHARS:
                 if len(self) >= MEMO_WORDS:
                     self._before = dict(self)
                     self.clear()
-                self[p] = ids
+                self[parts[k]] = found[k]
         return found
 
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words one after the other, and how many each has."""
+        heads, marks = self._parts(words)
+        parts = pa.concat_arrays([heads.cast(pa.string()), marks]).dictionary_encode()
+        known = self._of_parts(parts.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        of = parts.indices.to_numpy().reshape(2, -1)
+        flat, _ = _picked(np.frombuffer(b"".join(known), "<u4"), sizes, of.T.ravel())
+        return flat, sizes[of].sum(0)
+
     def of_texts(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text; a word is looked up once for ``LOOK_BYTES`` of texts, or for a longer text."""
         texts = texts.fill_null("")
@@ -290,13 +311,7 @@ class WordIds(dict):
             split = pc.ascii_split_whitespace(texts.slice(first, last - first))
             words = split.flatten().dictionary_encode()
             # White space at an end of a text leaves an empty word there, which has no ids.
-            known = self.of_words(words.dictionary.to_pylist())
-            flat = np.frombuffer(b"".join(known), "<u4")
-            sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-            at = words.indices.to_numpy()
-            many = sizes[at]
-            past = np.concatenate([[0], np.cumsum(many)])
-            ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - past[:-1], many) + np.arange(past[-1])]
+            ids, past = _picked(*self.of_words(words.dictionary), words.indices.to_numpy())
             bounds = past[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])].tolist()
             for a, b in zip(bounds, bounds[1:], strict=False):
                 yield ids[a:b].tobytes()
