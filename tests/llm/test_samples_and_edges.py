@@ -410,6 +410,23 @@ def test_one_row_of_each_component_stays(spark, monkeypatch):
     assert got.columns == docs.columns
 
 
+@pytest.mark.parametrize("bound", [2, 2_000_000])
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch, bound):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(i, words(i % 20)) for i in range(50)] + [(None, words(3)), (None, words("n")), (60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(dedup_minhash, "BROADCAST_IDS", bound)
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = dedup_minhash.drop_near_duplicates(docs)
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(i, words(i)) for i in range(20)] + [(None, words("n")), (60, None), (61, "")])
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == (bound > 2) and ("SortMergeJoin" in plan) == (bound == 2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
 def test_pipeline_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
     rows = odd_rows()
     docs = spark.createDataFrame(rows, ODD)

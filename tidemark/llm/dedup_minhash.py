@@ -634,6 +634,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
     return _verdicts(documents, width, percent, k).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
+def _but(rows: DataFrame, others: DataFrame, t: str) -> DataFrame:
+    """Rows whose id and hash ``t`` of the text ``others`` has not; null ids are equal."""
+    of = others.select(F.col("doc_id").alias(f"{t}_id"), F.col(t).alias(f"{t}_of"))
+    return rows.join(of, F.col("doc_id").eqNullSafe(F.col(f"{t}_id")) & (F.col(t) == F.col(f"{t}_of")), "left_anti")
+
+
 def drop_near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """The documents that stay, one row of each component.
 
@@ -643,12 +649,13 @@ def drop_near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80
     without words all stay, but of those that repeat an id only one.
     """
     t = free_name(documents, "t")
-    v = _verdicts(documents, width, percent, k).where("kept")
-    stays = v.where("n > 0 or doc_id is not null").groupBy("doc_id", "d1", "d2", "n").agg(F.min("t").alias(t), F.count(F.lit(1)).alias("rows"))
+    v = stage_table(_verdicts(documents, width, percent, k).select("doc_id", F.col("t").alias(t), "d1", "d2", "n", "kept"), "verdicts")
+    stays = v.where("kept").where("n > 0 or doc_id is not null").groupBy("doc_id", "d1", "d2", "n").agg(F.min(t).alias(t), F.count(F.lit(1)).alias("rows"))
     stays = stage_table(stays, "stays")
     hashed = documents.withColumn(t, F.xxhash64("text"))
-    of = stays.select(F.col("doc_id").alias(f"{t}_id"), F.col(t).alias(f"{t}_of")).distinct()
-    named = hashed.join(of, F.col("doc_id").eqNullSafe(F.col(f"{t}_id")) & (F.col(t) == F.col(f"{t}_of")), "left_semi")
+    gone = stage_table(_but(v.select("doc_id", t).distinct(), stays, t), "gone")
+    # Most rows stay, so texts are shuffled only where too many go to tell every task which.
+    named = _but(hashed, F.broadcast(gone), t) if _few(gone) else _but(hashed, gone, t)
     # Texts are shuffled once more only where rows are repeated.
     if stays.where("rows > 1").limit(1).count():
         named = named.dropDuplicates(["doc_id", t])
